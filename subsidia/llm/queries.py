@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import piece_codec, token_counts, url_filter
+from . import minhash, piece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -28,7 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filter, op6_piece_codec, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash, op4_url_filter, op6_piece_codec, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
