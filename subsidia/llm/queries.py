@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import language_id, license_scan, minhash, piece_codec, token_counts, url_filter
+from . import bit_slices, chat_tree, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+#: A conversation whose texts look like marks and escapes.
+HARD = r"\### Assistant: </turn> ok"
+
+
+def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = spark.createDataFrame([(-7, i, role, HARD) for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat_tree.read_back(*chat_tree.chat_tree(table(spark, sf_dir, "conversations").select(*hard.columns).unionByName(hard)))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,8 +53,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op4_url_filter, op6_piece_codec, op7_language_id, op9_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op9_license_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.url_sql()}
+    hard = "".join(f" UNION ALL SELECT -7, {i}, '{role}', '{HARD}'" for i, role in enumerate(("user", "assistant")))
+    return {"op2_bit_slices": bit_slices.top_sql(), "op4_url_filter": url_filter.url_sql(), "op5_chat_tree": chat_tree.chat_sql(hard)}
