@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bit_slices, chat_tree, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
+from . import bit_slices, chat_tree, decontaminate, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_slices.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op9_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op9_license_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
