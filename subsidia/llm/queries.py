@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bit_slices, chat_tree, decontaminate, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
+from . import bit_slices, chat_tree, decontaminate, katz, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op9_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op8_katz, op9_license_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
