@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,10 @@ SPACE_BYTES = b"\t\n\x0b\x0c\r "
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, so that long texts don't fill a worker's memory."""
+    """Bound the bytes of an Arrow batch, so that long texts don't fill a worker's memory; let workers find this package."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (paths := [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]):
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for key, value in (("maxBytesPerBatch", str(32 << 20)), ("maxRecordsPerBatch", "4000")):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
