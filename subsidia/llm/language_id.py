@@ -24,7 +24,7 @@ SAMPLE, LANGUAGES = 500, 200
 ROUNDS = 12
 #: A text whose best cosine is under this belongs to no learned language. Texts of fewer than ENOUGH distinct n-grams
 #: can't come as near to a centroid, so their limit is lower in proportion.
-REJECT, ENOUGH = 0.2, 64
+REJECT, ENOUGH = 0.1, 64
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
@@ -125,6 +125,26 @@ def fit(train: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, cent
     return idf, [r["lang"] for r in kept], matrix
 
 
+def _judged(model: tuple[np.ndarray, list[str], np.ndarray], texts: pa.Array, reject: float) -> tuple[list[str], list[float], list[bool]]:
+    """Language, cosine and rejection of each text."""
+    idf, names, matrix = model
+    turned = np.ascontiguousarray(matrix.T)
+    lang: list[str] = []
+    score: list[float] = []
+    far: list[bool] = []
+    for lo, hi, v in _some(pa.RecordBatch.from_arrays([texts], ["text"])):
+        cosine = weighted(v, idf) @ turned if len(names) else np.zeros((hi - lo, 1), dtype=np.float32)
+        best = cosine.argmax(axis=1)
+        top = np.clip(cosine[np.arange(hi - lo), best], 0, 1)
+        limit = reject * np.minimum(1, (v > 0).sum(axis=1) / ENOUGH)
+        for i in range(hi - lo):
+            known = bool(names) and any(c.isalpha() for c in texts[lo + i].as_py() or "")
+            lang.append(names[best[i]] if known else UNKNOWN)
+            score.append(float(top[i]) if known else 0.0)
+            far.append(not known or bool(top[i] < limit[i]))
+    return lang, score, far
+
+
 def predict(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], reject: float = REJECT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score, rejected) of every row's whole text.
 
@@ -136,28 +156,27 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], re
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, names, matrix = shared.value
-        turned = np.ascontiguousarray(matrix.T)
         for batch in batches:
-            lang: list[str] = []
-            score: list[float] = []
-            far: list[bool] = []
-            for lo, hi, v in _some(batch):
-                cosine = weighted(v, idf) @ turned if len(names) else np.zeros((hi - lo, 1), dtype=np.float32)
-                best = cosine.argmax(axis=1)
-                top = np.clip(cosine[np.arange(hi - lo), best], 0, 1)
-                limit = reject * np.minimum(1, (v > 0).sum(axis=1) / ENOUGH)
-                for i in range(hi - lo):
-                    known = bool(names) and any(c.isalpha() for c in batch.column("text")[lo + i].as_py() or "")
-                    lang.append(names[best[i]] if known else UNKNOWN)
-                    score.append(float(top[i]) if known else 0.0)
-                    far.append(not known or bool(top[i] < limit[i]))
+            lang, score, far = _judged(shared.value, batch.column("text"), reject)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], [key, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], reject: float = REJECT, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that predict() doesn't reject."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rejected = _judged(shared.value, batch.column(text), reject)[2]
+            yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """Is crc32(key as text) mod folds this fold? A null key is in no fold."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
