@@ -6,9 +6,10 @@ many pairs as members, and after these links only pairs of a bucket that lie in
 pair's signatures are compared a batch of hashes at a time, and the pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls under MISS. What survives is verified on full sets.
 
-The pairs across components are first cut by an exact bound: a shingle that no other set of the round holds is in no
-intersection, so a set of n shingles, f of them shared, meets no set in more than f. Large groups of loose copies then
-leave few pairs, and no link is lost.
+A set takes no part in that second round if too many of its shingles are in no other set of the round: a set of n
+shingles, f of them shared, meets no set in more than f. In a bucket the members outside its largest component are
+queries against all members, in blocks of a bounded number of shingles; a block emits links, never pairs, so large
+groups of loose copies cost neither rows nor memory, and no link is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ PERCENT = 75
 BANDS, ROWS = 40, 5
 #: Hashes compared at a time, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 40, 1e-8
+#: Shingles that a block of the second round holds, on average, on each side.
+BLOCK_SHINGLES = 500_000
 _SPACES = word_table(SPACE_BYTES)
 
 
@@ -66,6 +70,7 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out.T.copy()
 
 
+@lru_cache
 def least_matches(n: int, percent: int, miss: float) -> int:
     """Fewest matches among n hashes with P(similarity >= threshold | matches) >= miss, from a uniform prior."""
     t, total = percent / 100, 0.0
@@ -117,7 +122,6 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_
     """Pairs that the sequential test keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need: dict[int, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -127,9 +131,7 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_
                 cut = slice(seen, min(seen + batch_size, x.shape[1]))
                 matches[alive] += (x[alive, cut] == y[alive, cut]).sum(axis=1)
                 seen = cut.stop
-                if seen not in need:
-                    need[seen] = least_matches(seen, percent, miss)
-                alive = alive[matches[alive] >= need[seen]]
+                alive = alive[matches[alive] >= least_matches(seen, percent, miss)]
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
     sig = nodes.select("node", "sig")
@@ -186,6 +188,53 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, words: int, percent: i
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _across(able: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, miss: float, batch_size: int, kind: str) -> DataFrame:
+    """(a, b): for each able(bucket, node, root, n) and each other root that it links to in a bucket, such a link."""
+    by_root = able.groupBy("bucket", "root").agg(F.sum("n").alias("n"))
+    sizes = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("n").alias("every"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
+    sizes = sizes.select("bucket", F.col("main")["root"].alias("main"), F.ceil(F.col("every") / BLOCK_SHINGLES).alias("ci"), F.ceil((F.col("every") - F.col("main")["n"]) / BLOCK_SHINGLES).alias("cq"))
+    rows = materialise(able.join(sizes, "bucket"), "across")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).alias("own")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = rows.where("root <> main").select("bucket", "node", "root", part("cq"), each("ci").alias("i")).select("bucket", F.col("own").alias("q"), "i", "node", "root", F.lit(True).alias("asks"))
+    index = rows.select("bucket", "node", "root", part("ci"), each("cq").alias("q")).select("bucket", "q", F.col("own").alias("i"), "node", "root", F.lit(False).alias("asks"))
+    blocks = asked.unionByName(index).join(full, "node").join(nodes.select("node", "sig"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        sig = np.stack([np.frombuffer(x, dtype=np.uint32) for x in table.column("sig").to_pylist()])
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        asks = np.array(table.column("asks").to_pylist(), dtype=bool)
+        names = {r: i for i, r in enumerate(dict.fromkeys(root))}
+        group = np.array([names[r] for r in root])
+        questions, rows = np.flatnonzero(asks), np.flatnonzero(~asks)
+        n = np.array([len(x) for x in sets])
+        flat = np.concatenate([sets[j] for j in rows]) if len(rows) else np.empty(0, dtype=np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(rows)), n[rows])[order]
+        found = []
+        for q in questions.tolist():
+            alive = np.flatnonzero((group[rows] != group[q]) & (100 * np.minimum(n[rows], n[q]) >= percent * np.maximum(n[rows], n[q])))
+            matches, seen = np.zeros(len(rows), dtype=np.int64), 0
+            while seen < sig.shape[1] and len(alive):
+                cut = slice(seen, min(seen + batch_size, sig.shape[1]))
+                matches[alive] += (sig[rows[alive], cut] == sig[q, cut]).sum(axis=1)
+                seen = cut.stop
+                alive = alive[matches[alive] >= least_matches(seen, percent, miss)]
+            if not len(alive):
+                continue
+            lo, hi = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
+            size = hi - lo
+            take = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            both = np.bincount(owner[take], minlength=len(rows))[alive]
+            linked = alive[100 * both >= percent * (n[q] + n[rows[alive]] - both)]
+            for j in linked[np.unique(group[rows[linked]], return_index=True)[1]].tolist():
+                found.append((node[q], node[rows[j]]))
+        return pa.table([pa.array([x[i] for x in found], table.schema.field("node").type) for i in (0, 1)], ["a", "b"])
+
+    return materialise(blocks.groupBy("bucket", "q", "i").applyInArrow(run, f"a {kind}, b {kind}"), "links")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, batch: int = BATCH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
 
@@ -218,13 +267,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     rest = materialise(rest.join(split, "bucket", "left_semi"), "rest")
     if not rest.isEmpty():
-        # a pair of sizes n and m can only link if (100 + percent) * f >= percent * (n + m) for the f of either
-        shared = _shared(_sets(rest.select(F.col("node").alias(key)), docs, key, words, kind), kind)
-        able = materialise(rest.join(shared.where(F.expr(f"100 * f >= {percent} * n")), "node"), "able")
-        other = able.withColumnsRenamed({"node": "b", "root": "other", "n": "m", "f": "g"})
-        fits = f"node < b and root <> other and {100 + percent} * least(f, g) >= {percent} * (n + m)"
-        across = materialise(able.join(other, "bucket").where(fits).select(F.col("node").alias("a"), "b").distinct(), "across")
-        roots = components(links.unionByName(verified(across)))
+        full = _sets(rest.select(F.col("node").alias(key)), docs, key, words, kind)
+        shared = _shared(full, kind)
+        able = rest.join(shared.where(F.expr(f"100 * f >= {percent} * n")), "node").select("bucket", "node", "root", "n")
+        roots = components(links.unionByName(_across(able, nodes, full, percent, miss, batch, kind)))
     found = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return (
         sketches.select("key", "n", "digest")
