@@ -18,7 +18,7 @@ def ratio(total: Column, count: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def relative_change(now: Column, before: Column, floor: float = 1e-30) -> Column:
@@ -27,4 +27,5 @@ def relative_change(now: Column, before: Column, floor: float = 1e-30) -> Column
 
 def symmetric_limit(x: Column, floor: float = 1e-12, default: float = 1.0) -> Column:
     """An aggregate: max |x| over finite values, at least floor; default where there are none."""
-    return F.coalesce(F.greatest(F.max(F.when(finite(x), F.abs(x))), F.lit(floor)), F.lit(default))
+    most = F.max(F.when(finite(x), F.abs(x)))
+    return F.when(most.isNotNull(), F.greatest(most, F.lit(floor))).otherwise(F.lit(default))
