@@ -23,14 +23,14 @@ from .license_scan import DELIMITERS
 
 #: Words of a block; a passage is two blocks.
 BLOCK = 12
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 #: Dimensions of the latent space, and those that the randomised range finder has besides.
 RANK, EXTRA = 128, 8
 #: A window is compared where this share of its squared weight lies on the benchmark's features, and is a candidate
 #: from this cosine on.
-SHARE, COSINE = 0.25, 0.5
+SHARE, COSINE = 0.3, 0.5
 #: Shares of an item's words that must stand in order in a document: without more, and with the answer's words there too.
-ALONE, WITH_ANSWER = 0.75, 0.55
+ALONE, WITH_ANSWER = 0.65, 0.5
 #: Share of the answer's words that must stand in order.
 ANSWER = 0.8
 #: Items of fewer words must be there in full.
@@ -62,7 +62,7 @@ def text_words(texts: list[str]) -> list[np.ndarray]:
 
 
 def features(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(48)).astype(np.int64)
+    return (h >> np.uint64(46)).astype(np.int64)
 
 
 def common_length(a: list[int], b: list[int]) -> int:
@@ -225,15 +225,22 @@ class Index:
         total[:-1] += np.where(two[:-1], total[1:], 0)
         own[:-1] += np.where(two[:-1], own[1:], 0)
         near = np.flatnonzero(own >= SHARE * total)
+        if not len(near):
+            return {}
+        # sums of the blocks that those windows have, each block once; row -1 of the vectors is zero
+        need = np.unique(np.r_[near, near[two[near]] + 1])
+        word = first[need][:, None] + np.arange(BLOCK)
+        word = np.where(word < np.r_[first[1:], len(h)][need][:, None], self.row[f[np.minimum(word, len(h) - 1)]], len(self.vector) - 1)
+        sums = np.concatenate([self.vector[word[k : k + 4000]].sum(axis=1) for k in range(0, len(word), 4000)])
+        at_block = np.searchsorted(need, near)
         found: dict[tuple[int, int], tuple[float, float, bool, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for k in range(0, len(near), 2000):
-            w = near[k : k + 2000]
+        for k in range(0, len(near), 4000):
+            w = near[k : k + 4000]
             start, end = first[w], np.minimum(first[w] + 2 * BLOCK, at[text[w] + 1])
-            n = end - start
-            take = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            x = np.add.reduceat(self.vector[self.row[f[take]]], np.r_[0, np.cumsum(n)[:-1]], axis=0)
+            x = sums[at_block[k : k + 4000]] + np.where(two[w][:, None], sums[np.minimum(at_block[k : k + 4000] + 1, len(sums) - 1)], 0)
             cosine = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.latent
+            regions: dict[tuple[int, int], tuple[list[int], set[int]]] = {}
             for i, p in np.argwhere(cosine >= COSINE).tolist():
                 doc, item = int(text[w[i]]), int(self.item[p])
                 if (doc, item) in found or (doc, item, i + k) in tried:
@@ -241,7 +248,13 @@ class Index:
                 tried.add((doc, item, i + k))
                 length = len(self.words[item])
                 lo, hi = max(int(at[doc]), int(start[i]) - length), min(int(at[doc + 1]), int(end[i]) + length)
-                region = h[lo:hi].tolist()
+                if (lo, hi) not in regions:
+                    region = h[lo:hi].tolist()
+                    regions[lo, hi] = region, set(region)
+                region, there = regions[lo, hi]
+                # no more words can stand in order than are there at all
+                if sum(map(there.__contains__, self.words[item])) < min(WITH_ANSWER, ALONE) * length:
+                    continue
                 share = common_length(self.words[item], region) / length
                 answer = bool(self.answers[item]) and common_length(self.answers[item], region) >= ANSWER * len(self.answers[item])
                 if share >= (1 if length < SHORT else ALONE) or (length >= SHORT and share >= WITH_ANSWER and answer):
@@ -249,6 +262,20 @@ class Index:
         return found
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> Iterator:
+    """Broadcast parts of the benchmark, each of a bounded number of words."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text")).where("item is not null")
+    idf = document_weights(docs.select(F.col(text).cast("string").alias("text")))
+    used, basis = latent_space(items, idf)
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    parts = -(-words // PART_WORDS) or 1
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
+        yield spark.sparkContext.broadcast(Index([(r[0], r[1] or "") for r in own.orderBy("item", "text").collect()], idf, used, basis))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """(key, item, cosine, share, answer, first_word, end_word): a row for each document and benchmark item it holds.
 
@@ -257,28 +284,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     out, a null key stays null, and repeated rows give repeated results. An empty table on either side gives an empty
     result, and other columns are not looked at.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    items = benchmark.select(F.col(item), F.col(text).cast("string").alias("text")).where(F.col(item).isNotNull())
-    idf = document_weights(docs)
-    used, basis = latent_space(items, idf)
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = -(-words // PART_WORDS) or 1
-    kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}, cosine double, share double, answer boolean, first_word long, end_word long"
-    arrow, out = to_arrow_type(items.schema[item].dataType), None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64(item), F.lit(parts)) == part) if parts > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1] or "") for r in own.orderBy(item, "text").collect()], idf, used, basis))
+    kind = benchmark.schema[item].dataType
+    kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {kind.simpleString()}, cosine double, share double, answer boolean, first_word long, end_word long"
+    arrow, rows, out = to_arrow_type(kind), docs.select(F.col(key), F.col(text).cast("string").alias("text")), None
+    for index in _indexes(docs, benchmark, text, item):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, _, buf, cuts in text_chunks(batch, "text", 1 << 20):
                     hits = sorted(index.value.search(buf, cuts).items())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(key).take(pa.array([lo + d for (d, _), _ in hits], pa.int64())), pa.array([index.value.ids[i] for (_, i), _ in hits], arrow), *(pa.array([x[j] for _, x in hits], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())))],
+                        [batch.column(0).take(pa.array([lo + d for (d, _), _ in hits], pa.int64())), pa.array([index.value.ids[i] for (_, i), _ in hits], arrow), *(pa.array([x[j] for _, x in hits], t) for j, t in enumerate((pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())))],
                         [key, item, "cosine", "share", "answer", "first_word", "end_word"],
                     )
-        found = docs.mapInArrow(search, kinds)
+
+        found = rows.mapInArrow(search, kinds)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of the benchmark by leaks()."""
+    out = docs
+    for index in _indexes(docs, benchmark, text, item):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for lo, _, buf, cuts in text_chunks(batch, text, 1 << 20):
+                    keep[[lo + d for d, _ in index.value.search(buf, cuts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
