@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from . import config as configs
 from .functions.geometry import cell_area
@@ -15,8 +16,6 @@ from .functions.harmonics import PERIOD
 from .operators import fit, folds, gates, metrics, model_frame, storage
 from .sources import files
 
-from pyspark.sql import functions as F
-
 
 def verify(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
     """Digests of inputs against the configured ones."""
@@ -58,8 +57,15 @@ def figures(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
     return _present(spark, c.figures, "figures")
 
 
+def spatial_qa(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
+    """The stored record of the spatial review, where the configuration names one."""
+    if not c.qa:
+        return {}
+    return files.read_document(c.qa) if Path(c.qa).exists() else {"qa_status": "failed_missing"}
+
+
 def audit(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
-    parts = {f.__name__: f(spark, c) for f in (verify, invert, cv, storage_summary, products, figures)}
+    parts = {f.__name__: f(spark, c) for f in (verify, invert, cv, storage_summary, products, figures, spatial_qa)}
     reasons = [f"{name}: {k}" for name, part in parts.items() for k, v in part.items() if _bad(k, v)]
     report = {**parts, "failure_reasons": reasons, "overall_status": "failed" if reasons else "passed"}
     files.write_report(json.loads(json.dumps(report, default=str)), f"{c.output}/audit.json")

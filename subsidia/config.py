@@ -20,6 +20,7 @@ class Config:
     design: Design
     model: StorageModel
     output: str = "outputs"
+    qa: str | None = None
     budgets: tuple[int, int, int] = (100, 200, 500)
     origin_latitude: float = 0.0
     step: tuple[float, float] = (0.001, 0.001)
@@ -54,7 +55,7 @@ def config_from(raw: Mapping[str, Any], base: Path = Path(".")) -> Config:
     rest |= {k: {n: place(p) for n, p in raw[k].items()} for k in ("products", "figures") if k in raw}
     rest |= {k: tuple(raw[k]) for k in ("budgets", "step") if k in raw}
     rest |= {"hashes": {place(p): h for p, h in raw.get("hashes", {}).items()}, "expected": tuple((str(s), str(g), float(v), float(t)) for s, g, v, t in raw.get("expected", ()))}
-    config = Config(pixels=place(raw["pixels"]), design=design, model=model, output=place(raw.get("output", "outputs")), **rest)
+    config = Config(pixels=place(raw["pixels"]), design=design, model=model, output=place(raw.get("output", "outputs")), qa=place(raw["qa"]) if raw.get("qa") else None, **rest)
     check_frozen(config)
     return config
 

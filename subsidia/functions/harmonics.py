@@ -54,3 +54,8 @@ def direction_label(shift: Column) -> Column:
 
 def amplitude(sin: Column, cos: Column) -> Column:
     return F.hypot(sin, cos)
+
+
+def cyclic_limits(period: float = PERIOD) -> tuple[float, float]:
+    """Colour limits for maps of phases."""
+    return 0.0, period

@@ -58,9 +58,11 @@ def test_commands_and_exit_codes(spark, tmp_path, capsys):
         assert cli.main([command, "--config", str(path)]) == 0, capsys.readouterr().out
     assert cli.main(["invert", "--config", str(path), "--optimize", "--maxiter", "1"]) == 0
     assert len(files.load_parameters(spark, str(tmp_path / "out" / "parameters"), "fitted")) == 5
-    settings |= {"products": {"map": "nowhere"}, "hashes": {"data": "0"}}
+    settings |= {"products": {"map": "nowhere"}, "hashes": {"data": "0"}, "qa": "none.json"}
     path.write_text(json.dumps(settings))
     assert cli.main(["verify", "--config", str(path)]) == cli.main(["products", "--config", str(path)]) == cli.main(["audit", "--config", str(path)]) == 1
+    reasons = files.read_document(str(tmp_path / "out" / "audit.json"))["failure_reasons"]
+    assert {"spatial_qa: qa_status", "products: products_status"} <= set(reasons)
     assert cli.main(["cv", "--config", str(tmp_path / "none.json")]) == 1
     with pytest.raises(SystemExit) as told:
         cli.main(["--help"])
