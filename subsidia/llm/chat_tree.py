@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidy
 
 #: The marks around a turn. Inside roles and texts a backslash precedes every "<", ">" and backslash, so
 #: an unescaped "<" begins a mark and nothing in a text can look like one.
@@ -50,6 +50,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescape(found[1]), unescape(found[2])
 
 
+@tidy
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names, positions and texts of the nodes of each conversation; rows come by conversation and turn."""
     names = ["conv_id", "depth", "node", "parent", "start", "n_tokens", "formatted", "loss_from", "loss_to"]
@@ -97,6 +98,7 @@ def chat_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from the emitted nodes alone."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, turns, learnt, loss, size = None, 0, None, None, 0, 0
         for batch in batches:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
 import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,18 +22,34 @@ CHUNK_BYTES = 4 << 20
 #: Words longer than this many bytes are hashed with BLAKE2b.
 LONG_WORD = 1 << 16
 _BLOCK = 1 << 20
+_TABLES: list[str] = []
 _U = np.uint64
 
 #: ASCII white space; every other byte belongs to a word.
 SPACE_BYTES = b"\t\n\x0b\x0c\r "
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives its free memory back at its end: workers live on, for other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, so that long texts don't fill a worker's memory; let workers find this package."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in (paths := [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]):
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    for key, value in (("maxBytesPerBatch", str(32 << 20)), ("maxRecordsPerBatch", "4000")):
+    for key, value in (("maxBytesPerBatch", str(32 << 20)), ("maxRecordsPerBatch", "2000")):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
@@ -46,10 +66,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if not _TABLES:
+        atexit.register(drop_tables, spark)
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what materialise() wrote; results that read it must have been used. Runs at exit too."""
+    try:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while _TABLES:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone by now
+        _TABLES.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))

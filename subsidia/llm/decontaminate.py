@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, hash_words, mixed, text_chunks, word_table
+from .common import bounded_batches, hash_words, mixed, text_chunks, tidy, word_table
 from .license_scan import DELIMITERS
 
 #: Words of a block; a passage is two blocks.
@@ -88,6 +88,7 @@ def _blocks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def document_weights(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each feature over all blocks of docs(text)."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total = np.zeros(FEATURES, dtype=np.int64), 0
         for batch in batches:
@@ -104,6 +105,7 @@ def document_weights(docs: DataFrame) -> np.ndarray:
             for i in range(0, FEATURES, 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total], pa.int64()), pa.array([found[i : i + 4096].tobytes()], pa.binary())], ["first", "total", "counts"])
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total, first = np.zeros(4096, dtype=np.int64), 0, None
         for batch in batches:
@@ -144,6 +146,7 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, extra:
     """The features of benchmark(text) and their rows of the leading right singular vectors of its TF-IDF passages."""
     width = rank + extra
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -154,6 +157,7 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, extra:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["feature", "sums"])
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -171,6 +175,7 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, extra:
     place = np.zeros(FEATURES, dtype=np.int64)
     place[used] = np.arange(len(used))
 
+    @tidy
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((q.shape[1], q.shape[1]))
         for batch in batches:
@@ -289,6 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     arrow, rows, out = to_arrow_type(kind), docs.select(F.col(key), F.col(text).cast("string").alias("text")), None
     for index in _indexes(docs, benchmark, text, item):
 
+        @tidy
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, _, buf, cuts in text_chunks(batch, "text", 1 << 20):
@@ -308,6 +314,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     out = docs
     for index in _indexes(docs, benchmark, text, item):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches, text_chunks
+from .common import bounded_batches, text_chunks, tidy
 
 #: Buckets of hashed n-grams (of three and of two bytes).
 BUCKETS = 4096
@@ -90,6 +90,7 @@ def fit(train: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, cent
     bounded_batches(train.sparkSession)
     train = train.where("lang is not null and text is not null")
 
+    @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in batches:
@@ -102,12 +103,16 @@ def fit(train: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, cent
     found = {r["bucket"]: r["n"] for r in train.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     df = np.array([found.get(i, 0) for i in range(BUCKETS)], dtype=np.float64)
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    frequent = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    order = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = train.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(F.broadcast(frequent), "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    frequent = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "k")
+    # the sample's hashes are the least ones: rows that lie far above them needn't meet in a task
+    near = F.pmod("h", F.lit(1 << 30)).cast("double") * F.col("count") <= float(4 * sample << 30)
+    rows_of = train.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(F.broadcast(frequent), "lang").where(near)
+    chosen = rows_of.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
     chosen = F.broadcast(chosen.select("lang", "h", "k"))
     texts = train.select("lang", "text", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(chosen, ["lang", "h", "k"], "left_semi").select("lang", "text")
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, v in _some(batch):
@@ -155,6 +160,7 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], re
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, far = _judged(shared.value, batch.column("text"), reject)
@@ -169,6 +175,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], r
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rejected = _judged(shared.value, batch.column(text), reject)[2]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_batches, gram_hashes, hash_bytes, hash_words, materialise, text_chunks, word_table
+from .common import bounded_batches, gram_hashes, hash_bytes, hash_words, materialise, text_chunks, tidy, word_table
 
 K = 2
 #: Diagonals at most this far apart are merged.
@@ -96,6 +96,7 @@ def license_scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
     places = F.broadcast(spark.createDataFrame(rows, "gram long, template int, t int, bit long"))
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
+    @tidy
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, cuts in text_chunks(batch, "text"):
@@ -122,6 +123,7 @@ def license_scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE_BYTES, bounded_batches, gram_hashes, hash_words, materialise, text_chunks, word_table
+from .common import SPACE_BYTES, bounded_batches, gram_hashes, hash_words, materialise, text_chunks, tidy, word_table
 from .components import components, with_ids
 
 WORDS = 5
@@ -82,6 +82,7 @@ def least_matches(n: int, percent: int, miss: float) -> int:
 
 
 def _sketch(docs: DataFrame, key: str, words: int, n: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, cuts in text_chunks(batch, "text", 1 << 20):
@@ -101,6 +102,7 @@ def _sketch(docs: DataFrame, key: str, words: int, n: int) -> DataFrame:
 def _buckets(nodes: DataFrame, bands: int, rows: int, kind: str) -> DataFrame:
     """(bucket, node): a row for each band of each node."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -121,6 +123,7 @@ def _buckets(nodes: DataFrame, bands: int, rows: int, kind: str) -> DataFrame:
 def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_size: int, kind: str) -> DataFrame:
     """Pairs that the sequential test keeps."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -142,6 +145,7 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_
 def _sets(ids: DataFrame, docs: DataFrame, key: str, words: int, kind: str) -> DataFrame:
     """(node, shingles binary) of the documents whose keys are in ids(key)."""
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, cuts in text_chunks(batch, "text", 1 << 20):
@@ -154,6 +158,7 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, words: int, kind: str) -> D
 def _shared(full: DataFrame, kind: str) -> DataFrame:
     """(node, n, f): the size of each set and how many of its shingles another set holds too."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 32):
@@ -171,6 +176,7 @@ def _shared(full: DataFrame, kind: str) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, key: str, words: int, percent: int, kind: str) -> DataFrame:
     """Pairs whose full sets reach the threshold. docs: a row for each node at least."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

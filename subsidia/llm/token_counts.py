@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Entries of a worker's cache of pre-tokens outside the broadcast table.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Pre-tokens longer than this are encoded but not cached.
 CACHED_LENGTH = 64
 #: Code points that any version of Unicode since 6 classes alike; other texts go whole to the library.
@@ -113,6 +113,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
     table = Counter(spec).table()
     shared = spark.sparkContext.broadcast((spec, "\x00".join(k for k in table if "\x00" not in k), bytes(min(255, v) for k, v in table.items() if "\x00" not in k)))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, words, lengths = shared.value
         worker = _WORKER.get(tokenizer_path)
