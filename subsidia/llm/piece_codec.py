@@ -3,8 +3,8 @@
 A text becomes segments that no merge can cross: a run of word marks and what follows it. The distinct segments of a
 batch lie in flat numpy arrays, one symbol after another. Each round looks up the rank of every adjacent pair, takes the
 smallest rank of each segment, merges its occurrences from the left in all segments at once and compacts the arrays;
-a segment leaves when no pair is left. Characters outside the vocabulary become byte pieces. A bounded cache in each
-worker keeps the segments seen before.
+a segment leaves when no pair is left. Characters outside the vocabulary become byte pieces. A bounded cache keeps the
+segments that a task has seen before.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 MARK = "▁"
-CACHE_ENTRIES = 300_000
+#: Segments that a worker remembers within a task.
+CACHE_ENTRIES = 120_000
 CACHED_LENGTH = 64
 #: Segments of more symbols go through an agenda of pairs instead: rounds would be as many as their merges.
 LONG_SEGMENT = 1000
@@ -28,6 +29,23 @@ _NONE = np.int32(2**31 - 1)
 _WORKER: dict[str, "Codec"] = {}
 
 
+class _Strings:
+    """Byte strings in one buffer, to be put together by arrays of their numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.buffer = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        self.size = np.array([len(x) for x in strings], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """For each run of ids, up to its end, its strings in one."""
+        size = self.size[ids]
+        total = np.r_[0, np.cumsum(size)]
+        raw = self.buffer[np.repeat(self.start[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        cut = total[np.r_[0, ends]].tolist()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 class Codec:
     """Encodes and decodes as the library does, for BPE models with an identity normaliser and byte fallback."""
 
@@ -69,9 +87,10 @@ class Codec:
         counts = np.bincount(self.rank[list(normal.values())])
         self.unsafe |= counts[np.minimum(self.rank, len(counts) - 1)] > 1
         self._hash(np.array(keys, dtype=np.uint64), np.array(ids, dtype=np.int32))
-        self.symbol_text = {v: k for k, v in symbols.items()}
+        self.decimal = _Strings([b"%d," % i for i in range(len(self.pieces))])
+        self.bytes = _Strings([bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)])
         self.entries = entries
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def _hash(self, keys: np.ndarray, ids: np.ndarray) -> None:
         """Open addressing, so that a lookup is a few gathers."""
@@ -110,9 +129,17 @@ class Codec:
 
     def encode_segments(self, segments: list[str]) -> list[list[int]]:
         """Ids of each segment (word marks included)."""
+        flat, ends = self._encoded(segments)
+        flat, cut = flat.tolist(), [0, *ends.tolist()]
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one after another, and where each ends."""
         if any(len(s) > LONG_SEGMENT for s in segments):
-            short = iter(self.encode_segments([s for s in segments if len(s) <= LONG_SEGMENT]))
-            return [self._encode_long(s) if len(s) > LONG_SEGMENT else next(short) for s in segments]
+            ids, ends = self._encoded([s for s in segments if len(s) <= LONG_SEGMENT])
+            short = iter(np.split(ids, ends)[:-1])
+            parts = [np.array(self._encode_long(s), dtype=np.int64) if len(s) > LONG_SEGMENT else next(short) for s in segments]
+            return np.concatenate(parts), np.cumsum([len(x) for x in parts])
         text = "".join(segments)
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
@@ -152,7 +179,9 @@ class Codec:
             moved = np.cumsum(keep) - 1
             touched = moved[hit]
             at, sym, seg, made = at[keep], sym[keep], seg[keep], made[keep]
-            again = np.unique(np.r_[touched, touched[touched > 0] - 1])
+            near = np.zeros(len(sym) + 1, dtype=bool)
+            near[touched] = near[touched - 1] = True  # the place before the first is the last one, which is none
+            again = np.flatnonzero(near[:-1])
             inside = again[again + 1 < len(sym)]
             made[again] = -1
             inside = inside[seg[inside] == seg[inside + 1]]
@@ -162,12 +191,17 @@ class Codec:
         order = np.argsort(place, kind="stable")
         place, ids = place[order], ids[order]
         ends = np.searchsorted(place, np.cumsum(sizes))
-        flat, out, lo = ids.tolist(), [], 0
-        plain = len(ids) == 0 or (ids.min() >= 0 and ids.max() < len(self.pieces))
-        for hi in ends.tolist():
-            out.append(flat[lo:hi] if plain else [x for i in range(lo, hi) for x in self._bytes(flat[i], text[place[i]])])
-            lo = hi
-        return out
+        odd = np.flatnonzero((ids < 0) | (ids >= len(self.pieces)))
+        if len(odd):
+            # characters that are no pieces become their bytes
+            raw = [[self.byte_id[b] for b in text[place[i]].encode()] for i in odd.tolist()]
+            size = np.ones(len(ids), dtype=np.int64)
+            size[odd] = [len(x) for x in raw]
+            total = np.r_[0, np.cumsum(size)]
+            ids, ends = np.repeat(ids, size), total[ends]
+            for i, x in zip(total[odd].tolist(), raw, strict=True):
+                ids[i : i + len(x)] = x
+        return ids.astype(np.int64), ends
 
     def _encode_long(self, segment: str) -> list[int]:
         """The same merges in time n log n: the best pair, and of equals the leftmost, from a heap over a linked list."""
@@ -219,15 +253,20 @@ class Codec:
             out.append(held.decode(errors="replace"))
         return "".join(out)
 
-    def fill(self, keys: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Table that holds every key: (number of ids, ids in decimal, text). A key without a word mark stands behind one."""
+    def fill(self, keys: set[str]) -> dict[str, tuple[int, bytes, bytes]]:
+        """Table that holds every key: (number of ids, ids in decimal with commas, text decoded from them).
+
+        A key without a word mark stands behind one.
+        """
         missing = list(keys.difference(self.known))
         if len(self.known) + len(missing) > self.entries:
             self.known = {}
             missing = list(keys)
         segments = [k if k[:1] == MARK else MARK + k for k in missing]
-        for key, ids in zip(missing, self.encode_segments(segments), strict=True):
-            self.known[key] = len(ids), ",".join(map(str, ids)), self.surface(ids)
+        if segments:
+            ids, ends = self._encoded(segments)
+            n = np.diff(np.r_[0, ends]).tolist()
+            self.known.update(zip(missing, zip(n, self.decimal.joined(ids, ends), self.bytes.joined(ids, ends), strict=True), strict=True))
         return self.known
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -245,9 +284,8 @@ class Codec:
         known, out = self.fill(keys), []
         for words in cut:
             found = [known[w] for w in words]
-            ids = ",".join([x[1] for x in found])
-            text = "".join([x[2] for x in found])[1:]
-            out.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            n, ids, text = zip(*found, strict=True) if found else ((), (), ())
+            out.append((sum(n), hashlib.sha256(b"".join(ids)[:-1]).hexdigest(), hashlib.sha256(b"".join(text)[1:]).hexdigest()))
         for k in [k for k in keys if len(k) > CACHED_LENGTH]:
             del known[k]
         return out
@@ -283,16 +321,18 @@ def piece_digests(docs: DataFrame, model_path: str, text: str = "text", key: str
     """
     shared = _model(docs, model_path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path, shared.value)
         for batch in batches:
             texts, out, lo, held = batch.column(1).fill_null("").to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
-                if held > 2_000_000 or i + 1 == len(texts):
+                if held > 1_000_000 or i + 1 == len(texts):
                     out += codec.digests(texts[lo : i + 1])
                     lo, held = i + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[j] for x in out], pa.string()) for j in (1, 2))], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.known = {}
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -302,6 +342,7 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", key: str
     """(key, ids array<int>): the ids of every row's whole text; a null text has an empty array."""
     shared = _model(docs, model_path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path, shared.value)
         for batch in batches:
@@ -318,6 +359,7 @@ def decode_column(rows: DataFrame, model_path: str, ids: str = "ids", key: str =
     """(key, text string): the text of each row's ids; null ids give the empty text."""
     shared = _model(rows, model_path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path, shared.value)
         for batch in batches:
