@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import math
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 #: Axes of the WGS84 ellipsoid in metres.
 MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Size, affine transform and reference system of a raster; rasters of equal grids may be joined by row and column."""
+
+    width: int
+    height: int
+    transform: tuple[float, float, float, float, float, float]
+    crs: str
+
+
+def same_grid(*grids: Grid) -> bool:
+    return len(set(grids)) <= 1
+
+
 def cell_of(flat: Column, width: Column, block_row: Column, block_col: Column) -> tuple[Column, Column]:
     """Row and column of a flat index in a block."""
     return block_row + F.floor(flat / width).cast("long"), block_col + flat % width

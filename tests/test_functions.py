@@ -173,3 +173,16 @@ def test_symmetric_limit(spark):
     rows = spark.createDataFrame([(-2.0,), (1.0,), (math.nan,)], "x double")
     assert rows.agg(guards.symmetric_limit(F.col("x"))).first()[0] == 2.0
     assert rows.limit(0).agg(guards.symmetric_limit(F.col("x"))).first()[0] == 1.0
+
+
+def test_grids():
+    a = geometry.Grid(3, 2, (0.1, 0.0, 5.0, 0.0, -0.1, 9.0), "EPSG:4326")
+    assert geometry.same_grid(a, geometry.Grid(*(getattr(a, f) for f in ("width", "height", "transform", "crs")))) and not geometry.same_grid(a, geometry.Grid(3, 2, a.transform, "EPSG:32650"))
+
+
+def test_layout_prunes_folds(spark, tmp_path):
+    from subsidia.sources.pixels import layout
+
+    layout(pixels(spark).withColumn("block_id", F.col("pixel_id") % 3), str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p")).where("fold_id = 2")
+    assert rows.count() == 8 and "PartitionFilters: [isnotnull(fold_id" in rows._jdf.queryExecution().executedPlan().toString()
