@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark import TaskContext
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidy
 
 SCALE, TOP, EVERY = 64, 20, 20
 #: Rows of a block of the index, queries of a block, and queries added up at once.
@@ -153,6 +153,7 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
     rows = vectors.select(F.col(key).cast("long").alias("id"), codes(F.col(vector), scale).alias("q")).where("id is not null and q is not null")
     width = rows.agg(F.max(F.size("q"))).first()[0] or 1
 
+    @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
             block = Block(np.concatenate(ids), np.concatenate(values))
@@ -172,6 +173,7 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
         if held:
             yield packed()
 
+    @tidy
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = 0
         for batch in batches:
@@ -183,12 +185,13 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw.astype(np.int64).tobytes()], pa.binary())], ["asked", "queries"])
 
     blocks = materialise(rows.mapInArrow(index, "block long, rows binary"), "index")
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "q"]).mapInArrow(asked, "asked long, queries binary")
+    queries = materialise(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "q"]).mapInArrow(asked, "asked long, queries binary"), "queries")
     parts = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
     spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = parts.join(spread, "part").select("block", "asked", "rows", "queries").repartition(tasks, "block", "asked")
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in range(batch.num_rows):
