@@ -9,6 +9,7 @@ CACHE_ENTRIES, filled by encoding a batch's distinct misses. Neither tier change
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_batches, tidy
 
 #: Entries of a worker's cache of pre-tokens outside the broadcast table.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Pre-tokens longer than this are encoded but not cached.
 CACHED_LENGTH = 64
 #: Code points that any version of Unicode since 6 classes alike; other texts go whole to the library.
@@ -43,6 +44,7 @@ class Counter:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -58,7 +60,8 @@ class Counter:
         self.cache = dict(self.frequent)
 
     def library(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = self.tokenizer.encode_batch_fast
+        return [len(x) for i in range(0, len(texts), 4096) for x in encode(texts[i : i + 4096], add_special_tokens=False)]
 
     def table(self) -> dict[str, int]:
         """Vocabulary entries that are one pre-token each, with their lengths."""
@@ -127,7 +130,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
             lo, held = 0, 0
             for i, size in enumerate(sizes):
                 held += size
-                if held > 4_000_000 or i + 1 == len(sizes):
+                if held > 2_000_000 or i + 1 == len(sizes):
                     n += worker.counts(texts[lo : i + 1])
                     lo, held = i + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [key, "n_bytes", "n_tokens", "over_limit"])
