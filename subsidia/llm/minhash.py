@@ -34,7 +34,7 @@ BANDS, ROWS = 40, 5
 #: Hashes compared at a time, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 40, 1e-8
 #: Shingles that a block of the second round holds, on average, on each side.
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 100_000
 _SPACES = word_table(SPACE_BYTES)
 
 
