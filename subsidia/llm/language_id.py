@@ -143,19 +143,20 @@ def _judged(model: tuple[np.ndarray, list[str], np.ndarray], texts: pa.Array, re
         top = np.clip(cosine[np.arange(hi - lo), best], 0, 1)
         limit = reject * np.minimum(1, (v > 0).sum(axis=1) / ENOUGH)
         for i in range(hi - lo):
-            known = bool(names) and any(c.isalpha() for c in texts[lo + i].as_py() or "")
+            letters = any(c.isalpha() for c in texts[lo + i].as_py() or "")
+            known = letters and bool(names)
             lang.append(names[best[i]] if known else UNKNOWN)
             score.append(float(top[i]) if known else 0.0)
-            far.append(not known or bool(top[i] < limit[i]))
+            far.append(bool(top[i] < limit[i]) if known else not letters)
     return lang, score, far
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], reject: float = REJECT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score, rejected) of every row's whole text.
 
-    A null, empty or letterless text is "und" with score 0 and rejected, and so is every text under a model without
-    languages; equal cosines go to the first language by name. Null keys and repeated rows stay, an empty table gives an
-    empty table, and other columns of docs are not looked at.
+    A null, empty or letterless text is "und" with score 0 and rejected. Under a model without languages every text is
+    "und" with score 0, but texts with letters aren't rejected. Equal cosines go to the first language by name. Null keys
+    and repeated rows stay, an empty table gives an empty table, and other columns of docs are not looked at.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
