@@ -4,8 +4,9 @@ Texts become words (letters, digits and non-ASCII characters, case folded), word
 two blocks of BLOCK words become TF-IDF passages; document frequencies count all blocks of all documents. A distributed
 randomised SVD of the benchmark's passages gives the latent space: partitions of the benchmark send sums of
 A^T (A W) for a random W, later of (A Q)^T (A Q), never passages. A document's window can only be near a passage if the
-benchmark's features hold a share of its weight; such windows are projected and compared with all passages by cosine,
-and candidates are verified by the longest common subsequence with the item, and by its answer for paraphrases.
+benchmark's features hold a share of its weight; such windows are projected and compared with all passages by cosine.
+Candidates are verified by the longest common subsequence with the item, by the weight of the words that are there, and
+for paraphrases by the item's answer (its last sentence).
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SHARE, COSINE = 0.3, 0.5
 ALONE, WITH_ANSWER = 0.65, 0.5
 #: Share of the answer's words that must stand in order.
 ANSWER = 0.8
+#: Share of an item's squared weight that the words there must have: common words alone make no paraphrase.
+WEIGHT = 0.5
 #: Items of fewer words must be there in full.
 SHORT = 8
 #: Words of the benchmark that are searched in one pass; a larger benchmark is searched part by part.
@@ -201,13 +204,14 @@ class Index:
         self.row[used] = np.arange(len(used))
         self.known = self.row < len(used)
         self.vector = np.concatenate([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        self.ids, self.words, self.answers = [], [], []
+        self.ids, self.words, self.weights, self.answers = [], [], [], []
         latent, self.item = [], []
         for (i, text), h in zip(items, text_words([t for _, t in items]), strict=True):
             if not len(h):
                 continue
             self.ids.append(i)
             self.words.append(h.tolist())
+            self.weights.append((idf[features(h)].astype(np.float64) ** 2).tolist())
             self.answers.append(text_words([_SENTENCE.split(text.strip())[-1]])[0].tolist())
             for a, b in passages(h):
                 latent.append(self.vector[self.row[features(h[a:b])]].sum(axis=0))
@@ -263,6 +267,9 @@ class Index:
                 share = common_length(self.words[item], region) / length
                 answer = bool(self.answers[item]) and common_length(self.answers[item], region) >= ANSWER * len(self.answers[item])
                 if share >= (1 if length < SHORT else ALONE) or (length >= SHORT and share >= WITH_ANSWER and answer):
+                    weights = self.weights[item]
+                    if sum(x for w, x in zip(self.words[item], weights, strict=True) if w in there) < WEIGHT * sum(weights):
+                        continue
                     found[doc, item] = float(cosine[i, p]), share, answer, int(start[i] - at[doc]), int(end[i] - at[doc])
         return found
 
