@@ -1,13 +1,18 @@
 """Language-model scoring with Katz backoff over words.
 
-Unigram counts of all training words lie in a table partitioned by word hash. The words frequent enough to be among the
-VOCABULARY most frequent ones get ids, which are broadcast; the other words share one class, inside which a word's
-probability follows from its own exact count, so it needs a look at its table part. Bigram counts of ids lie in parts by
-history; a history so frequent that it would fill a part is spread over all parts by its next word. Each part receives
-the bigrams of all texts, counts those of the training texts, and evaluates every text's bigrams against its counts:
-seen ones by their Good-Turing discounted count, the others by the backoff weight of the history times the unigram
-probability. The backoff weights need sums over a history's seen words, which the parts send, at most one row a history
-and part; they make every history's distribution sum to one. Texts get back one partial sum a part.
+Unigram counts of all training words lie in a table partitioned by word hash. Every training word has its own bigrams.
+The words frequent enough to be among the VOCABULARY most frequent ones get short ids, which are broadcast; the others
+go by their 64-bit hashes. Bigrams of two ids lie in parts by history; a history so frequent that it would fill a part
+is spread over all parts by its next word. Loose bigrams, of which a word has no id, lie with the unigram count of the
+next word, or of the history where only that has no id. Each part receives the bigrams of all texts, counts those of the
+training texts, and evaluates every text's bigrams against its counts: seen ones by their Good-Turing discounted count,
+the others by the backoff weight of the history times the unigram probability. The backoff weights need sums over a
+history's seen words, which the parts send, at most one row a history and part; they make every history's distribution
+sum to one. Those of ids are summed for the driver, those of hashes in a table, which is joined with the bigrams of the
+texts. Texts get back one partial sum a part.
+
+Where the caller asks for a vocabulary, the words outside share one class, inside which a word's probability follows
+from its own exact count; unseen words share it in both cases.
 """
 
 from __future__ import annotations
@@ -18,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SPACE_BYTES, bounded_batches, hash_words, materialise, text_chunks, tidy, word_table
 from .language_id import held_out
 
+#: Words with ids, which are broadcast.
 VOCABULARY = 1 << 17
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -33,7 +39,9 @@ RARE_ADDED, BASE_ADDED = 0.5, 0.1
 PART_BYTES, GATHERED = 8 << 20, 6_000_000
 #: Under so many words a history may have seen them all.
 SMALL = 4096
-_END = np.uint64(1)
+#: Ids are smaller, hashes of words greater.
+_LOW = 1 << 20
+_END = np.uint64(_LOW)
 _SPACES = word_table(SPACE_BYTES)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -69,6 +77,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.empty(0, dtype=np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in keys])])
+
+
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each key in a sorted table, and whether it is there."""
     if not len(table):
@@ -80,6 +95,7 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _tokens(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, each followed by an end, and where each text begins (and the end)."""
     s, _, h = hash_words(buf, cuts, _SPACES)
+    h[h <= _END] += np.uint64(2 * _LOW)
     at = np.searchsorted(s, cuts)
     return np.insert(h, at[1:], _END), at + np.arange(len(at))
 
@@ -100,22 +116,29 @@ def good_turing(n: np.ndarray) -> np.ndarray:
 class Unigrams:
     """What is broadcast of the unigram counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, ones: np.ndarray, parts: int, starts: int):
-        self.keys, self.counts, self.n, self.v, self.parts = keys, counts, n, v, parts
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, ones: np.ndarray, parts: int, starts: int, classed: bool):
+        self.keys, self.counts, self.n, self.v, self.parts, self.classed = keys, counts, n, v, parts, classed
         self.rare, self.begin = len(keys), len(keys) + 1
         self.rare_n, self.rare_v = n - int(counts.sum()), v - len(keys)
-        d = np.r_[good_turing(ones), 1.0][np.minimum(counts, DISCOUNTED + 1)] if len(counts) else np.empty(0)
-        p = d * counts / max(n, 1)
-        left = 1 - p.sum()
+        self.d = np.r_[good_turing(ones), 1.0]
+        r = np.arange(1, DISCOUNTED + 1)
+        self.factor = 1.0
+        p = self.known(counts)
+        total = p.sum() if classed else (n - ((1 - self.d[r]) * r * ones[r]).sum()) / max(n, 1)
+        left = 1 - total
         if left <= 1e-12:
             left = 1 / (n + 1)
-            p = p * (1 - left) / p.sum()
-        #: Probabilities of the frequent words and of the rare class.
-        self.p = np.r_[p, left]
+            self.factor = (1 - left) / total
+        #: Probabilities of the words with ids, and of the rare class or an unseen word.
+        self.p = np.r_[p * self.factor, left]
         #: How often each id is a history.
-        self.history = np.r_[counts, self.rare_n, starts].astype(np.float64)
+        self.history = np.r_[counts, self.rare_n if classed else 0, starts].astype(np.float64)
         self.hot = np.flatnonzero(self.history * parts > max(n, 1))
 
+    def known(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of training words."""
+        return self.factor * self.d[np.minimum(counts, DISCOUNTED + 1)] * counts / max(self.n, 1)
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + BASE_ADDED) / (self.n + BASE_ADDED * (self.v + 1)))
 
@@ -178,7 +201,7 @@ def unigram_table(docs: DataFrame, parts: int) -> DataFrame:
     return materialise(docs.select("text", "train").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind), "unigrams")
 
 
-def frequent_words(table: DataFrame, vocabulary: int, parts: int, starts: int) -> Unigrams:
+def frequent_words(table: DataFrame, vocabulary: int, parts: int, starts: int, classed: bool) -> Unigrams:
     """The words of the greatest counts, as many as fit (all of a count or none), and totals."""
     #: Counts over 1024 are told apart by their first seven binary digits only.
     low = np.unique(np.r_[np.arange(1, 1025), [(64 + i) << e for e in range(4, 56) for i in range(64)]])
@@ -215,7 +238,7 @@ def frequent_words(table: DataFrame, vocabulary: int, parts: int, starts: int) -
     keys = np.concatenate([np.empty(0, dtype=np.uint64), *(x[0] for x in found)])
     counts = np.concatenate([np.empty(0, dtype=np.int64), *(x[1] for x in found)])
     order = np.argsort(keys)
-    return Unigrams(keys[order], counts[order], int(total.sum()), int(many.sum()), np.r_[0, many[: DISCOUNTED + 1]], parts, starts)
+    return Unigrams(keys[order], counts[order], int(total.sum()), int(many.sum()), np.r_[0, many[: DISCOUNTED + 1]], parts, starts, classed)
 
 
 _KINDS = "t long, part long, kind string, body binary, ids array<{}>"
@@ -227,14 +250,14 @@ def _row(arrow: pa.DataType, t: int, part: int, kind: str, body: bytes, ids: pa.
 
 
 class _Sender:
-    """Gathers the ids of texts and sends bigrams and rare words to their parts."""
+    """Gathers the ids of texts and sends bigrams and rare words, or loose bigrams, to their parts."""
 
     def __init__(self, model: Unigrams, arrow: pa.DataType):
         self.model, self.arrow, self.t = model, arrow, TaskContext.get().partitionId() << 24
         self._clear()
 
     def _clear(self) -> None:
-        self.docs, self.ids, self.flags, self.stats, self.pairs, self.rare, self.held = 0, [], [], [], [], [], 0
+        self.docs, self.ids, self.flags, self.stats, self.pairs, self.rare, self.loose, self.held = 0, [], [], [], [], [], [], 0
 
     def add(self, ids: pa.Array, train: np.ndarray, out: np.ndarray, buf: np.ndarray, cuts: np.ndarray) -> None:
         m = self.model
@@ -251,8 +274,16 @@ class _Sender:
         self.ids.append(ids)
         self.flags.append(np.stack([out, train]))
         whole = (doc + self.docs).astype(np.uint64)
-        self.pairs.append((before.astype(np.uint64) << np.uint64(44) | w.astype(np.uint64) << np.uint64(24) | whole))
-        self.rare.append((h[~known], whole[~known].astype(np.uint32)))
+        pairs = before.astype(np.uint64) << np.uint64(44) | w.astype(np.uint64) << np.uint64(24) | whole
+        if m.classed:
+            self.rare.append((h[~known], whole[~known].astype(np.uint32)))
+        else:
+            loose = (before == m.rare) | ~known
+            at = np.flatnonzero(loose)
+            own = np.where(before[at] == m.rare, h[at - 1], before[at].astype(np.uint64))
+            self.loose.append((own, np.where(known[at], w[at].astype(np.uint64), h[at]), whole[at].astype(np.uint32)))
+            pairs = pairs[~loose]
+        self.pairs.append(pairs)
         self.docs += len(n)
         self.held += len(h)
 
@@ -264,25 +295,98 @@ class _Sender:
             return
         m, flags = self.model, np.concatenate(self.flags, axis=1)
         yield _row(self.arrow, self.t, self.t % m.parts, "text", pack(flags[0], *np.concatenate(self.stats, axis=1)), pa.concat_arrays(self.ids))
-        pairs = np.sort(np.concatenate(self.pairs))
-        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        tf, pairs = np.diff(np.r_[first, len(pairs)]), pairs[first]
-        doc, key = (pairs & np.uint64((1 << 24) - 1)).astype(np.uint32), pairs >> np.uint64(24)
-        h, w = (key >> np.uint64(20)).astype(np.int64), (key & np.uint64((1 << 20) - 1)).astype(np.int64)
         train = flags[1].astype(bool)
-        for p, rows in _by_part(m.part_of(h, w), m.parts):
+        yield from self._send_rare() if m.classed else self._send_loose(train)
+        pairs, self.pairs = np.concatenate(self.pairs), []
+        pairs.sort()
+        first = _starts(pairs)
+        tf, pairs = np.diff(np.r_[first, len(pairs)]).astype(np.uint32), pairs[first]
+        del first
+        doc, key = (pairs & np.uint64((1 << 24) - 1)).astype(np.uint32), pairs >> np.uint64(24)
+        del pairs
+        part = m.part_of((key >> np.uint64(20)).astype(np.int64), (key & np.uint64((1 << 20) - 1)).astype(np.int64))
+        for p, rows in _by_part(part, m.parts):
             k = key[rows]
-            yield _row(self.arrow, self.t, p, "pairs", pack(np.diff(k, prepend=np.uint64(0)), doc[rows], tf[rows].astype(np.uint32), train[doc[rows]]))
+            yield _row(self.arrow, self.t, p, "pairs", pack(np.diff(k, prepend=np.uint64(0)), doc[rows], tf[rows], train[doc[rows]]))
+        self.t += 1
+        self._clear()
+
+    def _send_rare(self) -> Iterator[pa.RecordBatch]:
+        m = self.model
         words, docs = np.concatenate([x for x, _ in self.rare]), np.concatenate([x for _, x in self.rare])
         for p, rows in _by_part((words >> np.uint64(32)).astype(np.int64) % m.parts, m.parts):
             yield _row(self.arrow, self.t, p, "rare", pack(words[rows], docs[rows]))
-        self.t += 1
-        self._clear()
+
+    def _send_loose(self, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+        m = self.model
+        h, w, doc = (np.concatenate(x) for x in zip(*self.loose, strict=True))
+        self.loose = []
+        order = np.lexsort((doc, h, w))
+        h, w, doc = h[order], w[order], doc[order]
+        first = _starts(h, w, doc)
+        tf = np.diff(np.r_[first, len(h)]).astype(np.uint32)
+        h, w, doc = h[first], w[first], doc[first]
+        for p, rows in _by_part((np.where(w < _LOW, h, w) >> np.uint64(32)).astype(np.int64) % m.parts, m.parts):
+            yield _row(self.arrow, self.t, p, "loose", pack(h[rows], w[rows], doc[rows], tf[rows], train[doc[rows]]))
+
+
+def _counts(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
+    at, there = _lookup(table[0], words)
+    return np.where(there, table[1][at], 0) if len(table[0]) else np.zeros(len(words), dtype=np.int64)
+
+
+def _sums(h: np.ndarray, counts: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By history, from its seen bigrams in order: how many have each low count, the sum of p and of the other counts."""
+    first = _starts(h)
+    sums = [np.add.reduceat((counts == r).astype(np.int64), first) for r in range(1, DISCOUNTED + 2)]
+    return h[first], *sums, np.add.reduceat(p, first), np.add.reduceat(np.where(counts > DISCOUNTED, counts, 0), first)
+
+
+def _evaluate_loose(model: Unigrams, arrow: pa.DataType, table: tuple[np.ndarray, np.ndarray], sent: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The loose bigrams of one part."""
+    opened = [unpack(body) for _, body in sent]
+    h, w, doc, tf, train = (np.concatenate(x) for x in zip(*opened, strict=True))
+    edges, tf = np.r_[0, np.cumsum([len(x[0]) for x in opened])], tf.astype(np.int64)
+    del opened
+    order = np.lexsort((w, h))
+    first = _starts(h[order], w[order])
+    c = np.add.reduceat(np.where(train, tf, 0)[order], first)
+    own_h, own_w = h[order][first], w[order][first]
+    named = own_w < _LOW
+    word = np.zeros(len(own_w), dtype=np.int64)
+    word[named], word[~named] = model.counts[own_w[named].astype(np.int64)], _counts(table, own_w[~named])
+    p = np.where(word > 0, model.known(word), model.p[model.rare])
+    seen = c > 0
+    for kind, on in (("history", seen & (own_h < _LOW)), ("loose history", seen & (own_h >= _LOW))):
+        if on.any():
+            yield _row(arrow, -1, 0, kind, pack(*_sums(own_h[on], c[on], p[on])))
+    back = np.empty(len(h), dtype=np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+    for i, (t, _) in enumerate(sent):
+        rows = slice(edges[i], edges[i + 1])
+        at, hs, ds, k = back[rows], h[rows], doc[rows], tf[rows]
+        ids, old, count = hs < _LOW, seen[at], c[at]
+        named_h = np.where(ids, hs, 0).astype(np.int64)
+        total = np.where(ids, np.maximum(model.history[named_h], 1), 1)
+        part = np.where(old, np.log10(np.maximum(count, 1) / total), np.log10(p[at])) * k
+        own, place = np.unique(ds, return_inverse=True)
+        add = lambda x: np.bincount(place, weights=x, minlength=len(own))
+        low = [add(k * (count == r)).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
+        #: A history with a low count is never scaled.
+        new, over = ~old & ids, old & ids & (count > DISCOUNTED)
+        yield _row(arrow, t, 0, "pairs", pack(own, add(part), *low, ds[new], named_h[new].astype(np.uint32), k[new], ds[over], named_h[over].astype(np.uint32), k[over]))
+        rare, n = ~named[at], word[at]
+        yield _row(arrow, t, 0, "rare", pack(own, add(k * (rare & (n > 0))), add(np.where(rare, k * model.base(n), 0)), np.zeros(len(own))))
+        if not ids.all():
+            turn = np.flatnonzero(~ids)
+            turn = turn[np.lexsort((ds[turn], hs[turn]))]
+            begin = _starts(hs[turn], ds[turn])
+            yield _row(arrow, t, 0, "ask", pack(hs[turn][begin], ds[turn][begin], *(np.add.reduceat(np.where(on, k, 0)[turn], begin) for on in (~old, old))))
 
 
 def _evaluate(model: Unigrams, arrow: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One part: its words, and the bigrams and rare words that texts ask for."""
-    table, pairs, rare = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)), [], []
+    table, sent = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)), {"pairs": [], "rare": [], "loose": []}
     for batch in batches:
         for i, kind in enumerate(batch.column("kind").to_pylist()):
             t, body = batch.column("t")[i].as_py(), batch.column("body")[i].as_py()
@@ -291,11 +395,13 @@ def _evaluate(model: Unigrams, arrow: pa.DataType, batches: Iterator[pa.RecordBa
             elif kind == "words":
                 table = tuple(unpack(body))
             else:
-                (pairs if kind == "pairs" else rare).append((t, body))
-    for t, body in rare:
+                sent[kind].append((t, body))
+    if sent["loose"]:
+        yield from _evaluate_loose(model, arrow, table, sent.pop("loose"))
+    pairs = sent["pairs"]
+    for t, body in sent["rare"]:
         word, doc = unpack(body)
-        at, there = _lookup(table[0], word)
-        c = np.where(there, table[1][at], 0) if len(table[0]) else np.zeros(len(word), dtype=np.int64)
+        c = _counts(table, word)
         own, back = np.unique(doc, return_inverse=True)
         add = lambda x: np.bincount(back, weights=x, minlength=len(own))
         yield _row(arrow, t, 0, "rare", pack(own, add(c > 0), add(model.base(c)), add(model.inside(c))))
@@ -312,10 +418,7 @@ def _evaluate(model: Unigrams, arrow: pa.DataType, batches: Iterator[pa.RecordBa
     scaled[model.hot] = True
     scaled |= np.bincount(h, weights=counts <= DISCOUNTED, minlength=len(scaled)) == 0
     if len(keys):
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sums = [np.add.reduceat((counts == r).astype(np.int64), first) for r in range(1, DISCOUNTED + 2)]
-        sums += [np.add.reduceat(model.p[w], first), np.add.reduceat(np.where(counts > DISCOUNTED, counts, 0), first)]
-        yield _row(arrow, -1, 0, "history", pack(h[first], *sums))
+        yield _row(arrow, -1, 0, "history", pack(*_sums(h, counts, model.p[w])))
     for t, body in pairs:
         delta, doc, tf, _ = unpack(body)
         key = np.cumsum(delta, dtype=np.uint64)
@@ -330,50 +433,126 @@ def _evaluate(model: Unigrams, arrow: pa.DataType, batches: Iterator[pa.RecordBa
         yield _row(arrow, t, 0, "pairs", pack(own, add(part), *low, doc[new], h[new].astype(np.uint32), tf[new], doc[old], h[old].astype(np.uint32), tf[old]))
 
 
-def backoff(rows: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of the discounts, of the backoff weights and of what seen words of a history are scaled by."""
+_NAMES = ["h", *(f"n{r}" for r in range(1, DISCOUNTED + 2)), "p", "more"]
+_HISTORY = ", ".join(f"{x} {'double' if x == 'p' else 'long'}" for x in _NAMES)
 
-    @tidy
-    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("body").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.float64) if i == DISCOUNTED + 2 else a.astype(np.int64)) for i, a in enumerate(unpack(x))], names)
 
-    names = ["h", *(f"n{r}" for r in range(1, DISCOUNTED + 2)), "p", "more"]
-    kinds = ", ".join(f"{x} {'double' if x == 'p' else 'long'}" for x in names)
-    found = rows.where("kind = 'history'").select("body").mapInArrow(open_rows, kinds).groupBy("h").agg(*(F.sum(x).alias(x) for x in names[1:])).toArrow()
-    size = len(model.history)
-    n, p, more = np.zeros((DISCOUNTED + 2, size)), np.zeros(size), np.zeros(size)
-    h = found.column("h").to_numpy()
-    for r in range(1, DISCOUNTED + 2):
-        n[r, h] = found.column(f"n{r}").to_numpy()
-    p[h], more[h] = found.column("p").to_numpy(), found.column("more").to_numpy()
-    d = good_turing(n.sum(axis=1))
-    r = np.arange(1, DISCOUNTED + 1)
-    seen = ((d[1:] * r) @ n[1 : DISCOUNTED + 1] + more) / np.maximum(model.history, 1)
-    scale, left, unseen = np.ones(size), 1 - seen, 1 - p
+def _added() -> list[Column]:
+    return [F.sum(x).alias(x) for x in _NAMES[1:]]
+
+
+def _history_row(sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.float64) if x == "p" else a.astype(np.int64)) for x, a in zip(_NAMES, sums, strict=True)], _NAMES)
+
+
+def _weights(n: np.ndarray, p: np.ndarray, more: np.ndarray, history: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the backoff weights of histories and of what their seen words are scaled by."""
+    seen = ((d[1:] * np.arange(1, DISCOUNTED + 1)) @ n[1 : DISCOUNTED + 1] + more) / np.maximum(history, 1)
+    scale, left, unseen = np.ones(len(p)), 1 - seen, 1 - p
     # nothing discounted: one count is set aside for what is new after this history
     tight = (left <= 1e-12) & (seen > 0)
-    scale[tight] = model.history[tight] / (model.history[tight] + 1) / seen[tight]
+    scale[tight] = history[tight] / (history[tight] + 1) / seen[tight]
     left = 1 - seen * scale
     # every word seen: nothing to back off to
     closed = unseen <= 1e-12
     scale[closed & (seen > 0)] = 1 / seen[closed & (seen > 0)]
     alpha = np.where(closed, 1.0, np.maximum(left, 1e-300) / np.where(closed, 1, unseen))
-    return np.log10(d), np.log10(alpha), np.log10(scale)
+    return np.log10(alpha), np.log10(scale)
+
+
+def backoff(rows: DataFrame, model: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The discounts; log10 of the backoff weights of ids and of what seen words of a history are scaled by."""
+
+    @tidy
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, x in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                sums = unpack(x)
+                yield _history_row(sums if kind == "history" else [np.array([-1]), *(a.sum(keepdims=True) for a in sums[1:])])
+
+    found = rows.where("kind IN ('history', 'loose history')").select("kind", "body").mapInArrow(open_rows, _HISTORY).groupBy("h").agg(*_added()).toArrow()
+    size = len(model.history)
+    h = found.column("h").to_numpy()
+    n, p, more, on = np.zeros((DISCOUNTED + 2, size)), np.zeros(size), np.zeros(size), h >= 0
+    total = np.zeros(DISCOUNTED + 2)
+    for r in range(1, DISCOUNTED + 2):
+        x = found.column(f"n{r}").to_numpy()
+        total[r], n[r, h[on]] = x.sum(), x[on]
+    p[h[on]], more[h[on]] = found.column("p").to_numpy()[on], found.column("more").to_numpy()[on]
+    d = good_turing(total)
+    return d, *_weights(n, p, more, model.history, d)
+
+
+def _answers(rows: DataFrame, d: np.ndarray, arrow: pa.DataType, kinds: str) -> DataFrame:
+    """What histories without an id add to the texts that ask."""
+
+    @tidy
+    def open_histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("body").to_pylist():
+                yield _history_row(unpack(x))
+
+    @tidy
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.stack([np.zeros(len(batch)), *(batch.column(x).to_numpy() for x in _NAMES[1 : DISCOUNTED + 2])])
+            more = batch.column("more").to_numpy()
+            history = np.arange(1, DISCOUNTED + 1) @ n[1 : DISCOUNTED + 1] + more
+            log_alpha, log_scale = _weights(n, batch.column("p").to_numpy(), more, history, d)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(log_alpha), pa.array(log_scale - np.log10(history))], ["h", "alpha", "seen"])
+
+    @tidy
+    def open_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, x in zip(batch.column("t").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                h, *rest = unpack(x)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), t)), *(pa.array(a.astype(np.int64)) for a in rest)], ["h", "t", "doc", "new", "old"])
+
+    @tidy
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            t, doc, x = (np.concatenate(a) for a in zip(*held, strict=True))
+            order = np.lexsort((doc, t))
+            t, doc = t[order], doc[order]
+            first = _starts(t, doc)
+            t, doc, x = t[first], doc[first], np.add.reduceat(x[order], first)
+            edges = np.r_[_starts(t), len(t)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield _row(arrow, int(t[a]), 0, "answer", pack(doc[a:b].astype(np.uint32), x[a:b]))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append([batch.column(x).to_numpy() for x in ("t", "doc", "value")])
+            size += len(batch)
+            if size > GATHERED:
+                yield from packed()
+                held, size = [], 0
+        if held:
+            yield from packed()
+
+    weights = rows.where("kind = 'loose history'").select("body").mapInArrow(open_histories, _HISTORY).groupBy("h").agg(*_added()).mapInArrow(weigh, "h long, alpha double, seen double")
+    asked = rows.where("kind = 'ask'").select("t", "body").mapInArrow(open_asked, "h long, t long, doc long, new long, old long")
+    value = F.col("new") * F.col("alpha") + F.col("old") * F.col("seen")
+    return asked.join(weights, "h").select("t", "doc", value.alias("value")).mapInArrow(answer, kinds)
 
 
-def katz_scores(docs: DataFrame, folds: int = 10, fold: int = 0, vocabulary: int = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
+def katz_scores(docs: DataFrame, folds: int = 10, fold: int = 0, vocabulary: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text.
 
     Tokens are what lies between ASCII white space, with A-Z in lower case, then an end; a null or empty text is an end
     alone. Rows outside the fold teach, but for those with a null key, which are neither held out nor learnt from.
     Without training texts every token has probability 1 in both models. Repeated rows count and are scored each, an
-    empty table gives an empty table, and other columns of docs are not looked at.
+    empty table gives an empty table, and other columns of docs are not looked at. Every training word has bigrams of its
+    own, unless a vocabulary is given: then only the most frequent words, as many as fit, have them.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    if vocabulary >= (1 << 20) - 2:
+    classed = vocabulary is not None
+    vocabulary = vocabulary if classed else VOCABULARY
+    if vocabulary >= _LOW - 2:
         raise ValueError("ids of words have 20 bits")
     arrow, kind = to_arrow_type(docs.schema[key].dataType), docs.schema[key].dataType.simpleString()
     out = held_out(F.col(key), folds, fold)
@@ -381,7 +560,7 @@ def katz_scores(docs: DataFrame, folds: int = 10, fold: int = 0, vocabulary: int
     size, starts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     parts = max(8, -(-size // PART_BYTES))
     table = unigram_table(docs, parts)
-    model = frequent_words(table, vocabulary, parts, starts)
+    model = frequent_words(table, vocabulary, parts, starts, classed)
     shared = spark.sparkContext.broadcast(model)
 
     @tidy
@@ -403,7 +582,8 @@ def katz_scores(docs: DataFrame, folds: int = 10, fold: int = 0, vocabulary: int
     kinds = _KINDS.format(kind)
     words = table.select(F.lit(-1).cast("long").alias("t"), "part", F.lit("words").alias("kind"), F.col("words").alias("body"), F.lit(None).cast(f"array<{kind}>").alias("ids"))
     rows = materialise(docs.mapInArrow(send, kinds).unionByName(words).groupBy("part").applyInArrow(evaluate, kinds), "scores")
-    weights = spark.sparkContext.broadcast(backoff(rows, model))
+    d, *logs = backoff(rows, model)
+    weights = spark.sparkContext.broadcast((np.log10(d), *logs))
     total = model.n
 
     @tidy
@@ -424,10 +604,15 @@ def katz_scores(docs: DataFrame, folds: int = 10, fold: int = 0, vocabulary: int
                 known[own] += x[0]
                 base[own] += x[1]
                 score[own] += x[2]
+            elif kind == "answer":
+                score[own] += x[0]
             else:
                 score[own] += x[0] + sum(k * log_d[r] for r, k in enumerate(x[1 : DISCOUNTED + 1], 1))
                 for logs, (doc, h, tf) in ((log_alpha, x[DISCOUNTED + 1 : DISCOUNTED + 4]), (log_scale, x[DISCOUNTED + 4 :])):
                     score += np.bincount(doc, weights=tf * logs[h], minlength=len(score))
         yield pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(n), total, dtype=np.int64)), pa.array(base), pa.array(score)], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.where("kind <> 'history'").groupBy("t").applyInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = rows.where("kind IN ('text', 'pairs', 'rare')")
+    if not classed:
+        back = back.unionByName(_answers(rows, d, arrow, kinds))
+    return back.groupBy("t").applyInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

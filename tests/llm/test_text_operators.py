@@ -84,6 +84,24 @@ def test_katz_spreads_hot_histories(spark, monkeypatch):
     assert all(abs(a[i] - b[i]) < 1e-9 * abs(a[i]) for i in a)
 
 
+def test_katz_words_without_ids_have_their_own_bigrams(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = ["a", "b", "the", *(f"x{i}" for i in range(60))]
+    mixed = [(i, " ".join(rnd.choice(words[: rnd.choice((3, 5, 63))]) for _ in range(rnd.randint(0, 40)))) for i in range(120)]
+    pairs = [(i, f"p{i % 9} q{i % 9} " * 8 + f"only{i}") for i in range(60)]
+    for rows in (mixed + [(1000, None), (1001, "zz a zz qq")], pairs, [(i, "a b a b") for i in range(40)]):
+        model = katz_brute.Model([t for i, t in rows if katz_brute.fold(i)], 100_000)
+        df = spark.createDataFrame(rows, "doc_id long, text string").persist()
+        for ids, gathered in ((0, 6_000_000), (5, 300), (30, 6_000_000)):
+            monkeypatch.setattr(katz, "VOCABULARY", ids)
+            monkeypatch.setattr(katz, "GATHERED", gathered)
+            got = {r.doc_id: r for r in katz.katz_scores(df).collect()}
+            assert got.keys() == dict(rows).keys()
+            for i, t in rows:
+                assert np.allclose([got[i].score, got[i].base_score], [model.score(t), model.base(t)], rtol=1e-9)
+                assert got[i].n_known == sum(w in model.uni for w in katz_brute.tokens(t))
+
+
 def test_katz_edges(spark):
     rows = both(spark, katz.katz_scores, lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
     assert sorted(r.n_tokens for r in rows) == sorted(len(katz_brute.tokens(t)) for _, t in ROWS)
