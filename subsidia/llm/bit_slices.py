@@ -21,18 +21,19 @@ from .common import bounded_batches, materialise, tidy
 SCALE, TOP, EVERY = 64, 20, 20
 #: Rows of a block of the index, queries of a block, and queries added up at once.
 BLOCK, QUERIES, BATCH = 8192, 256, 16
-#: Vectors with a code beyond this take no part: their scores might not fit a long.
-LARGEST = 1 << 26
+#: Codes and scores beyond these don't fit the arithmetic: the call fails.
+LARGEST, GREATEST = float(1 << 60), float(1 << 62)
 #: Parts of the index that each query block is joined with.
 PARTS = 16
 _U = np.uint64
 
 
-def codes(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component, null where the vector takes no part."""
-    x = F.transform(vector, lambda v: F.lit(float(scale)) * v.cast("double"))
-    good = vector.isNotNull() & F.forall(x, lambda v: F.coalesce(F.abs(v) <= float(LARGEST), F.lit(False)) & ~F.isnan(v))
-    return F.when(good, F.transform(x, lambda v: F.floor(v).cast("int")))
+def scaled(vector: Column, scale: int = SCALE) -> Column:
+    """floor(scale * x) of each component as doubles, null where the vector takes no part."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    good = vector.isNotNull() & F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v))
+    whole = lambda y: F.when(F.abs(y) <= LARGEST, F.floor(y).cast("double")).otherwise(y)  # noqa: E731 - floor() ends at longs
+    return F.when(good, F.transform(x, lambda v: whole(F.lit(float(scale)) * v)))
 
 
 class Block:
@@ -144,14 +145,23 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
     """(query_id, rank, vec_id, score): for each key divisible by every, its top rows by inner product of codes.
 
     Equal scores go to the smaller key. Vectors that are null or hold a null or a non-finite component take no part, nor
-    do those with a component beyond LARGEST / scale, or a null key; a shorter vector counts as padded with zeros. Rows
-    that repeat a key are candidates each, but not for queries of that key, whose repeats with one vector count once. An
-    empty table gives an empty table, and other columns are not looked at.
+    do those with a null key; a shorter vector counts as padded with zeros. Rows that repeat a key are candidates each,
+    but not for queries of that key, whose repeats with one vector count once. Where a code is beyond LARGEST, or the
+    greatest norms of a query and of a row allow a score beyond GREATEST, the call fails with an OverflowError; no row is
+    left out for its size. An empty table gives an empty table, and other columns are not looked at.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), codes(F.col(vector), scale).alias("q")).where("id is not null and q is not null")
-    width = rows.agg(F.max(F.size("q"))).first()[0] or 1
+    rows = vectors.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), scale).alias("q")).where("id is not null and q is not null")
+    norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda total, v: total + v * v))
+    size = F.aggregate("q", F.lit(0.0), lambda most, v: F.greatest(most, F.abs(v)))
+    measured = rows.select("id", F.size("q").alias("width"), size.alias("size"), norm.alias("norm"))
+    found = measured.agg(F.max("width"), F.max("size"), F.max("norm"), F.max(F.when(F.col("id") % every == 0, F.col("norm")))).first()
+    width, largest, longest, asks = (x or 0 for x in found)
+    width = width or 1
+    if largest > LARGEST or longest * asks > GREATEST:
+        raise OverflowError(f"scores of these vectors may not fit a long: greatest code {largest:.6g}, norms {longest:.6g} and {asks:.6g}")
+    rows = rows.withColumn("q", F.transform("q", lambda v: v.cast("long")))
 
     @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from subsidia.llm import bit_slices
 
@@ -49,3 +50,14 @@ def test_block_sums_are_exact():
     block = bit_slices.Block.unpack(bit_slices.Block(np.arange(130), v).pack())
     for (ids, score), want in zip(block.search(q, np.arange(5), 200), q @ v.T, strict=True):
         assert dict(zip(ids.tolist(), score.tolist(), strict=True)) == {i: s for i, s in enumerate(want.tolist()) if i not in (int(np.flatnonzero((q @ v.T == want).all(axis=1))[0]),)}
+
+
+def test_great_components_take_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.2, 4).round(1).tolist(), 0) for i in range(60)]
+    rows += [(60, [2e6, -1.0, 0.0, 0.5], 0), (61, [-3e6, 0.5, 1.0, 2e6], 0), (62, [2.0**23, 0.0, -(2.0**22), 1.0], 0)]
+    got = sorted(tuple(r) for r in bit_slices.top_inner_products(frame(spark, rows)).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute(rows) and {61, 62} <= {r[2] for r in got} and 60 in {r[0] for r in got}
+    for great in (2.0**30, 1e37):
+        with pytest.raises(OverflowError):
+            bit_slices.top_inner_products(frame(spark, [(0, [great], 0), (1, [great], 0)]))
