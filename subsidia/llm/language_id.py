@@ -19,8 +19,8 @@ from .common import bounded_batches, text_chunks, tidy
 #: Buckets of hashed n-grams (of three and of two bytes).
 BUCKETS = 4096
 CENTROIDS = 4
-#: The fit looks at so many training texts of a language at most (those of least key hash), of so many languages.
-SAMPLE, LANGUAGES = 500, 200
+#: The fit looks at so many training texts of a language at most (those of least key hash).
+SAMPLE = 500
 ROUNDS = 12
 #: A text whose best cosine is under this belongs to no learned language. Texts of fewer than ENOUGH distinct n-grams
 #: can't come as near to a centroid, so their limit is lower in proportion.
@@ -85,8 +85,11 @@ def _some(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
             yield lo, hi, vectors(buf[part[0] : part[-1]], part - part[0])
 
 
-def fit(train: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Inverse document frequencies, languages of the centroids and the centroids, from train(key, text, lang)."""
+def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Inverse document frequencies, languages of the centroids and the centroids, from train(key, text, lang).
+
+    Every value of lang is learnt; the driver holds centroids of BUCKETS floats for each.
+    """
     bounded_batches(train.sparkSession)
     train = train.where("lang is not null and text is not null")
 
@@ -103,11 +106,11 @@ def fit(train: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, cent
     found = {r["bucket"]: r["n"] for r in train.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     df = np.array([found.get(i, 0) for i in range(BUCKETS)], dtype=np.float64)
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    frequent = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counted = train.groupBy("lang").count()
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "k")
     # the sample's hashes are the least ones: rows that lie far above them needn't meet in a task
     near = F.pmod("h", F.lit(1 << 30)).cast("double") * F.col("count") <= float(4 * sample << 30)
-    rows_of = train.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(F.broadcast(frequent), "lang").where(near)
+    rows_of = train.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(F.broadcast(counted), "lang").where(near)
     chosen = rows_of.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
     chosen = F.broadcast(chosen.select("lang", "h", "k"))
     texts = train.select("lang", "text", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(chosen, ["lang", "h", "k"], "left_semi").select("lang", "text")

@@ -59,6 +59,13 @@ def test_language_edges(spark):
     assert {r.doc_id for r in none if r.rejected} == {1, 2, 3, 9, None} and sum(r.rejected for r in none) == 5
 
 
+def test_every_language_is_learnt(spark):
+    rnd = random.Random(6)
+    rows = [(2 * i + j, " ".join("".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 3)) for _ in range(6)), f"l{i}") for i in range(205) for j in range(2)]
+    _, names, matrix = language_id.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert set(names) == {lang for _, _, lang in rows} and len(names) == len(matrix)
+
+
 def test_katz_equals_brute_force(spark):
     rnd = random.Random(2)
     words = ["a", "b", "c", "the", "OF", *(f"x{i}" for i in range(60))]
