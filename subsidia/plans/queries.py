@@ -368,7 +368,7 @@ def q40_sha256(spark, d):
 @query()
 def q41_fit_small(spark, d):
     start = replace(MODEL, eta0=-3.0, log_cu=math.log(1e-3), lag_c=40.0)
-    fitted, summary = fit.fit(usable(masked_pixels(spark, d)), start, DESIGN, (4, 3, 4))
+    fitted, summary = fit.fit(usable(masked_pixels(spark, d)), start, DESIGN)
     rows = [("initial_objective", summary["initial_objective"]), ("final_objective", summary["final_objective"]), *((f"theta{i}", float(v)) for i, v in enumerate(fitted.theta))]
     return spark.createDataFrame(rows, "name string, value double")
 

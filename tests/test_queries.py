@@ -1,5 +1,7 @@
 import pytest
 
+from subsidia.operators import fit
+from subsidia.plans import queries as plans
 from subsidia.plans.queries import QUERIES, SQL
 from tests.compare import connection, same
 
@@ -19,6 +21,13 @@ def test_fit_lowers_the_objective(spark, sf_dir):
     assert found["final_objective"] < found["initial_objective"]
 
 
+def test_registered_fit_runs_to_its_end(spark, sf_dir):
+    found = {r["name"]: r["value"] for r in QUERIES["q41_fit_small"](spark, sf_dir).collect()}
+    model = plans.MODEL.with_theta([found[f"theta{i}"] for i in range(len(plans.MODEL.theta))])
+    pixels = plans.usable(plans.masked_pixels(spark, sf_dir))
+    assert fit.fit(pixels, model, plans.DESIGN, (0, 0, 0))[1]["gradient_norm"] < 1e-4
+
+
 def test_fold_filter_reaches_the_scan(spark, sf_dir):
     plan = QUERIES["q01_fold_metrics"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,P))]" in plan
