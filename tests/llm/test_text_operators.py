@@ -109,6 +109,16 @@ def test_katz_words_without_ids_have_their_own_bigrams(spark, monkeypatch):
                 assert got[i].n_known == sum(w in model.uni for w in katz_brute.tokens(t))
 
 
+def test_katz_rare_bigrams_count_in_a_great_vocabulary(spark):
+    taught = [i for i in range(400) if katz_brute.fold(i)][:200]
+    seen, unseen = [i for i in range(400) if katz_brute.fold(i) == 0][:2]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(700))) for i in taught]
+    first, second = taught[:2]
+    rows += [(seen, f"w{first}x10 w{first}x11"), (unseen, f"w{first}x10 w{second}x11")]
+    got = {r.doc_id: r.score for r in katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[seen] > got[unseen] + 1
+
+
 def test_katz_edges(spark):
     rows = both(spark, katz.katz_scores, lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
     assert sorted(r.n_tokens for r in rows) == sorted(len(katz_brute.tokens(t)) for _, t in ROWS)
