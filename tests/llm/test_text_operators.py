@@ -171,9 +171,24 @@ def test_url_terms():
     assert url_filter.judge("http://FREE.com/free?free") == (0, 1)
 
 
+def test_url_rules_of_the_contract(spark):
+    want = {
+        "http://com/en/1": ("com/en/", "block"), "http://a.b.com/en/": ("com/en/", "block"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"), "https://A.Example.COM/en/70?x": ("example.com/en/7", "allow"),
+        "http://net/de/1": ("net/de/", "allow"), "http://a.net/de/casino": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://m.example.net/de/80": ("example.net/de/8", "block"),
+        "http://org/es/": ("org/es/", "block"), "http://x.example.org/es/1": ("org/es/", "block"),
+        "http://dotcom/en/1": (None, "allow"), "http://a.com/EN/1": (None, "allow"), "http://a.org?/es/": (None, "allow"), "http://a.org/casino": (None, "block"),
+    }
+    got = url_filter.url_verdicts(spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string"))
+    assert {list(want)[r.page_id]: (r.rule, r.verdict) for r in got.collect()} == want
+    own = url_filter.url_verdicts(spark.createDataFrame([(1, "http://a.fr/bad/x"), (2, "http://a.fr/so-so/la-la"), (None, "http://a.fr/so-so")], "page_id long, url string"), rules=(), strict=("bad",), soft=("so-so", "la-la"))
+    assert [(r.page_id, r.rule, r.verdict) for r in own.collect()] == [(1, None, "block"), (2, None, "block"), (None, None, "allow")]
+
+
 def test_urls_equal_sql(spark, tmp_path):
-    urls = [None, "", "no scheme", "HTTP://EXAMPLE.com/en/7x", "http://a.example.com/en/71?x", "http://a.com/en/", "http://b.net/de/9#t", "http://x.example.net/de/8", "http://notexample.com/fr/", "http://a.org?/es/", "http://a.org/es/1", "://", "a://b://c/d", "http://casino.fr/x", "http://u.fr/free-bonus", "http://com/en/q", "http://ÄB.com:80/en/", "http://a.fr/\nwin free"]
-    pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)] + [(3, urls[3], None)], "page_id long, url string, html string")
+    urls = [None, "", "no scheme", "HTTP://EXAMPLE.com/en/7x", "http://a.example.com/en/71?x", "http://a.com/en/", "http://b.net/de/9#t", "http://x.example.net/de/8", "http://notexample.com/fr/", "http://a.org?/es/", "http://a.org/es/1", "://", "a://b://c/d", "http://casino.fr/x", "http://u.fr/free-bonus", "http://com/en/q", "http://ÄB.com:80/en/", "http://a.fr/\nwin free", "http://a.fr/İcasino", "http://a.fr/İ-casino", "http://a.fr/" + "win/" * 30_000 + "cheap", "http://K.com/en/"]
+    pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)] + [(3, urls[3], None), (None, urls[3], None), (None, None, None)], "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     same(url_filter.url_verdicts(pages.selectExpr("*", "'q' AS host", "'q' AS path", "'q' AS verdict")), connection(str(tmp_path)), url_filter.url_sql())
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
