@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars, and joins of documents with sets of ids."""
+"""Connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise
 
-#: Up to this many ids are broadcast (16 MB of longs); more take a shuffle join.
-BROADCAST_IDS = 2_000_000
+#: Up to this many ids are broadcast (a key, a hash and a node each, 24 MB of longs); more take a shuffle join.
+BROADCAST_IDS = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,3 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(seen)
-
-
-def with_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
-    """Rows whose key is (keep) or isn't (not keep) among ids(key); rows with a null key count as not among them."""
-    ids = materialise(ids.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, key, "left_semi" if keep else "left_anti")

@@ -1,15 +1,16 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with equal shingle sets are merged first. The sets that are left get signatures of BANDS x ROWS minimum
-hashes; those that agree on a band share a bucket. Each bucket links its members to its least one, so a bucket gives as
-many pairs as members, and after these links only pairs of a bucket that lie in different components are compared. A
+hashes; those that agree on a band share a bucket. Each bucket links its members to its least one, then once more, where
+several components are left in it, to one picked by a hash: both rounds give as many pairs as a bucket has members. A
 pair's signatures are compared a batch of hashes at a time, and the pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls under MISS. What survives is verified on full sets.
 
-A set takes no part in that second round if too many of its shingles are in no other set of the round: a set of n
-shingles, f of them shared, meets no set in more than f. In a bucket the members outside its largest component are
-queries against all members, in blocks of a bounded number of shingles; a block emits links, never pairs, so large
-groups of loose copies cost neither rows nor memory, and no link is lost.
+The last round loses no link of a bucket. A set takes no part in it if too many of its shingles are in no other set of
+the round: a set of n shingles, f of them shared, meets no set in more than f. In a bucket the members outside its
+largest component ask all members, in blocks of a bounded number of shingles. A block emits links, never pairs. Up to
+BLOCK_SHINGLES a bucket is one block and its rows are read once; beyond, rows are read once for each block of the other
+side, and comparisons of signatures are as many as members times members outside the largest component.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import SPACE_BYTES, bounded_batches, gram_hashes, hash_words, materialise, text_chunks, tidy, word_table
-from .components import components, with_ids
+from .components import BROADCAST_IDS, components
 
 WORDS = 5
 #: Similarity as a fraction: links have PERCENT * union <= 100 * intersection.
@@ -33,8 +34,8 @@ PERCENT = 75
 BANDS, ROWS = 40, 5
 #: Hashes compared at a time, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 40, 1e-8
-#: Shingles that a block of the second round holds, on average, on each side.
-BLOCK_SHINGLES = 100_000
+#: Shingles that a block of the last round holds, on average, on each side.
+BLOCK_SHINGLES = 1_000_000
 _SPACES = word_table(SPACE_BYTES)
 
 
@@ -81,7 +82,9 @@ def least_matches(n: int, percent: int, miss: float) -> int:
     return n + 1
 
 
-def _sketch(docs: DataFrame, key: str, words: int, n: int) -> DataFrame:
+def _sketch(docs: DataFrame, words: int, n: int) -> DataFrame:
+    """(key, tag, n, digest, sig) of docs(key, tag, text): the size, digest and signature of each row's set."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,15 +94,15 @@ def _sketch(docs: DataFrame, key: str, words: int, n: int) -> DataFrame:
                 sig = iter(signatures(full, n)) if full else iter(())
                 digest = [hashlib.blake2b(x, digest_size=16).digest() if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([next(sig).tobytes() if len(x) else None for x in sets], pa.binary())],
-                    ["key", "n", "digest", "sig"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("key", "tag")), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([next(sig).tobytes() if len(x) else None for x in sets], pa.binary())],
+                    ["key", "tag", "n", "digest", "sig"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col("text")).mapInArrow(run, f"key {kind}, n long, digest binary, sig binary")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.select("key", "tag", "text").mapInArrow(run, f"key {kind}, tag long, n long, digest binary, sig binary")
 
 
-def _buckets(nodes: DataFrame, bands: int, rows: int, kind: str) -> DataFrame:
+def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, node): a row for each band of each node."""
 
     @tidy
@@ -117,10 +120,10 @@ def _buckets(nodes: DataFrame, bands: int, rows: int, kind: str) -> DataFrame:
                 ids = batch.column("node").slice(k, 500).take(pa.array(np.repeat(np.arange(len(part)), bands)))
                 yield pa.RecordBatch.from_arrays([pa.array(acc.ravel().view(np.int64)), ids], ["bucket", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, f"bucket long, node {kind}")
+    return nodes.select("node", "sig").mapInArrow(run, "bucket long, node long")
 
 
-def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_size: int, kind: str) -> DataFrame:
+def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_size: int) -> DataFrame:
     """Pairs that the sequential test keeps."""
 
     @tidy
@@ -139,23 +142,34 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float, batch_
 
     sig = nodes.select("node", "sig")
     joined = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
 
+def _near(ids: DataFrame) -> tuple[DataFrame, int]:
+    """ids, to be broadcast where their number and their columns of fixed size bound them, and that number."""
+    n = ids.count()
+    return (F.broadcast(ids) if n <= BROADCAST_IDS and not any(kind in ("string", "binary") for _, kind in ids.dtypes) else ids), n
 
-def _sets(ids: DataFrame, docs: DataFrame, key: str, words: int, kind: str) -> DataFrame:
-    """(node, shingles binary) of the documents whose keys are in ids(key)."""
+
+def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles binary) of the nodes in ids(node), from the row of docs(key, tag, text) that stands for each."""
 
     @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, cuts in text_chunks(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in shingle_sets(buf, cuts, words)], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([x.tobytes() for x in shingle_sets(buf, cuts, words)], pa.binary())], ["node", "shingles"])
 
-    found = with_ids(docs.select(key, "text"), ids, key).select(F.col(key).alias("node"), "text")
-    return materialise(found.mapInArrow(sets, f"node {kind}, shingles binary"), "shingles")
+    wanted = materialise(nodes.join(ids.distinct(), "node", "left_semi").select("node", F.col("rep.key").alias("k"), F.col("rep.tag").alias("t")), "wanted")
+    near, n = _near(wanted)
+    found = docs.join(near, docs["key"].eqNullSafe(near["k"]) & (docs["tag"] == near["t"])).select("node", "text")
+    full = materialise(found.mapInArrow(sets, "node long, shingles binary"), "shingles")
+    if full.count() > n:  # a whole row occurs more than once
+        full = materialise(full.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    return full
 
 
-def _shared(full: DataFrame, kind: str) -> DataFrame:
+def _shared(full: DataFrame) -> DataFrame:
     """(node, n, f): the size of each set and how many of its shingles another set holds too."""
 
     @tidy
@@ -168,13 +182,13 @@ def _shared(full: DataFrame, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(own))], ["node", "shingle"])
 
     sizes = full.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    once = full.mapInArrow(rows, f"node {kind}, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    once = full.mapInArrow(rows, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     own = once.groupBy("node").agg(F.count("*").alias("u"))
     return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, words: int, percent: int, kind: str) -> DataFrame:
-    """Pairs whose full sets reach the threshold. docs: a row for each node at least."""
+def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold. full: those of all nodes of the pairs."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +202,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, words: int, percent: i
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key)))
-    full = _sets(ends, docs, key, words, kind)
     joined = pairs.join(full.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(full.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
 
+def _across(able: DataFrame, payload: DataFrame, percent: int, miss: float, batch_size: int) -> DataFrame:
+    """(a, b): for each able(bucket, node, root, n) and each other root that it links to in a bucket, such a link.
 
-def _across(able: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, miss: float, batch_size: int, kind: str) -> DataFrame:
-    """(a, b): for each able(bucket, node, root, n) and each other root that it links to in a bucket, such a link."""
+    payload: shingles and sig of each node.
+    """
     by_root = able.groupBy("bucket", "root").agg(F.sum("n").alias("n"))
     sizes = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("n").alias("every"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
     sizes = sizes.select("bucket", F.col("main")["root"].alias("main"), F.ceil(F.col("every") / BLOCK_SHINGLES).alias("ci"), F.ceil((F.col("every") - F.col("main")["n"]) / BLOCK_SHINGLES).alias("cq"))
@@ -204,7 +219,7 @@ def _across(able: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, mi
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = rows.where("root <> main").select("bucket", "node", "root", part("cq"), each("ci").alias("i")).select("bucket", F.col("own").alias("q"), "i", "node", "root", F.lit(True).alias("asks"))
     index = rows.select("bucket", "node", "root", part("ci"), each("cq").alias("q")).select("bucket", "q", F.col("own").alias("i"), "node", "root", F.lit(False).alias("asks"))
-    blocks = asked.unionByName(index).join(full, "node").join(nodes.select("node", "sig"), "node")
+    blocks = asked.unionByName(index).join(payload, "node")
 
     def run(table: pa.Table) -> pa.Table:
         node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
@@ -236,51 +251,97 @@ def _across(able: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, mi
             linked = alive[100 * both >= percent * (n[q] + n[rows[alive]] - both)]
             for j in linked[np.unique(group[rows[linked]], return_index=True)[1]].tolist():
                 found.append((node[q], node[rows[j]]))
-        return pa.table([pa.array([x[i] for x in found], table.schema.field("node").type) for i in (0, 1)], ["a", "b"])
+        return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return materialise(blocks.groupBy("bucket", "q", "i").applyInArrow(run, f"a {kind}, b {kind}"), "links")
+    return materialise(blocks.groupBy("bucket", "q", "i").applyInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, batch: int = BATCH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row.
+def _linked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, miss: float, batch: int) -> tuple[DataFrame, DataFrame]:
+    """(key, tag, n, digest) of every row of docs(key, tag, text), and (digest, rep) of every set.
 
-    Words are what lies between ASCII white space, with A-Z in lower case; a text of fewer words than a shingle is one
-    shingle. A null, empty or blank text has no shingles and is linked with nothing. component_id is the least key that
-    links reach, kept says whether it is the row's own. A row with a null key links nothing and has a null component_id
-    and kept false. Repeated rows share a component; rows that repeat a key with another text are linked each by its own
-    text. An empty table gives an empty table, and other columns of docs are not looked at.
+    rep(late, key, tag) is the first row of a set's component: the least key, then the least tag; null keys come last.
     """
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    sketches = materialise(_sketch(docs, key, words, bands * rows), "sketches")
-    nodes = sketches.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("node"), F.first("sig").alias("sig"))
-    nodes = materialise(nodes, "nodes")
+    sketches = materialise(_sketch(docs, words, bands * rows), "sketches")
+    row = F.struct(F.col("key").isNull().alias("late"), "key", "tag")
+    nodes = sketches.where("n > 0").groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        kept = materialise(_prune(pairs, nodes, percent, miss, batch, kind), "pairs")
-        return materialise(_confirm(kept, docs, key, words, percent, kind), "links")
+        kept = materialise(_prune(pairs, nodes, percent, miss, batch), "pairs")
+        full = _sets(kept.select(F.col("a").alias("node")).unionByName(kept.select(F.col("b").alias("node"))), nodes, docs, words)
+        return materialise(_confirm(kept, full, percent), "links")
+
+    def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return roots if links.isEmpty() else components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    members = _buckets(nodes, bands, rows, kind)
+    def split(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """(bucket, node, root) of the buckets that still hold several components."""
+        found = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        found = materialise(found, "members")
+        several = found.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        return materialise(found.join(several, "bucket", "left_semi"), "members")
+
+    members = _buckets(nodes, bands, rows)
     heads = materialise(members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
-    stars = members.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars)
-    roots = components(links)
-    # what a bucket's least member doesn't join: pairs of other members in different components
-    rest = members.join(heads.where("size > 2"), "bucket").where("node <> head").select("bucket", "node")
-    rest = rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rest = materialise(rest, "rest")
-    split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rest = materialise(rest.join(split, "bucket", "left_semi"), "rest")
+    roots = components(verified(members.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
+    # every pair with a bucket's least member is decided: pairs of its other members are left
+    rest = split(members.join(heads.where("size > 2"), "bucket").where("node <> head"), roots)
+    if not rest.isEmpty():
+        picked = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("head"), F.col("root").alias("own"))).alias("p")).select("bucket", "p.head", "p.own")
+        roots = grown(roots, verified(rest.join(picked, "bucket").where("root <> own").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
+        rest = split(rest, roots)
     if not rest.isEmpty():
-        full = _sets(rest.select(F.col("node").alias(key)), docs, key, words, kind)
-        shared = _shared(full, kind)
-        able = rest.join(shared.where(F.expr(f"100 * f >= {percent} * n")), "node").select("bucket", "node", "root", "n")
-        roots = components(links.unionByName(_across(able, nodes, full, percent, miss, batch, kind)))
-    found = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return (
-        sketches.select("key", "n", "digest")
-        .join(found, "digest", "left")
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("root", "key")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
-    )
+        full = _sets(rest.select("node"), nodes, docs, words)
+        shared = materialise(_shared(full).where(F.expr(f"100 * f >= {percent} * n")).select("node", "n"), "shared")
+        payload = materialise(full.join(shared.join(nodes.select("node", "sig"), "node").select("node", "sig"), "node"), "payload")
+        roots = grown(roots, _across(rest.join(shared, "node"), payload, percent, miss, batch))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    own = materialise(roots.join(nodes.select("node", "digest", "rep"), "node").select("digest", "root", "rep"), "linked")
+    first = own.groupBy("root").agg(F.min("rep").alias("rep"))
+    linked = own.select("digest", "root").join(first, "root").select("digest", "rep")
+    alone = nodes.select("digest", "rep").join(own.select("digest"), "digest", "left_anti")
+    return sketches.select("key", "tag", "n", "digest"), linked.unionByName(alone)
+
+
+def _prepared(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).select("key", F.xxhash64("text").alias("tag"), "text")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, batch: int = BATCH, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row.
+
+    Words are what lies between ASCII white space, with A-Z in lower case; a text of fewer words than a shingle is one
+    shingle. A null, empty or blank text has no shingles and is linked with nothing. component_id is the least key that
+    links reach, kept says whether it is the row's own. Rows with a null key link others as all rows do; where no row of
+    the component has a key, component_id is null, and kept is false. Repeated rows share a component; rows that repeat a
+    key with another text are linked each by its own text. An empty table gives an empty table, and other columns of
+    docs are not looked at.
+    """
+    sketches, sets = _linked(_prepared(docs, text, key), words, percent, bands, rows, miss, batch)
+    found = sketches.join(sets.select("digest", F.col("rep.key").alias("least")), "digest", "left")
+    found = found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, batch: int = BATCH, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, without those that are near-duplicates of a row that stays.
+
+    Of each component the row of least key stays (null keys come last; of several texts under that key the one of least
+    hash), and one row where that row is repeated. Rows without shingles stay all.
+    """
+    rows_of = _prepared(docs, text, key)
+    sketches, sets = _linked(rows_of, words, percent, bands, rows, miss, batch)
+    rows_of = materialise(sketches.where("n > 0").join(sets, "digest").select("key", "tag", (F.col("key").eqNullSafe(F.col("rep.key")) & (F.col("tag") == F.col("rep.tag"))).alias("first")), "rows")
+    same = lambda ids: docs[key].eqNullSafe(ids["k"]) & (F.xxhash64(docs[text].cast("string")) == ids["t"])
+
+    def joined(ids: DataFrame, how: str) -> DataFrame:
+        ids = _near(materialise(ids, "ids"))[0]
+        return docs.join(ids, same(ids), how)
+
+    copies = rows_of.where("not first").select(F.col("key").alias("k"), F.col("tag").alias("t")).distinct()
+    repeated = rows_of.where("first").groupBy(F.col("key").alias("k"), F.col("tag").alias("t")).count().where("count > 1").select("k", "t")
+    if repeated.isEmpty():
+        return joined(copies, "left_anti")
+    others = joined(copies.unionByName(repeated), "left_anti")
+    return others.unionByName(joined(repeated, "left_semi").dropDuplicates([key, text]))

@@ -5,7 +5,7 @@ import numpy as np
 
 from subsidia.llm import minhash
 from subsidia.llm.components import components
-from tests.llm.messy import ROWS, both
+from tests.llm.messy import ROWS, both, documents
 
 
 def brute(rows, k=5):
@@ -47,6 +47,36 @@ def test_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_loose_copies_equal_brute_force(spark, monkeypatch):
+    """Groups whose members lie about the threshold from each other, so that many components share buckets."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for g in range(3):
+        base = rnd.choices(words, k=120)
+        for i in range(160):
+            w = list(base)
+            for j in rnd.sample(range(120), (2, 3, 4)[g]):
+                w[j] = f"own{g}x{i}x{j}" if rnd.random() < 0.7 else rnd.choice(words)
+            rows.append((1000 * g + (i * 37) % 160, " ".join(w)))
+    want = brute(rows)
+    assert 3 < len({root for _, root in want.values()}) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").persist()
+    for shingles in (1_000_000, 2_000):
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_one_of_each_row(spark):
+    got = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(documents(spark, True)).collect()), key=str)
+    want = dict.fromkeys(ROWS)
+    del want[6, ROWS[6][1]], want[8, ROWS[8][1]]
+    assert got == sorted(want, key=str) and len(got) == 12
+    null = [(None, f"one two three four five six seven {'x' if i else 'X'}") for i in range(5)] + [(None, None)] * 3
+    assert sorted(map(str, (r.text for r in minhash.one_of_each(documents(spark, rows=null)).collect()))) == ["None"] * 3 + [min(("one two three four five six seven x", "one two three four five six seven X"), key=lambda t: spark.sql(f"SELECT xxhash64('{t}')").first()[0])]
+    assert minhash.one_of_each(documents(spark, True).limit(0)).count() == 0
+
+
 def test_edges(spark):
     got = both(spark, minhash.near_duplicates, lambda r: (r.doc_id is None, r.doc_id, r.n_shingles))
     assert len(got) == len(ROWS)

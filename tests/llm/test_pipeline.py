@@ -60,6 +60,8 @@ def test_texts_are_encoded(stages):
 def test_messy_and_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, "some benchmark text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     documents(spark, True).write.parquet(str(tmp_path / "documents.parquet"))
-    assert 0 < pipeline.run(spark, str(tmp_path)).count() < 15
+    got = sorted((r.doc_id or 0, r.n_tokens > 0) for r in pipeline.run(spark, str(tmp_path)).collect())
+    # without letters (1, 2, 3, 9, null), copies (5 twice, 6, 8); the model has learnt these very texts
+    assert got == [(0, True), (4, True), (5, True), (5, True), (7, True), (10, True), (11, True)]
     documents(spark, True).limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
