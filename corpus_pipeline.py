@@ -1,8 +1,7 @@
 """A corpus pipeline: language ID, near-duplicates, benchmark decontamination, then encoding.
 
-Each stage takes all that the one before kept. The first three return the columns of documents. doc_id is the key of
-documents: rows that repeat one with the same text stay or go together; a row without one can't be linked with others
-and stays in the second stage.
+Each stage takes all that the one before kept. The first three return the columns of documents. Rows are judged by
+their own texts: of rows that are wholly alike one stays, and rows that share a doc_id or have none need not share a fate.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from subsidia.llm import decontaminate, language_id, minhash, piece_codec
 from subsidia.llm.common import materialise
-from subsidia.llm.components import with_ids
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near-duplicates."""
-    copies = minhash.near_duplicates(docs).where("doc_id is not null and not kept")
-    return with_ids(docs, copies, "doc_id", keep=False).select(*docs.columns)
+    """One document, that of least doc_id, of each group of near-duplicates."""
+    return minhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
