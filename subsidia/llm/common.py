@@ -49,7 +49,8 @@ def bounded_batches(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in (paths := [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]):
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    for key, value in (("maxBytesPerBatch", str(32 << 20)), ("maxRecordsPerBatch", "2000")):
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    for key, value in (("maxBytesPerBatch", str(8 << 20)), ("maxRecordsPerBatch", "2000")):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 

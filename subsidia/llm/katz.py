@@ -35,8 +35,9 @@ VOCABULARY = 1 << 17
 DISCOUNTED = 5
 #: Added to the counts of words of the rare class, unseen ones being one more word; and to those of the base model.
 RARE_ADDED, BASE_ADDED = 0.5, 0.1
-#: Bytes of text to a part, and bigrams that a task gathers before it sends them.
-PART_BYTES, GATHERED = 8 << 20, 6_000_000
+#: Bytes of text to a part, bigrams that a task gathers before it sends them, and the most of them in a message: larger
+#: values fragment the heap.
+PART_BYTES, GATHERED, MESSAGE = 8 << 20, 2_000_000, 1 << 15
 #: Under so many words a history may have seen them all.
 SMALL = 4096
 #: Ids are smaller, hashes of words greater.
@@ -154,10 +155,12 @@ class Unigrams:
 
 
 def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of up to MESSAGE rows of each part."""
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)).tolist():
-        yield p, order[edges[p] : edges[p + 1]]
+        for lo in range(edges[p], edges[p + 1], MESSAGE):
+            yield p, order[lo : min(lo + MESSAGE, edges[p + 1])]
 
 
 def unigram_table(docs: DataFrame, parts: int) -> DataFrame:
@@ -409,8 +412,8 @@ def _evaluate(model: Unigrams, arrow: pa.DataType, batches: Iterator[pa.RecordBa
         return
     # counts of the training texts
     keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    for i in range(0, len(pairs), 16):
-        some = [unpack(body) for _, body in pairs[i : i + 16]]
+    for i in range(0, len(pairs), 64):
+        some = [unpack(body) for _, body in pairs[i : i + 64]]
         keys, counts = _summed(np.concatenate([keys, *(np.cumsum(d, dtype=np.uint64)[on] for d, _, _, on in some)]), np.concatenate([counts, *(tf[on].astype(np.int64) for _, _, tf, on in some)]))
     h, w = (keys >> np.uint64(20)).astype(np.int64), (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
     # histories whose seen words may have to be scaled: spread ones, those without a low count, all of a small vocabulary
