@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import SparkSession, functions as F
 from . import config as configs
 from .functions.geometry import cell_area
 from .functions.harmonics import PERIOD
-from .operators import fit, folds, gates, metrics, model_frame, storage
+from .operators import fit, folds, gates, metrics, model_frame, release, storage
 from .sources import files
 
 
@@ -26,27 +27,47 @@ def invert(spark: SparkSession, c: configs.Config, optimize: bool = False, most:
     pixels = model_frame.usable(spark.read.parquet(c.pixels))
     model, out = c.model, {}
     if optimize:
-        budgets = c.budgets if most is None else (min(c.budgets[0], most), min(c.budgets[1], most), most)
+        budgets = c.budgets if most is None else (*c.budgets[:2], most) if most else (0, 0, 0)
         model, out["fit"] = fit.fit(pixels, c.model, c.design, budgets)
         files.save_parameters(spark, f"{c.output}/parameters", "fitted", model.theta)
     found = metrics.metrics(model_frame.model_frame(pixels, model, c.design), model.high)
-    return out | {"metrics": found.first().asDict()} | _gates(spark, c, found.withColumn("scope", F.lit("final")), "final")
+    out |= {"metrics": found.first().asDict()} | _gates(spark, c, found.withColumn("scope", F.lit("final")), "final")
+    if c.final:
+        expected, tolerances = ({k: v[i] for k, v in c.final.items()} for i in (0, 1))
+        out |= _verdict("final", release.final_gates(found, model, expected, (c.model.lag_c, c.model.lag_u), len(c.model.theta), tolerances))
+    return out
 
 
 def cv(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
+    """Each validation fold under its own model, or under the one model where the configuration has no others."""
     pixels = spark.read.parquet(c.pixels)
-    frame = model_frame.model_frame(model_frame.usable(pixels).where(F.col("fold_id").isin(*folds.FOLDS)), c.model, c.design)
-    found = metrics.metrics(frame, c.model.high, ["fold_id"]).withColumn("scope", F.format_string("fold_%02d", "fold_id")).drop("fold_id")
-    audit = [r.asDict() for r in folds.partition_audit(pixels).orderBy("fold_id").collect()]
-    out = {"folds": [r.asDict() for r in found.orderBy("scope").collect()], "partition": audit, "partition_status": "passed" if all(r["passed"] for r in audit) else "failed"}
-    return out | _gates(spark, c, found, *map(configs.fold_name, folds.FOLDS))
+    models = c.fold_models or dict.fromkeys(folds.FOLDS, c.model)
+    found = release.with_model(metrics.metrics(model_frame.fold_model_frame(model_frame.usable(pixels), models, c.design), c.model.high, ["fold_id"]), models)
+    partition = folds.partition_audit(pixels)
+    audit = [r.asDict() for r in partition.orderBy("fold_id").collect()]
+    undefined = sum(r["n"] for r in folds.fold_histogram(pixels).where("fold_id = -1").collect())
+    sound = all(r["passed"] for r in audit) and not undefined
+    scoped = found.withColumn("scope", F.format_string("fold_%02d", "fold_id"))
+    out = {"folds": [r.asDict() for r in scoped.orderBy("scope").drop("fold_id").collect()], "partition": audit, "undefined_fold_count": undefined, "partition_status": "passed" if sound else "failed"}
+    out |= _gates(spark, c, scoped.drop("fold_id"), *map(configs.fold_name, folds.FOLDS))
+    if c.fold_rmse:
+        frozen = spark.createDataFrame(list(c.fold_rmse.items()), "fold_id long, frozen_rmse double")
+        rows = release.validation_gates(found, files.stored_fits(spark, c.fold_fits), partition, frozen, c.model.low, c.model.high, c.model.lag_u)
+        out |= _verdict("validation", rows.select(F.concat_ws(".", F.format_string("fold_%02d", "fold_id"), "gate").alias("gate"), "passed"))
+    return out
 
 
 def storage_summary(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
     area = cell_area(F.col("row"), c.origin_latitude, *c.step)
     rows = storage.storage_components(spark.read.parquet(c.pixels), c.model, c.design, area)
     found = storage.storage_summary(rows, c.model)
-    return {"summary": found.first().asDict()} | _gates(spark, c, found.drop("direction").withColumn("scope", F.lit("storage")), "storage")
+    out = {"summary": found.first().asDict()} | _gates(spark, c, found.drop("direction").withColumn("scope", F.lit("storage")), "storage")
+    if c.storage and c.published:
+        held = replace(c.storage, envelope=files.optional_document(c.envelope))
+        published = spark.read.parquet(c.published).select("row", "col", F.col("ske").alias("published_ske"))
+        compared = metrics.difference(rows.join(published, ["row", "col"]), F.col("ske"), F.col("published_ske"))
+        out |= {"published": compared.first().asDict()} | _verdict("storage", release.storage_gates(found, compared, c.model, held))
+    return out
 
 
 def products(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
@@ -67,6 +88,10 @@ def spatial_qa(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
 def audit(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
     parts = {f.__name__: f(spark, c) for f in (verify, invert, cv, storage_summary, products, figures, spatial_qa)}
     reasons = [f"{name}: {k}" for name, part in parts.items() for k, v in part.items() if _bad(k, v)]
+    if c.acceptance:
+        flat = {k: v for part in parts.values() for k, v in part.items()} | dict(c.acceptance.get("report", {}))
+        families = release.acceptance(spark, flat, c.acceptance.get("exact", {}), *(c.acceptance.get(k, ()) for k in ("true", "passed", "configured")))
+        reasons += release.reasons(families, "position")
     report = {**parts, "failure_reasons": reasons, "overall_status": "failed" if reasons else "passed"}
     files.write_report(json.loads(json.dumps(report, default=str)), f"{c.output}/audit.json")
     return report
@@ -89,6 +114,11 @@ def _gates(spark: SparkSession, c: configs.Config, found, *scopes: str) -> dict[
     return {"gates": {k: v[1] for k, v in states.items()}, "gates_status": "failed" if any(v[0] == "failed" for v in states.values()) else "passed"}
 
 
+def _verdict(name: str, rows) -> dict[str, Any]:
+    failed = release.reasons(rows)
+    return {f"{name}_gates": {r["gate"]: r["passed"] for r in rows.collect()}, f"{name}_recalculation_status": "failed" if failed else "passed", f"{name}_failed": failed}
+
+
 def _bad(key: str, value: Any) -> bool:
     return (key.endswith("_match") and value is not True) or (key.endswith("status") and str(value).startswith(("failed", "missing")))
 
@@ -106,7 +136,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("command", choices=COMMANDS)
     out.add_argument("--config", default="config.json")
     out.add_argument("--optimize", action="store_true", help="invert: fit the parameters first")
-    out.add_argument("--maxiter", type=int, help="invert: iterations of the last stage; 0 evaluates only")
+    out.add_argument("--maxiter", type=int, help="invert: iterations of the last stage in place of the configured ones; 0 evaluates only")
     out.add_argument("--output-dir")
     return out
 
@@ -116,8 +146,6 @@ def main(argv: list[str] | None = None) -> int:
     try:
         c = configs.load_config(args.config)
         if args.output_dir:
-            from dataclasses import replace
-
             c = replace(c, output=args.output_dir)
         spark = SparkSession.builder.appName("subsidia").getOrCreate()
         extra = {"optimize": args.optimize, "most": args.maxiter} if args.command == "invert" else {}

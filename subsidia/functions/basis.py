@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-#: With more centres the unrolled expressions would outgrow a compiled method; rbf_join() has no such limit.
+#: With more centres the unrolled expressions would outgrow a compiled method; rbf_array() has no such limit.
 UNROLLED = 64
 
 
@@ -39,7 +39,7 @@ def total(parts: Sequence[Column]) -> Column:
 def gaussian(x: Column, y: Column, design: Design) -> list[Column]:
     """One column for each centre: exp(-|p - c|^2 / 2 sigma^2)."""
     if len(design.centers) > UNROLLED:
-        raise ValueError(f"more than {UNROLLED} centres: use rbf_join()")
+        raise ValueError(f"more than {UNROLLED} centres: use rbf_array()")
     scale = F.lit(-0.5 / design.sigma**2)
     return [F.exp(((x - F.lit(cx)) * (x - F.lit(cx)) + (y - F.lit(cy)) * (y - F.lit(cy))) * scale) for cx, cy in design.centers]
 
@@ -54,8 +54,14 @@ def row_norm(columns: Sequence[Column]) -> Column:
     return F.sqrt(total([c * c for c in columns]))
 
 
-def rbf_join(pixels: DataFrame, centers: DataFrame, sigma: float) -> DataFrame:
-    """(pixel_id, center_id, value) for centers(center_id, cx, cy), a small table that is broadcast."""
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    pairs = pixels.select("pixel_id", "x", "y").crossJoin(F.broadcast(centers))
-    return pairs.select("pixel_id", "center_id", F.exp((dx * dx + dy * dy) * F.lit(-0.5 / sigma**2)).alias("value"))
+def rbf_array(x: Column, y: Column, centers: Sequence[tuple[float, float]], sigma: float) -> Column:
+    """An array with a value for each centre, for any number of them: no join, no shuffle, small code."""
+    points = F.array(*(F.struct(F.lit(cx).alias("cx"), F.lit(cy).alias("cy")) for cx, cy in centers))
+    scale = F.lit(-0.5 / sigma**2)
+    return F.transform(points, lambda c: F.exp(((x - c["cx"]) * (x - c["cx"]) + (y - c["cy"]) * (y - c["cy"])) * scale))
+
+
+def weighted_total(values: Column, weights: Sequence[float]) -> Column:
+    """The sum of an array's values by weights."""
+    products = F.zip_with(values, F.array(*(F.lit(float(w)) for w in weights)), lambda v, w: v * w)
+    return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)

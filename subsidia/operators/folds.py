@@ -13,13 +13,17 @@ def fold_histogram(pixels: DataFrame) -> DataFrame:
     return pixels.where("mask = 1").groupBy(known.alias("fold_id")).agg(F.count("*").alias("n"))
 
 
-def partition_audit(pixels: DataFrame) -> DataFrame:
+def partition_audit(pixels: DataFrame, by_pixel: bool = False) -> DataFrame:
     """Sizes of training and validation of each fold, measured from the rows, not by subtraction.
 
-    One aggregation by pixel finds in which folds a pixel validates; a pixel with two folds would be in training and in
-    validation of either.
+    One scan counts rows; a row has one fold, so a pixel that stands in several rows isn't seen. by_pixel groups the rows
+    of a pixel first, which shuffles all of them: a pixel with two folds is in training and in validation of either.
     """
-    own = pixels.where("mask = 1").groupBy("pixel_id").agg(F.collect_set("fold_id").alias("folds"), F.count_if(F.col("fold_id").isNull()).alias("none"))
+    own = pixels.where("mask = 1")
+    if by_pixel:
+        own = own.groupBy("pixel_id").agg(F.collect_set("fold_id").alias("folds"), F.count_if(F.col("fold_id").isNull()).alias("none"))
+    else:
+        own = own.select(F.array_compact(F.array("fold_id")).alias("folds"), F.col("fold_id").isNull().cast("int").alias("none"))
     total = own.agg(
         F.count("*").alias("common"),
         *(F.count_if(F.array_contains("folds", F.lit(k).cast("long"))).alias(f"v{k}") for k in FOLDS),

@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.guards import finite, ratio
+from .percentiles import percentiles
 
 
-def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool = False, near: float = 1e-6) -> DataFrame:
+def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool = False, near: float = 1e-6, narrowed: bool = False) -> DataFrame:
     """One row for each group (or one in all): counts, errors, extremes, percentiles, share at the upper bound.
 
     Non-finite predictions are counted and left out of every sum, but count as pixels. Percentiles are exact and
-    interpolated, of doubles; approx takes percentile_approx, whose state is bounded, for groups of very many values.
+    interpolated, of doubles, and keep a group's distinct values in one task; for groups of very many values, narrowed
+    finds the same ones in more scans with bounded state, and approx takes percentile_approx.
     """
     good = finite(*(F.col(c) for c in ("pred_sin", "pred_cos", "res_sin", "res_cos")))
-    percentile = (lambda x, p: F.percentile_approx(x, p, 10_000)) if approx else F.percentile
+    percentile = (lambda x, p: F.percentile_approx(x, p, 10_000)) if approx else (lambda x, p: F.max(F.lit(None).cast("double"))) if narrowed else F.percentile
     ske, top = F.when(F.col("good"), F.col("ske")), F.when(F.col("good"), F.greatest(F.abs("pred_sin"), F.abs("pred_cos")))
     own = lambda x: F.when(F.col("good"), x)
     found = (
@@ -35,6 +37,10 @@ def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool
             F.count_if(F.col("good") & (F.lit(high) - F.col("ske") <= near)).alias("upper"),
         )
     )
+    if narrowed:
+        exact = percentiles(frame.withColumn("good", good), by, {"ske_p50": (ske, 0.5), "pred_abs_p99": (top, 0.99)})
+        exact = exact.withColumnsRenamed({b: f"of_{b}" for b in by})
+        found = found.drop("ske_p50", "pred_abs_p99").join(F.broadcast(exact), [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by] or F.lit(True), "left")
     return found.select(
         *by, "pixel_count", "observation_count", "nonfinite_count",
         F.sqrt(ratio(F.col("sse"), F.col("observation_count"))).alias("rmse"), ratio(F.col("sae"), F.col("observation_count")).alias("mae"),
@@ -42,6 +48,18 @@ def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool
     )
 
 
+def training_errors(frame: DataFrame, folds: Sequence[int]) -> DataFrame:
+    """(fold_id, pixel_count, rmse, mae) over the rows outside each fold; undefined and null folds train everywhere.
+
+    One scan sums by fold; the handful of sums is then added up once for each fold left out.
+    """
+    own = frame.groupBy("fold_id").agg(F.count("*").alias("n"), F.sum(F.col("res_sin") * F.col("res_sin") + F.col("res_cos") * F.col("res_cos")).alias("sse"), F.sum(F.abs("res_sin") + F.abs("res_cos")).alias("sae"))
+    asked = F.filter(F.array(*(F.lit(k).cast("long") for k in folds)), lambda k: ~F.col("fold_id").eqNullSafe(k))
+    sums = own.withColumn("left_out", F.explode(asked)).groupBy(F.col("left_out").alias("fold_id")).agg(F.sum("n").alias("pixel_count"), F.sum("sse").alias("sse"), F.sum("sae").alias("sae"))
+    count = F.lit(2) * F.col("pixel_count")
+    return sums.select("fold_id", "pixel_count", F.sqrt(ratio(F.col("sse"), count)).alias("rmse"), ratio(F.col("sae"), count).alias("mae"))
+
+
 def raster_summary(cells: DataFrame, product: str = "product", value: str = "value") -> DataFrame:
     """Finite cells, their least and greatest value, by product."""
     x = F.when(finite(F.col(value)), F.col(value))

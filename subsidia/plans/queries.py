@@ -10,10 +10,10 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import basis, geometry, guards, harmonics, storage_model
-from ..operators import fit, folds, gates, history, metrics, storage
+from ..operators import fit, folds, gates, history, metrics, percentiles, release, storage
 from ..operators.model_frame import fold_model_frame, model_frame, split_filter, usable
 from ..sources.files import with_numbers
-from ..sources.pixels import DESIGN, MODEL, STEP, TOP, centers_table, damaged_pixels, masked_pixels, order_pixels, read_table
+from ..sources.pixels import DESIGN, MODEL, STEP, TOP, damaged_pixels, masked_pixels, order_pixels, read_table, repeated_pixels, undefined_folds
 from ..streaming.metrics import running_metrics
 from . import sql as S
 
@@ -68,21 +68,20 @@ def q03_validation_split(spark, d):
     return rounded(metrics.metrics(rows, MODEL.high, ["fold_id"]).select("fold_id", "pixel_count", "rmse", "mae"))
 
 
-@query(MF + f", t AS (SELECT mf.* REPLACE (k AS fold_id) FROM mf JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(k) ON fold_id <> k) SELECT fold_id, pixel_count, rmse, mae FROM ({S.metrics('fold_id', 't')})")
+@query(f"WITH {S.PX}, {S.UNDEFINED}, {S.model('uf')}, t AS (SELECT mf.* REPLACE (k AS fold_id) FROM mf JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(k) ON fold_id IS DISTINCT FROM k) SELECT fold_id, pixel_count, rmse, mae FROM ({S.metrics('fold_id', 't')})")
 def q04_training_split(spark, d):
-    asked = F.filter(F.array(*(F.lit(k).cast("long") for k in folds.FOLDS)), lambda k: ~F.col("fold_id").eqNullSafe(k))
-    rows = frame(spark, d).withColumn("fold_id", F.explode(asked))
-    return rounded(metrics.metrics(rows, MODEL.high, ["fold_id"]).select("fold_id", "pixel_count", "rmse", "mae"))
+    rows = model_frame(usable(undefined_folds(masked_pixels(spark, d))), MODEL, DESIGN)
+    return rounded(metrics.training_errors(rows, folds.FOLDS))
 
 
-@query(f"WITH {S.PX} SELECT fold_id, count(*) AS n FROM px WHERE mask = 1 GROUP BY fold_id")
+@query(f"WITH {S.PX}, {S.UNDEFINED} SELECT CASE WHEN fold_id IN (0, 1, 2, 3, 4) THEN fold_id ELSE -1 END AS fold_id, count(*) AS n FROM uf WHERE mask = 1 GROUP BY ALL")
 def q05_fold_histogram(spark, d):
-    return folds.fold_histogram(masked_pixels(spark, d))
+    return folds.fold_histogram(undefined_folds(masked_pixels(spark, d)))
 
 
-@query(f"WITH {S.PX}, c AS (SELECT * FROM px WHERE mask = 1), k AS (SELECT unnest([1, 2, 3, 4])::BIGINT AS fold_id) SELECT k.fold_id, count_if(c.fold_id <> k.fold_id) AS training_n, count_if(c.fold_id = k.fold_id) AS validation_n, CAST(0 AS BIGINT) AS intersection_n, count(*) AS union_n, TRUE AS passed FROM c, k GROUP BY k.fold_id")
+@query(f"WITH {S.PX}, {S.UNDEFINED}, c AS (SELECT * FROM uf WHERE mask = 1), k AS (SELECT unnest([1, 2, 3, 4])::BIGINT AS fold_id) SELECT k.fold_id, count_if(c.fold_id IS DISTINCT FROM k.fold_id) AS training_n, count_if(c.fold_id = k.fold_id) AS validation_n, CAST(0 AS BIGINT) AS intersection_n, count(*) AS union_n, TRUE AS passed FROM c, k GROUP BY k.fold_id")
 def q06_partition_audit(spark, d):
-    return folds.partition_audit(masked_pixels(spark, d))
+    return folds.partition_audit(undefined_folds(masked_pixels(spark, d)))
 
 
 _ROT = S.rotated("hc_sin", "hc_cos", MODEL.lag_c)
@@ -134,9 +133,8 @@ def q13_rbf_basis(spark, d):
 
 @query(_RBF)
 def q14_rbf_join(spark, d):
-    pairs = basis.rbf_join(order_pixels(spark, d), centers_table(spark, DESIGN), DESIGN.sigma)
-    own = lambda k: F.max(F.when(F.col("center_id") == k, F.col("value")))
-    return pairs.groupBy("pixel_id").agg(*(r(own(k), 9, f"b{k}") for k in range(4)))
+    rows = order_pixels(spark, d).withColumn("b", basis.rbf_array(F.col("x"), F.col("y"), DESIGN.centers, DESIGN.sigma))
+    return rows.select("pixel_id", *(r(F.col("b")[k], 9, f"b{k}") for k in range(4)))
 
 
 _T = [" + ".join(f"{S.num(row[j])} * {S.raw(k)}" for k, row in enumerate(DESIGN.transform)) for j in range(4)]
@@ -207,9 +205,8 @@ def q20_cell_area(spark, d):
 
 @query(MF + f"SELECT pixel_id, round(ske * hc_sin * {S.area('row')}, 5) AS vol_sin, round(ske * hc_cos * {S.area('row')}, 5) AS vol_cos FROM mf")
 def q21_storage_components(spark, d):
-    pixels = masked_pixels(spark, d)
-    joined = pixels.join(row_areas(pixels).withColumnRenamed("area_m2", "a"), "row")
-    return rounded(storage.storage_components(joined, MODEL, DESIGN, F.col("a")).select("pixel_id", "vol_sin", "vol_cos"), vol_sin=5, vol_cos=5)
+    area = geometry.cell_area(F.col("row"), TOP, STEP, STEP)
+    return rounded(storage.storage_components(masked_pixels(spark, d), MODEL, DESIGN, area).select("pixel_id", "vol_sin", "vol_cos"), vol_sin=5, vol_cos=5)
 
 
 _LATER = S.rotated("s", "c", MODEL.lag_c)
@@ -403,9 +400,9 @@ def q45_amplitude_direction(spark, d):
     return order_pixels(spark, d).select("pixel_id", r(harmonics.amplitude(s, c), 9, "amplitude"), harmonics.direction_label(s).alias("direction"))
 
 
-@query(f"WITH {S.PX} SELECT count_if(v.fold_id = 1 AND v.fold_id <> 1) AS intersection_n FROM px v WHERE mask = 1")
+@query(f"WITH {S.PX}, {S.REPEATED} SELECT count(*) AS intersection_n FROM rp v WHERE mask = 1 AND fold_id = 1 AND EXISTS (SELECT 1 FROM rp t WHERE t.mask = 1 AND t.fold_id <> 1 AND t.pixel_id = v.pixel_id)")
 def q46_disjoint_folds(spark, d):
-    return folds.overlap(masked_pixels(spark, d), 1)
+    return folds.overlap(repeated_pixels(masked_pixels(spark, d)), 1)
 
 
 @query(MF + f"SELECT fold_id, pixel_count, observation_count, rmse, mae FROM ({S.metrics('fold_id')})")
@@ -422,6 +419,122 @@ def q47_running_metrics(spark, d):
     return rounded(spark.table(name))
 
 
-@query(f"WITH {S.PX}, t AS (SELECT * FROM px WHERE mask = 1 AND fold_id <> 2) SELECT count(*) AS n, round(avg(obs_sin), 9) AS mean FROM t")
+@query(f"WITH {S.PX}, {S.UNDEFINED}, t AS (SELECT * FROM uf WHERE mask = 1 AND fold_id IS DISTINCT FROM 2) SELECT count(*) AS n, round(avg(obs_sin), 9) AS mean FROM t")
 def q48_split_filter(spark, d):
-    return split_filter(masked_pixels(spark, d), "training", 2).agg(F.count("*").alias("n"), r(F.avg("obs_sin"), 9, "mean"))
+    return split_filter(undefined_folds(masked_pixels(spark, d)), "training", 2).agg(F.count("*").alias("n"), r(F.avg("obs_sin"), 9, "mean"))
+
+
+@query(f"WITH {S.PX}, {S.BAD}, {S.model('bad')} {S.damaged_metrics('fold_id')}")
+def q49_nonfinite_metrics(spark, d):
+    return rounded(metrics.metrics(model_frame(damaged_pixels(spark, d).where("mask = 1"), MODEL, DESIGN), MODEL.high, ["fold_id"]))
+
+
+@query(f"""WITH {S.PX}, {S.REPEATED}, p AS (SELECT pixel_id, list(DISTINCT fold_id) AS f FROM rp WHERE mask = 1 GROUP BY pixel_id), k AS (SELECT unnest([1, 2, 3, 4])::BIGINT AS fold_id),
+n AS (SELECT fold_id, count_if(len(list_filter(f, lambda x: x <> fold_id)) > 0) AS training_n, count_if(list_contains(f, fold_id)) AS validation_n, count_if(list_contains(f, fold_id) AND len(f) > 1) AS intersection_n, count(*) AS common FROM p, k GROUP BY fold_id)
+SELECT fold_id, training_n, validation_n, intersection_n, training_n + validation_n - intersection_n AS union_n, intersection_n = 0 AND training_n + validation_n - intersection_n = common AS passed FROM n""")
+def q50_partition_by_pixel(spark, d):
+    return folds.partition_audit(repeated_pixels(masked_pixels(spark, d)), by_pixel=True)
+
+
+_FOUND = " UNION ALL ".join(f"SELECT *, {S.num(math.exp(m.log_cu))} AS cu, {S.num(m.lag_c)} AS lag_c, {S.num(m.lag_u)} AS lag_u FROM (WITH {S.model('px', f'mask = 1 AND fold_id = {k}', m)} {S.metrics('fold_id')})" for k, m in _FOLD_MODELS.items())
+_VALIDATION = {
+    "validation_rmse": S.near("a.rmse", "z.frozen_rmse", 1e-5), "validation_mae": S.near("a.mae", "s.mae", 1e-5), "validation_pixel_count": "a.pixel_count = s.pixel_count AND a.pixel_count = c.n",
+    "nonfinite_prediction_count": "a.nonfinite_count = 0", "ske_min_bound": f"a.ske_min >= {S.num(MODEL.low - 1e-9)}", "ske_max_bound": f"a.ske_max <= {S.num(MODEL.high + 1e-9)}",
+    "ske_min_value": S.near("a.ske_min", "s.ske_min", 1e-6), "ske_max_value": S.near("a.ske_max", "s.ske_max", 1e-6), "prediction_abs_p99": f"a.pred_abs_p99 <= {S.num(100)}",
+    "cu": S.near("a.cu", "s.cu", 1e-12), "lag_c": S.near("a.lag_c", "s.lag_c", 1e-12), "lag_u": S.near("a.lag_u", S.num(10), 1e-12),
+}
+_STORED = f"s AS (SELECT fold_id, mae + CASE WHEN fold_id = 4 THEN 1 ELSE 0 END AS mae, pixel_count + CASE WHEN fold_id = 2 THEN 1 ELSE 0 END AS pixel_count, ske_min, ske_max, cu, lag_c + CASE WHEN fold_id = 1 THEN {S.num(1e-9)} ELSE 0 END AS lag_c FROM a WHERE fold_id <> 3)"
+
+
+@query(f"WITH {S.PX}, a AS ({_FOUND}), {_STORED}, c AS (SELECT fold_id, count(*) AS n FROM px WHERE mask = 1 GROUP BY fold_id), z AS (SELECT fold_id, CASE WHEN fold_id = 2 THEN 0 ELSE rmse END AS frozen_rmse FROM a) {S.gates(_VALIDATION, 'z LEFT JOIN a USING (fold_id) LEFT JOIN s USING (fold_id) LEFT JOIN c USING (fold_id)', 'fold_id')}")
+def q51_validation_gates(spark, d):
+    """Each fold under its own model, held against stored fits of which some are off and one is missing."""
+    pixels = masked_pixels(spark, d)
+    found = release.with_model(metrics.metrics(fold_model_frame(usable(pixels), _FOLD_MODELS, DESIGN), MODEL.high, ["fold_id"]), _FOLD_MODELS)
+    off = lambda k, by: F.when(F.col("fold_id") == k, by).otherwise(0 * by)
+    stored = found.where("fold_id <> 3").select("fold_id", "rmse", (F.col("mae") + off(4, F.lit(1.0))).alias("mae"), (F.col("pixel_count") + off(2, F.lit(1))).alias("pixel_count"), "ske_min", "ske_max", "cu", (F.col("lag_c") + off(1, F.lit(1e-9))).alias("lag_c"))
+    frozen = found.select("fold_id", F.when(F.col("fold_id") == 2, 0.0).otherwise(F.col("rmse")).alias("frozen_rmse"))
+    return release.validation_gates(found, stored, folds.partition_audit(pixels), frozen, MODEL.low, MODEL.high, 10.0)
+
+
+#: Expected numbers of the final model, and tolerances that some of them meet.
+_FINAL = {"rmse": 5.0, "mae": 0.0, "ske_min": 0.0, "ske_p50": 0.0, "ske_max": 0.05, "cu": math.exp(MODEL.log_cu)}
+_FINAL_TOL = {"rmse": 1e3, "mae": 1e-9, "ske_min": 0.05, "ske_p50": 1e-12, "ske_max": 0.05, "cu": 1e-13}
+_FINAL_GATES = {k: S.near({"cu": S.num(math.exp(MODEL.log_cu))}.get(k, k), S.num(v), _FINAL_TOL[k]) for k, v in _FINAL.items()} | {
+    "lag_c": "TRUE", "lag_u": "FALSE", "gamma_norm_finite": "TRUE", "nonfinite_prediction_count": "nonfinite_count = 0", "ske_min_bound": f"ske_min >= {S.num(MODEL.low - 1e-9)}", "ske_max_bound": f"ske_max <= {S.num(MODEL.high + 1e-9)}",
+    "prediction_abs_p99_finite": "isfinite(pred_abs_p99)", "parameter_count": "TRUE",
+}
+
+
+@query(f"WITH {S.PX}, {S.BAD}, {S.model('bad')}, a AS ({S.damaged_metrics('mask')}) {S.gates(_FINAL_GATES, 'a')}")
+def q52_final_gates(spark, d):
+    found = metrics.metrics(model_frame(damaged_pixels(spark, d).where("mask = 1"), MODEL, DESIGN), MODEL.high)
+    return release.final_gates(found, MODEL, _FINAL, (MODEL.lag_c, 11.0), len(MODEL.theta), _FINAL_TOL)
+
+
+_RELEASE = release.StorageRelease(0.0, 0.0, 0.0, MODEL.lag_c, 100.0, 200.0, "passed", {"confined_storage_uncertainty_status": "passed", "p2_5_m3": 100.5, "p97_5_m3": 201.5})
+_STORAGE_GATES = {
+    **{k: f"abs({k}) <= {S.num(1e-3)}" for k in ("coherent_m3", "local_sum_m3", "peak_to_trough_m3")}, "delayed_peak_shift": f"abs(shift_days - {S.num(MODEL.lag_c)}) < {S.num(0.05)}", "delayed_direction": "direction = 'positive_delay'",
+    "delayed_positive_shift": f"abs(shift_days - {S.num(MODEL.lag_c)}) < {S.num(0.05)} AND direction = 'positive_delay'", "published_ske": f"(SELECT max(abs(ske - ske_ref)) FROM mf) <= {S.num(1e-8)}", "lag_c": "TRUE",
+    "envelope_present": "TRUE", "envelope_status": "TRUE", "envelope_low": "TRUE", "envelope_high": "FALSE",
+}
+
+
+@query(MF + f", z AS (WITH {_SUMMARY[2:]}) {S.gates(_STORAGE_GATES, 'z')}")
+def q53_storage_gates(spark, d):
+    area = geometry.cell_area(F.col("row"), TOP, STEP, STEP)
+    rows = storage.storage_components(masked_pixels(spark, d), MODEL, DESIGN, area)
+    return release.storage_gates(storage.storage_summary(rows, MODEL), metrics.difference(rows, F.col("ske"), F.col("ske_ref")), MODEL, _RELEASE)
+
+
+#: (product, crs, height): what the fixture's rasters say of themselves; hu_sin has no metadata, none is empty.
+_RASTERS = (("obs_sin", "EPSG:4326", 40), ("hc_cos", "EPSG:4326", 40), ("ske_ref", "EPSG:32650", 40), ("none", "EPSG:4326", 40))
+_ASKED = ("obs_sin", "hc_cos", "hu_sin", "ske_ref", "none")
+
+
+@query(f"""WITH {S.PX}, {S.BAD}, u AS (SELECT product, value FROM bad UNPIVOT INCLUDE NULLS (value FOR product IN (obs_sin, hc_cos, hu_sin, ske_ref))),
+t AS (SELECT product, count(CASE WHEN isfinite(value) THEN 1 END) AS n, round(min(CASE WHEN isfinite(value) THEN value END), 9) AS lo, round(max(CASE WHEN isfinite(value) THEN value END), 9) AS hi FROM u GROUP BY product),
+m AS (SELECT * FROM (VALUES {', '.join(map(str, _RASTERS))}) v(product, crs, height)), q AS (SELECT unnest([{', '.join(f"'{x}'" for x in _ASKED)}]) AS product)
+SELECT q.product, CASE WHEN m.product IS NOT NULL THEN sha256(q.product) END AS sha256, crs, CASE WHEN m.product IS NOT NULL THEN '30,0,0,0,-30,0' END AS transform, height, CASE WHEN m.product IS NOT NULL THEN 125 END AS width, CAST(NULL AS DOUBLE) AS nodata, coalesce(n, 0) AS finite_count, lo AS min_value, hi AS max_value,
+ CASE WHEN m.product IS NULL THEN 'missing' WHEN coalesce(n, 0) = 0 THEN 'empty' ELSE 'passed' END AS status FROM q LEFT JOIN m USING (product) LEFT JOIN t USING (product)""")
+def q54_raster_audit(spark, d):
+    cells = damaged_pixels(spark, d).unpivot(["pixel_id"], ["obs_sin", "hc_cos", "hu_sin", "ske_ref"], "product", "value")
+    metadata = spark.createDataFrame(list(_RASTERS), "product string, crs string, height int").withColumns({"sha256": F.sha2("product", 256), "transform": F.lit("30,0,0,0,-30,0"), "width": F.lit(125), "nodata": F.lit(None).cast("double")})
+    return rounded(release.raster_audit(spark.createDataFrame([(x,) for x in _ASKED], "product string"), metadata, metrics.raster_summary(cells)), min_value=9, max_value=9)
+
+
+_REPORT = {"official_cli_count": 1, "tracked_large_output_count": 2, "manifest_hash_match": True, "cache_hash_match": "True", "storage_status": "passed", "products_status": "failed", "ci_status": "configured"}
+
+
+@query("""SELECT * FROM (VALUES (0, 'exact', 'official_cli_count', '1', '1', TRUE), (1, 'exact', 'tracked_large_output_count', '2', '0', FALSE), (2, 'true', 'manifest_hash_match', 'True', 'True', TRUE), (3, 'true', 'cache_hash_match', 'True', 'True', FALSE),
+ (4, 'passed', 'storage_status', 'passed', 'passed', TRUE), (5, 'passed', 'products_status', 'failed', 'passed', FALSE), (6, 'passed', 'readme_status', NULL, 'passed', FALSE), (7, 'configured', 'ci_status', 'configured', 'configured', TRUE)) v(position, family, name, actual, expected, passed)""")
+def q55_acceptance(spark, d):
+    return release.acceptance(spark, _REPORT, {"official_cli_count": 1, "tracked_large_output_count": 0}, ("manifest_hash_match", "cache_hash_match"), ("storage_status", "products_status", "readme_status"), ("ci_status",))
+
+
+@query("WITH p AS (SELECT p_partkey AS id, 'a/' || ['src', 'build', 'dist', 'rebuild'][1 + p_partkey % 4] || '/f' || p_partkey || ['.py', '.tif', '.npy'][1 + p_partkey % 3] AS path FROM part) SELECT id, path FROM p WHERE NOT list_has_any(string_split(path, '/'), ['build', 'dist']) AND (path LIKE '%.tif' OR path LIKE '%.npy')")
+def q56_active_paths(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (k % len(x) + 1).cast("int"))
+    paths = read_table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("a/"), pick("src", "build", "dist", "rebuild"), F.lit("/f"), k.cast("string"), pick(".py", ".tif", ".npy")).alias("path"))
+    return release.active_paths(paths, ("build", "dist"), (".tif", ".npy"))
+
+
+@query(f"WITH {S.PX}, {S.BAD} SELECT fold_id, round(quantile_cont(CASE WHEN isfinite(obs_sin) THEN obs_sin END, 0.5), 9) AS p50, round(quantile_cont(CASE WHEN isfinite(obs_sin) THEN obs_sin END, 0.99), 9) AS p99, round(quantile_cont(ske_ref, 0.25), 9) AS q25 FROM bad GROUP BY fold_id")
+def q57_narrowed_percentiles(spark, d):
+    """With so few values held and so few bins that the fixture's groups have to be narrowed."""
+    found = percentiles.percentiles(damaged_pixels(spark, d), ["fold_id"], {"p50": (F.col("obs_sin"), 0.5), "p99": (F.col("obs_sin"), 0.99), "q25": (F.col("ske_ref"), 0.25)}, held=32, bins=16)
+    return rounded(found, p50=9, p99=9, q25=9)
+
+
+_START = replace(MODEL, eta0=-3.0, log_cu=math.log(1e-3), lag_c=40.0)
+_SSE_START = f"sum(res_sin * res_sin + res_cos * res_cos) * {S.num(0.5 / MODEL.sigma**2)}"
+
+
+@query(f"WITH {S.PX}, {S.model(m=_START)} SELECT round(({_SSE_START} + {S.num(_PRIOR)}) / (2 * count(*)), 8) AS initial_objective, TRUE AS descends, TRUE AS bounded FROM mf")
+def q58_fit_descends(spark, d):
+    """A few iterations of each stage: the objective at the start, whether it falls, and whether the bounds hold."""
+    fitted, summary = fit.fit(usable(masked_pixels(spark, d)), _START, DESIGN, (4, 3, 4))
+    low, high = storage_model.LOG_CU
+    row = (round(summary["initial_objective"], 8), summary["final_objective"] < summary["initial_objective"], low <= fitted.log_cu <= high)
+    return spark.createDataFrame([row], "initial_objective double, descends boolean, bounded boolean")

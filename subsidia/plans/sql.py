@@ -28,6 +28,11 @@ BAD = f"""bad AS (SELECT * REPLACE (CASE WHEN pixel_id % 11 = 0 THEN CAST('nan'
  CASE WHEN pixel_id % 17 = 0 THEN CAST('-inf' AS DOUBLE) ELSE hu_sin END AS hu_sin, CASE WHEN pixel_id % 19 = 0 THEN NULL ELSE obs_cos END AS obs_cos) FROM px)"""
 
 
+UNDEFINED = "uf AS (SELECT * REPLACE (CASE WHEN pixel_id % 23 = 0 THEN NULL WHEN pixel_id % 29 = 0 THEN 9 ELSE fold_id END AS fold_id) FROM px)"
+
+REPEATED = "rp AS (SELECT * FROM px UNION ALL SELECT * REPLACE ((fold_id + 1) % 5 AS fold_id) FROM px WHERE pixel_id % 31 = 0)"
+
+
 def rotated(s: str, c: str, lag: float) -> tuple[str, str]:
     a = W * lag
     return f"({s} * {num(math.cos(a))} + {c} * {num(math.sin(a))})", f"({c} * {num(math.cos(a))} - {s} * {num(math.sin(a))})"
@@ -59,6 +64,27 @@ def metrics(by: str, source: str = "mf", where: str = "TRUE") -> str:
  FROM {source} WHERE {where}{f' GROUP BY {by}' if by else ''}"""
 
 
+def damaged_metrics(by: str, source: str = "mf") -> str:
+    """metrics() where some predictions or residuals are not finite: counted, but in no sum."""
+    good = "coalesce(isfinite(pred_sin) AND isfinite(pred_cos) AND isfinite(res_sin) AND isfinite(res_cos), FALSE)"
+    own = lambda x: f"CASE WHEN good THEN {x} END"
+    return f"""SELECT {by}, count(*) AS pixel_count, 2 * count_if(good) AS observation_count, count_if(NOT good) AS nonfinite_count,
+ round(sqrt(coalesce(sum({own('res_sin * res_sin + res_cos * res_cos')}), 0) / greatest(2 * count_if(good), 1)), 6) AS rmse, round(coalesce(sum({own('abs(res_sin) + abs(res_cos)')}), 0) / greatest(2 * count_if(good), 1), 6) AS mae,
+ round(min({own('ske')}), 9) AS ske_min, round(quantile_cont({own('ske')}, 0.5), 9) AS ske_p50, round(max({own('ske')}), 9) AS ske_max,
+ round(quantile_cont({own('greatest(abs(pred_sin), abs(pred_cos))')}, 0.99), 6) AS pred_abs_p99, round(count_if(good AND {num(MODEL.high)} - ske <= {num(1e-6)}) / count(*), 9) AS upper_bound_fraction
+ FROM (SELECT *, {good} AS good FROM {source}) GROUP BY {by}"""
+
+
+def gates(exprs: dict[str, str], source: str, *keys: str) -> str:
+    """A row for each gate and row of the source."""
+    names, tests = ", ".join(f"'{k}'" for k in exprs), ", ".join(f"coalesce({v}, FALSE)" for v in exprs.values())
+    return f"SELECT {''.join(f'{k}, ' for k in keys)}unnest([{names}]) AS gate, unnest([{tests}]) AS passed FROM {source}"
+
+
+def near(a: str, b: str, tol: float) -> str:
+    return f"(abs({a} - {b}) <= {num(tol)} AND isfinite({a}) AND isfinite({b}))"
+
+
 def phase(s: str, c: str) -> str:
     """atan2 in days, in [0, PERIOD)."""
     a = f"(atan2({s}, {c}) * {num(PERIOD / (2 * math.pi))})"

@@ -19,6 +19,33 @@ def read_document(path: str) -> dict[str, Any]:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
+#: Names in a stored fit's document, by column.
+_FIT = {"rmse": "rmse", "mae": "mae", "pixel_count": "pixel_count", "ske_min": "Ske_min", "ske_max": "Ske_max", "cu": "Cu_global", "lag_c": "lag_c_days"}
+
+
+def stored_fits(spark: SparkSession, paths: Mapping[int, str]) -> DataFrame:
+    """A row for each fold whose document of a stored fit is there, from its part "validation"."""
+    rows = []
+    for fold, path in paths.items():
+        if Path(path).exists():
+            found = read_document(path)["validation"]
+            rows.append((fold, *(int(found[k]) if c == "pixel_count" else float(found[k]) for c, k in _FIT.items())))
+    return spark.createDataFrame(rows, "fold_id long, rmse double, mae double, pixel_count long, ske_min double, ske_max double, cu double, lag_c double")
+
+
+def stored_errors(*paths: str) -> dict[int, float]:
+    """The error of each fold from the first of some documents that is there."""
+    for path in paths:
+        if Path(path).exists():
+            return {int(r["fold_id"]): float(r["validation_rmse"]) for r in read_document(path).get("rows", [])}
+    raise FileNotFoundError(", ".join(paths))
+
+
+def optional_document(path: str | None) -> dict[str, Any]:
+    """A document, or nothing where it isn't there."""
+    return read_document(path) if path and Path(path).exists() else {}
+
+
 def write_report(report: Mapping[str, Any], path: str) -> None:
     """JSON with sorted keys, whole or not at all."""
     text = json.dumps(report, indent=2, sort_keys=True, ensure_ascii=False, default=lambda x: x.item())

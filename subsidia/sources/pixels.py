@@ -57,8 +57,15 @@ def damaged_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_pixels(spark, sf_dir).withColumns(damage)
 
 
-def centers_table(spark: SparkSession, design: Design) -> DataFrame:
-    return spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(design.centers)], "center_id int, cx double, cy double")
+def undefined_folds(pixels: DataFrame) -> DataFrame:
+    """The fixture with folds that are null or that the scheme doesn't know."""
+    key = F.col("pixel_id")
+    return pixels.withColumn("fold_id", F.when(key % 23 == 0, F.lit(None).cast("long")).when(key % 29 == 0, F.lit(9).cast("long")).otherwise(F.col("fold_id")))
+
+
+def repeated_pixels(pixels: DataFrame) -> DataFrame:
+    """The fixture with some pixels once more, under the next fold."""
+    return pixels.unionByName(pixels.where("pixel_id % 31 = 0").withColumn("fold_id", (F.col("fold_id") + 1) % 5))
 
 
 def layout(pixels: DataFrame, path: str) -> None:

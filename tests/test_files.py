@@ -67,3 +67,67 @@ def test_commands_and_exit_codes(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as told:
         cli.main(["--help"])
     assert told.value.code == 0
+
+
+def report(capsys, *argv):
+    code = cli.main(list(argv))
+    return code, json.loads(capsys.readouterr().out)
+
+
+def test_folds_have_their_own_models_and_gates(spark, tmp_path, capsys):
+    pixels(spark, 60).selectExpr("*", "pixel_id AS row", "0L AS col").write.parquet(str(tmp_path / "pixels"))
+    models = {str(k): {"eta0": MODEL.eta0 - k, "lag_c": 40.0 + k} for k in (1, 2, 3, 4)}
+    settings, path = raw("pixels", fold_models=models, design={"centers": DESIGN.centers, "sigma": 1.0, "transform": DESIGN.transform}), tmp_path / "c.json"
+
+    def run(command, *argv, **more):
+        path.write_text(json.dumps(settings | more))
+        return report(capsys, command, "--config", str(path), *argv)
+
+    code, found = run("cv")
+    assert code == 0 and len({f["rmse"] for f in found["folds"]}) == 4 and [f["lag_c"] for f in found["folds"]] == [41.0, 42.0, 43.0, 44.0]
+    assert run("cv", fold_models={})[1]["folds"][0]["rmse"] != found["folds"][0]["rmse"]
+    for k, f in enumerate(found["folds"], 1):
+        stored = {"rmse": f["rmse"], "mae": f["mae"], "pixel_count": 12, "Ske_min": f["ske_min"], "Ske_max": f["ske_max"], "Cu_global": f["cu"], "lag_c_days": f["lag_c"]}
+        (tmp_path / f"fit{k}.json").write_text(json.dumps({"validation": stored}))
+    held = {"fold_fits": {k: f"fit{k}.json" for k in (1, 2, 3, 4)}, "fold_rmse": {k: f["rmse"] for k, f in enumerate(found["folds"], 1)}}
+    code, good = run("cv", **held)
+    assert (code, good["validation_recalculation_status"], len(good["validation_gates"])) == (0, "passed", 48)
+    (tmp_path / "fit2.json").unlink()
+    code, bad = run("cv", **held | {"fold_rmse": held["fold_rmse"] | {3: 0.0}})
+    assert code == 1 and "fold_03.validation_rmse" in bad["validation_failed"] and "fold_02.validation_mae" in bad["validation_failed"]
+    assert not [x for x in bad["validation_failed"] if x.startswith(("fold_01", "fold_04"))]
+    (tmp_path / "errors.json").write_text(json.dumps({"rows": [{"fold_id": 2, "validation_rmse": 1.5}]}))
+    assert files.stored_errors(str(tmp_path / "none"), str(tmp_path / "errors.json")) == {2: 1.5}
+
+
+def test_storage_and_release_gates(spark, tmp_path, capsys):
+    pixels(spark, 60).selectExpr("*", "pixel_id AS row", "0L AS col").write.parquet(str(tmp_path / "pixels"))
+    spark.range(60).selectExpr("id AS row", "0L AS col", "0.0D AS ske").write.parquet(str(tmp_path / "ske"))
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(raw("pixels")))
+    summary = report(capsys, "storage", "--config", str(path))[1]["summary"]
+    wanted = {k: summary[k] for k in ("coherent_m3", "local_sum_m3", "peak_to_trough_m3")} | {"lag_c": MODEL.lag_c, "low_m3": 1.0, "high_m3": 9.0, "status": "passed"}
+    (tmp_path / "envelope.json").write_text(json.dumps({"confined_storage_uncertainty_status": "passed", "p2_5_m3": 1.5, "p97_5_m3": 9.0}))
+    more = {"storage": wanted, "published": "ske", "envelope": "envelope.json", "final": {"rmse": [0.0, 1e9], "ske_max": [0.0, 1.0]}}
+    path.write_text(json.dumps(raw("pixels", **more)))
+    code, found = report(capsys, "storage", "--config", str(path))
+    assert (code, found["storage_failed"]) == (1, ["published_ske"])
+    path.write_text(json.dumps(raw("pixels", **more | {"envelope": "none.json"})))
+    assert set(report(capsys, "storage", "--config", str(path))[1]["storage_failed"]) == {"published_ske", "envelope_present", "envelope_status", "envelope_low", "envelope_high"}
+    code, found = report(capsys, "invert", "--config", str(path))
+    assert (code, found["final_recalculation_status"], len(found["final_gates"])) == (0, "passed", 10)
+    families = {"report": {"ci": "configured", "n": 2}, "exact": {"n": 1}, "passed": ["final_recalculation_status", "partition_status", "absent"], "configured": ["ci"]}
+    path.write_text(json.dumps(raw("pixels", acceptance=families, final=more["final"], output="out")))
+    code, found = report(capsys, "audit", "--config", str(path))
+    assert (code, found["failure_reasons"]) == (1, ["n", "absent"])
+
+
+def test_maxiter_replaces_the_last_budget(spark, tmp_path, monkeypatch, capsys):
+    pixels(spark, 20).write.parquet(str(tmp_path / "pixels"))
+    path, seen = tmp_path / "c.json", []
+    path.write_text(json.dumps(raw("pixels", budgets=[100, 200, 300], output="out")))
+    monkeypatch.setattr(cli.fit, "fit", lambda p, model, design, budgets: seen.append(budgets) or (model, {}))
+    for n in ("5", "0", "700"):
+        cli.main(["invert", "--config", str(path), "--optimize", "--maxiter", n])
+    cli.main(["invert", "--config", str(path), "--optimize"])
+    assert seen == [(100, 200, 5), (0, 0, 0), (100, 200, 700), (100, 200, 300)]

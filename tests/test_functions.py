@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from subsidia.functions import basis, geometry, guards, harmonics as H, storage_model as M
-from subsidia.operators import fit, folds, gates, history, metrics, storage
+from subsidia.operators import fit, folds, gates, history, metrics, percentiles, release, storage
 from subsidia.operators.model_frame import model_frame, split_filter, usable
 
 MODEL = M.StorageModel(0.2, (0.3, -0.4), math.log(0.004), 42.0, lag_u=10.0, ridge=0.3)
@@ -132,6 +132,50 @@ def test_nonfinite_rows_are_counted_not_summed(spark):
     assert (empty.pixel_count, empty.rmse, empty.ske_min) == (0, 0.0, None)
 
 
+def test_percentiles_are_numpys(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=700), "b": np.full(50, 2.5), "c": np.array([1.0, 4.0]), "d": np.array([7.0]), None: rng.integers(0, 4, 300) * 1e300 - 1e300, "e": np.array([math.nan])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("a", math.inf)], "k string, x double")
+    for held, bins in ((1 << 20, 4096), (5, 8), (2, 2)):
+        got = {r.k: r for r in percentiles.percentiles(df, ["k"], {"p0": (F.col("x"), 0.0), "p37": (F.col("x"), 0.37), "p1": (F.col("x"), 1.0)}, held, bins).collect()}
+        assert got.keys() == groups.keys() - {"e"}
+        for k, r in got.items():
+            assert np.allclose([r.p0, r.p37, r.p1], np.percentile(groups[k], [0, 37, 100]), rtol=1e-12)
+    assert percentiles.percentiles(df, [], {"m": (F.col("x"), 0.5)}, 5, 8).first().m == pytest.approx(np.median(np.concatenate([v for k, v in groups.items() if k != "e"])))
+    rows = model_frame(usable(pixels(spark)), MODEL, DESIGN)
+    for by in ([], ["fold_id"]):
+        a, b = (sorted(metrics.metrics(rows, MODEL.high, by, narrowed=n).collect()) for n in (False, True))
+        assert np.allclose(a, b, rtol=1e-12)
+    empty = metrics.metrics(rows.limit(0), MODEL.high, narrowed=True).first()
+    assert (empty.pixel_count, empty.ske_p50) == (0, None)
+
+
+def test_training_errors_sum_all_other_folds(spark):
+    rows = pixels(spark).unionByName(spark.createDataFrame([(99, None, 1, *[0.5] * 8), (98, 9, 1, *[0.1] * 8)], KIND))
+    frame = model_frame(rows, MODEL, DESIGN)
+    got = {r.fold_id: r for r in metrics.training_errors(frame, folds.FOLDS).collect()}
+    for k in folds.FOLDS:
+        want = metrics.metrics(split_filter(frame, "training", k), MODEL.high).first()
+        assert got[k].pixel_count == want.pixel_count and np.allclose([got[k].rmse, got[k].mae], [want.rmse, want.mae], rtol=1e-12)
+
+
+def test_many_centres(spark):
+    rng = np.random.default_rng(1)
+    centers, weights = rng.normal(size=(90, 2)), rng.normal(size=90)
+    row = spark.createDataFrame([(0.3, -0.2), (None, 1.0)], "x double, y double").select(basis.weighted_total(basis.rbf_array(F.col("x"), F.col("y"), [tuple(map(float, c)) for c in centers], 1.5), list(weights)).alias("v")).collect()
+    assert np.isclose(row[0].v, np.exp(-((centers - [0.3, -0.2]) ** 2).sum(1) / 4.5) @ weights) and row[1].v is None
+
+
+def test_release_families(spark):
+    rows = release.acceptance(spark, {"n": 1, "m": True, "s": "passed"}, {"n": 1, "m": 1}, ("m", "n"), ("s", "t"))
+    assert release.reasons(rows, "position") == ["m", "n", "t"]
+    meta = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "product string, crs string, height int").selectExpr("*", "'t' AS transform", "3 AS width")
+    assert not release.same_geometry(meta).first().same and release.same_geometry(meta.limit(1)).first().same and release.same_geometry(meta.limit(0)).first().same
+    paths = spark.createDataFrame([("a/build/x.py",), ("builds/x.py",), ("x.tif",), (None,)], "path string")
+    assert [r.path for r in release.active_paths(paths, ("build",), (".py",)).collect()] == ["builds/x.py"]
+    assert release.active_paths(paths, ()).count() == 4
+
+
 def test_splits(spark):
     rows = pixels(spark, 10).unionByName(spark.createDataFrame([(99, None, 1, *[0.0] * 8), (98, 9, 1, *[0.0] * 8)], KIND))
     assert split_filter(rows, "validation", 2).count() == 2 and split_filter(rows, "training", 2).count() == 10
@@ -140,7 +184,7 @@ def test_splits(spark):
             split_filter(rows, *bad)
     audit = {r.fold_id: r for r in folds.partition_audit(rows).collect()}
     assert all(r.passed and r.intersection_n == 0 for r in audit.values()) and audit[1].training_n == 10
-    twice = folds.partition_audit(rows.unionByName(rows.where("pixel_id = 1").withColumn("fold_id", F.lit(3).cast("long"))))
+    twice = folds.partition_audit(rows.unionByName(rows.where("pixel_id = 1").withColumn("fold_id", F.lit(3).cast("long"))), by_pixel=True)
     assert {r.fold_id: r.intersection_n for r in twice.collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
     assert {r.fold_id: r.n for r in folds.fold_histogram(rows).collect()} == {-1: 2, 0: 2, 1: 2, 2: 2, 3: 2, 4: 2}
 
