@@ -5,6 +5,10 @@ score of a query is a sum of attributes times small integers, so of bitmaps with
 adders on whole bitmaps turn them into the bit slices of all rows' scores at once, for a batch of queries. The best
 rows are then selected from the most significant slice downward, and the rows that tie at the boundary are resolved by
 id. Negative factors take complemented bitmaps, so every weight is positive. All numbers are exact.
+
+The index stays where it is: runs of queries of bounded size are broadcast, one run at a time, and each task reads its
+blocks once a run, keeps every query's best rows so far, and passes over a block for the queries whose greatest possible
+score there is below what they have. Only a task's best rows are shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ from pyspark import TaskContext
 from .common import bounded_batches, materialise, tidy
 
 SCALE, TOP, EVERY = 64, 20, 20
-#: Rows of a block of the index, queries of a block, and queries added up at once.
+#: Rows of a block of the index, queries of a packed row, and queries added up at once.
 BLOCK, QUERIES, BATCH = 8192, 256, 16
+#: Bytes of the queries of a run, which are broadcast.
+RUN_BYTES = 32 << 20
 #: Codes and scores beyond these don't fit the arithmetic: the call fails.
 LARGEST, GREATEST = float(1 << 60), float(1 << 62)
-#: Parts of the index that each query block is joined with.
-PARTS = 16
 _U = np.uint64
 
 
@@ -96,6 +100,12 @@ class Block:
             out.append((self.ids[rows], score))
         return out
 
+    def bound(self, queries: np.ndarray) -> np.ndarray:
+        """At least the greatest score that any row could have with each query; doubles, as the sum may not fit a long."""
+        asks, low = queries.astype(np.float64), self.low.astype(np.float64)
+        part = np.maximum(asks * low, asks * (low + 2.0**self.bits))
+        return part.sum(axis=1) + 1e-9 * np.abs(part).sum(axis=1)
+
     def _sums(self, queries: np.ndarray) -> list[np.ndarray]:
         """Slices of sum(|q| * attribute or its complement), least significant first: each (queries, words)."""
         total, words = self.slices.shape
@@ -156,8 +166,8 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda total, v: total + v * v))
     size = F.aggregate("q", F.lit(0.0), lambda most, v: F.greatest(most, F.abs(v)))
     measured = rows.select("id", F.size("q").alias("width"), size.alias("size"), norm.alias("norm"))
-    found = measured.agg(F.max("width"), F.max("size"), F.max("norm"), F.max(F.when(F.col("id") % every == 0, F.col("norm")))).first()
-    width, largest, longest, asks = (x or 0 for x in found)
+    known = measured.agg(F.count("*"), F.max("width"), F.max("size"), F.max("norm"), F.max(F.when(F.col("id") % every == 0, F.col("norm")))).first()
+    n, width, largest, longest, asks = (x or 0 for x in known)
     width = width or 1
     if largest > LARGEST or longest * asks > GREATEST:
         raise OverflowError(f"scores of these vectors may not fit a long: greatest code {largest:.6g}, norms {longest:.6g} and {asks:.6g}")
@@ -194,30 +204,56 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw.astype(np.int64).tobytes()], pa.binary())], ["asked", "queries"])
 
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-n // BLOCK)))
     blocks = materialise(rows.mapInArrow(index, "block long, rows binary"), "index")
-    queries = materialise(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "q"]).mapInArrow(asked, "asked long, queries binary"), "queries")
-    parts = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
-    spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = parts.join(spread, "part").select("block", "asked", "rows", "queries").repartition(tasks, "block", "asked")
+    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "q"]).mapInArrow(asked, "asked long, queries binary")
+    queries = materialise(queries.select(F.xxhash64("asked").alias("h"), F.octet_length("queries").alias("size"), "queries"), "queries")
+    runs = -(-(queries.agg(F.sum("size")).first()[0] or 0) // RUN_BYTES) or 1
 
-    @tidy
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in range(batch.num_rows):
-                block = Block.unpack(batch.column("rows")[name].as_py())
-                raw = np.frombuffer(batch.column("queries")[name].as_py(), dtype=np.int64).reshape(-1, width + 1)
-                own, found = raw[:, 0], []
-                for lo in range(0, len(raw), BATCH):
-                    found += block.search(raw[lo : lo + BATCH, 1:], own[lo : lo + BATCH], top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(x) for x, _ in found])), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "vec_id", "score"])
-
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a whole block
+    def found(run: int) -> DataFrame:
+        own = queries.where(F.pmod("h", F.lit(runs)) == run).select("queries").collect()
+        raw = np.concatenate([np.empty((0, width + 1), dtype=np.int64), *(np.frombuffer(r[0], dtype=np.int64).reshape(-1, width + 1) for r in own)])
+        shared = spark.sparkContext.broadcast(raw[np.argsort(raw[:, 0], kind="stable")])
+
+        @tidy
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asks = shared.value
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64),) * 2] * len(asks)
+            least = np.full(len(asks), np.iinfo(np.int64).min)
+            for batch in batches:
+                for packed in batch.column("rows"):
+                    block = Block.unpack(packed.as_py())
+                    able = np.concatenate([np.flatnonzero(block.bound(asks[lo : lo + 4096, 1:]) >= least[lo : lo + 4096]) + lo for lo in range(0, len(asks), 4096)]) if len(asks) else ()
+                    for lo in range(0, len(able), BATCH):
+                        these = able[lo : lo + BATCH]
+                        for i, (ids, scores) in zip(these.tolist(), block.search(asks[these, 1:], asks[these, 0], top), strict=True):
+                            ids, scores = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], scores])
+                            order = np.lexsort((ids, -scores))[:top]
+                            best[i] = ids[order], scores[order]
+                            if len(order) == top > 0:
+                                least[i] = scores[order[-1]]
+            size = [len(x) for x, _ in best]
+            for lo in range(0, len(asks), 1024):
+                part = best[lo : lo + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[lo : lo + 1024, 0], size[lo : lo + 1024])), pa.array(np.concatenate([x for x, _ in part])), pa.array(np.concatenate([x for _, x in part]))], ["query_id", "vec_id", "score"])
+
+        try:
+            return materialise(blocks.select("rows").mapInArrow(search, "query_id long, vec_id long, score long"), "best")
+        finally:
+            shared.unpersist()
+
+    # a row holds a whole block, and small files shouldn't be put together in few tasks
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
-        best = materialise(pairs.mapInArrow(search, "query_id long, vec_id long, score long"), "best")
+        best = found(0)
+        for run in range(1, runs):
+            best = best.unionByName(found(run))
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -27,8 +27,11 @@ def test_equals_brute_force(spark, monkeypatch):
     rows += [(600, rows[0][1], 0), (601, rows[0][1], 0), (620, [0.0] * 12, 0), (640, [-1.0] * 12, 0), (660, [0.5], 0)]
     rows += [(700, None, 0), (720, [math.nan] * 12, 0), (740, [math.inf] + [0.0] * 11, 0), (None, [1.0] * 12, 0)]
     short = [(i, (v + [0.0] * 12)[:12] if v else v, x) for i, v, x in rows]
-    got = sorted(tuple(r) for r in bit_slices.top_inner_products(frame(spark, rows)).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == brute(short)
+    for run_bytes, block in ((1 << 25, 8192), (1000, 40)):
+        monkeypatch.setattr(bit_slices, "RUN_BYTES", run_bytes)
+        monkeypatch.setattr(bit_slices, "BLOCK", block)
+        got = sorted(tuple(r) for r in bit_slices.top_inner_products(frame(spark, rows)).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == brute(short)
 
 
 def test_few_rows_nulls_and_none(spark):
@@ -52,6 +55,17 @@ def test_block_sums_are_exact():
         assert dict(zip(ids.tolist(), score.tolist(), strict=True)) == {i: s for i, s in enumerate(want.tolist()) if i not in (int(np.flatnonzero((q @ v.T == want).all(axis=1))[0]),)}
 
 
+def test_bounds_hold_and_pass_over_blocks():
+    rng = np.random.default_rng(4)
+    q = rng.integers(-40, 40, (6, 9))
+    great, small = (bit_slices.Block(np.arange(50), rng.integers(-n, n + 1, (50, 9))) for n in (900, 2))
+    for block in (great, small):
+        best = np.array([max(s) for _, s in block.search(q, np.full(6, -1), 50)])
+        assert (block.bound(q) >= best).all()
+    kth = np.array([sorted(s)[-3] for _, s in great.search(q, np.full(6, -1), 50)])
+    assert (small.bound(q) < kth).all()
+
+
 def test_great_components_take_part(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(0, 0.2, 4).round(1).tolist(), 0) for i in range(60)]
