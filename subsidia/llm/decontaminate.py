@@ -3,8 +3,10 @@
 Texts become words (letters, digits and non-ASCII characters, case folded), words become hashed features, and windows of
 two blocks of BLOCK words become TF-IDF passages; document frequencies count all blocks of all documents. A distributed
 randomised SVD of the benchmark's passages gives the latent space: partitions of the benchmark send sums of
-A^T (A W) for a random W, later of (A Q)^T (A Q), never passages. A document's window can only be near a passage if the
-benchmark's features hold a share of its weight; such windows are projected and compared with all passages by cosine.
+A^T (A W) for a random W, later of (A Q)^T (A Q), never passages. Every window of a document that has a word of the
+benchmark is projected and compared with all passages by cosine; what else stands in a window has no coordinates there,
+so filler can't hide a passage. Of the near pairs those go at once whose item has too few words around the window, by a
+count that hash collisions can only raise.
 Candidates are verified by the longest common subsequence with the item, by the weight of the words that are there, and
 for paraphrases by the item's answer (its last sentence).
 """
@@ -27,9 +29,10 @@ BLOCK = 12
 FEATURES = 1 << 18
 #: Dimensions of the latent space, and those that the randomised range finder has besides.
 RANK, EXTRA = 128, 8
-#: A window is compared where this share of its squared weight lies on the benchmark's features, and is a candidate
-#: from this cosine on.
-SHARE, COSINE = 0.3, 0.5
+#: A window is a candidate for a passage from this cosine on.
+COSINE = 0.5
+#: Slots of the sets of hashed words around a window, and the most words put into such sets at once.
+SLOTS, AROUND = 4096, 1 << 21
 #: Shares of an item's words that must stand in order in a document: without more, and with the answer's words there too.
 ALONE, WITH_ANSWER = 0.65, 0.5
 #: Share of the answer's words that must stand in order.
@@ -178,8 +181,11 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, extra:
     place = np.zeros(FEATURES, dtype=np.int64)
     place[used] = np.arange(len(used))
 
+    shared = benchmark.sparkSession.sparkContext.broadcast((q, place))
+
     @tidy
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, place = shared.value
         g = np.zeros((q.shape[1], q.shape[1]))
         for batch in batches:
             for f, w in _rows(batch.column("text").fill_null("").to_pylist(), idf):
@@ -219,6 +225,35 @@ class Index:
         x = np.array(latent, dtype=np.float32).reshape(len(latent), self.vector.shape[1])
         self.latent = np.ascontiguousarray((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T)
         self.item = np.array(self.item, dtype=np.int64)
+        self.length = np.array([len(x) for x in self.words], dtype=np.int64)
+        self.slots = np.array([w % SLOTS for x in self.words for w in x], dtype=np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def _possible(self, h: np.ndarray, lo: np.ndarray, start: np.ndarray, end: np.ndarray, hi: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which pairs may have enough of the item's words around the window; lo .. hi is the window's text.
+
+        Items of like lengths share a set of words around a window, as wide as the longest of them needs.
+        """
+        slot, out = (h % np.uint64(SLOTS)).astype(np.int64), np.zeros(len(window), dtype=bool)
+        kind = np.ceil(np.log2(np.maximum(self.length[item], 1))).astype(np.int64)
+        for k in np.unique(kind):
+            own = np.flatnonzero(kind == k)
+            reach = int(self.length[item[own]].max())
+            step = max(1, min(2048, AROUND // (2 * reach + 2 * BLOCK)))
+            wins, back = np.unique(window[own], return_inverse=True)
+            for a in range(0, len(wins), step):
+                w = wins[a : a + step]
+                begin = np.maximum(lo[w], start[w] - reach)
+                size = np.minimum(hi[w], end[w] + reach) - begin
+                there = np.zeros((len(w), SLOTS), dtype=bool)
+                there[np.repeat(np.arange(len(w)), size), slot[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+                pair = own[(back >= a) & (back < a + step)]
+                n = self.length[item[pair]]
+                at = np.cumsum(n) - n
+                words = self.slots[np.repeat(self.first[item[pair]] - at, n) + np.arange(n.sum())]
+                place = np.searchsorted(w, window[pair])
+                out[pair] = np.add.reduceat(there[np.repeat(place, n), words], at, dtype=np.int64) >= min(WITH_ANSWER, ALONE) * n
+        return out
 
     def search(self, buf: np.ndarray, cuts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, bool, int, int]]:
         """By (text, item number): cosine, share of words in order, is the answer there, first and end word of the span."""
@@ -228,12 +263,9 @@ class Index:
         if not len(first) or not len(self.item):
             return {}
         f = features(h)
-        weight = self.idf[f] ** 2
-        total, own = np.add.reduceat(weight, first), np.add.reduceat(weight * self.known[f], first)
         two = np.r_[text[1:] == text[:-1], False]
-        total[:-1] += np.where(two[:-1], total[1:], 0)
-        own[:-1] += np.where(two[:-1], own[1:], 0)
-        near = np.flatnonzero(own >= SHARE * total)
+        some = np.logical_or.reduceat(self.known[f], first)
+        near = np.flatnonzero(some | np.r_[two[:-1] & some[1:], False])
         if not len(near):
             return {}
         # sums of the blocks that those windows have, each block once; row -1 of the vectors is zero
@@ -244,19 +276,21 @@ class Index:
         at_block = np.searchsorted(need, near)
         found: dict[tuple[int, int], tuple[float, float, bool, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
+        start, end = first[near], np.minimum(first[near] + 2 * BLOCK, at[text[near] + 1])
         for k in range(0, len(near), 4000):
             w = near[k : k + 4000]
-            start, end = first[w], np.minimum(first[w] + 2 * BLOCK, at[text[w] + 1])
             x = sums[at_block[k : k + 4000]] + np.where(two[w][:, None], sums[np.minimum(at_block[k : k + 4000] + 1, len(sums) - 1)], 0)
-            cosine = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.latent
+            length_of, along = np.linalg.norm(x, axis=1), x @ self.latent
+            pairs = np.argwhere((along >= COSINE * length_of[:, None]) & (along > 0))
+            pairs = pairs[self._possible(h, at[text[w]], start[k : k + 4000], end[k : k + 4000], at[text[w] + 1], pairs[:, 0], self.item[pairs[:, 1]])]
             regions: dict[tuple[int, int], tuple[list[int], set[int]]] = {}
-            for i, p in np.argwhere(cosine >= COSINE).tolist():
+            for i, p in pairs.tolist():
                 doc, item = int(text[w[i]]), int(self.item[p])
                 if (doc, item) in found or (doc, item, i + k) in tried:
                     continue
                 tried.add((doc, item, i + k))
                 length = len(self.words[item])
-                lo, hi = max(int(at[doc]), int(start[i]) - length), min(int(at[doc + 1]), int(end[i]) + length)
+                lo, hi = max(int(at[doc]), int(start[i + k]) - length), min(int(at[doc + 1]), int(end[i + k]) + length)
                 if (lo, hi) not in regions:
                     region = h[lo:hi].tolist()
                     regions[lo, hi] = region, set(region)
@@ -270,7 +304,7 @@ class Index:
                     weights = self.weights[item]
                     if sum(x for w, x in zip(self.words[item], weights, strict=True) if w in there) < WEIGHT * sum(weights):
                         continue
-                    found[doc, item] = float(cosine[i, p]), share, answer, int(start[i] - at[doc]), int(end[i] - at[doc])
+                    found[doc, item] = float(along[i, p] / length_of[i]), share, answer, int(start[i + k] - at[doc]), int(end[i + k] - at[doc])
         return found
 
 
