@@ -8,6 +8,7 @@ too far even from that one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ CENTROIDS = 4
 SAMPLE = 500
 ROUNDS = 12
 #: A text whose best cosine is under this belongs to no learned language. Texts of fewer than ENOUGH distinct n-grams
-#: can't come as near to a centroid, so their limit is lower in proportion.
-REJECT, ENOUGH = 0.1, 64
+#: can't come as near to a centroid, so their limit is lower in proportion. Long ones come nearer, noise among them too:
+#: the limit rises by ABOVE with the logarithm of the number of n-grams between these two.
+REJECT, ENOUGH, ABOVE, LONG = 0.1, 64, 0.2, (256, 1024)
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
@@ -113,7 +115,8 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> t
     rows_of = train.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(F.broadcast(counted), "lang").where(near)
     chosen = rows_of.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
     chosen = F.broadcast(chosen.select("lang", "h", "k"))
-    texts = train.select("lang", "text", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(chosen, ["lang", "h", "k"], "left_semi").select("lang", "text")
+    texts = train.select("lang", "text", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(chosen, ["lang", "h", "k"], "left_semi")
+    texts = texts.dropDuplicates(["lang", "h", "k"]).select("lang", "text")
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> t
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), pa.array([x.tobytes() for x in w], pa.binary())], ["lang", "vector"])
 
     def cluster(table: pa.Table) -> pa.Table:
-        x = np.stack([np.frombuffer(v, dtype=np.float32) for v in sorted(set(table.column("vector").to_pylist()))[: 2 * sample]])
+        x = np.stack([np.frombuffer(v, dtype=np.float32) for v in sorted(set(table.column("vector").to_pylist()))])
         c = k_means(x, centroids)
         return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "vector": pa.array([y.tobytes() for y in c], pa.binary())})
 
@@ -133,6 +136,12 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> t
     return idf, [r["lang"] for r in kept], matrix
 
 
+def limits(n: np.ndarray, reject: float) -> np.ndarray:
+    """The least cosine that texts of n distinct n-grams need; without a limit none, at any length."""
+    more = np.clip(np.log(np.maximum(n, 1) / LONG[0]) / math.log(LONG[1] / LONG[0]), 0, 1)
+    return reject * (np.minimum(1, n / ENOUGH) + ABOVE / REJECT * more)
+
+
 def _judged(model: tuple[np.ndarray, list[str], np.ndarray], texts: pa.Array, reject: float) -> tuple[list[str], list[float], list[bool]]:
     """Language, cosine and rejection of each text."""
     idf, names, matrix = model
@@ -144,7 +153,7 @@ def _judged(model: tuple[np.ndarray, list[str], np.ndarray], texts: pa.Array, re
         cosine = weighted(v, idf) @ turned if len(names) else np.zeros((hi - lo, 1), dtype=np.float32)
         best = cosine.argmax(axis=1)
         top = np.clip(cosine[np.arange(hi - lo), best], 0, 1)
-        limit = reject * np.minimum(1, (v > 0).sum(axis=1) / ENOUGH)
+        limit = limits((v > 0).sum(axis=1), reject)
         for i in range(hi - lo):
             letters = any(c.isalpha() for c in texts[lo + i].as_py() or "")
             known = letters and bool(names)

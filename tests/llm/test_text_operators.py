@@ -59,6 +59,65 @@ def test_language_edges(spark):
     assert {r.doc_id for r in none if r.rejected} == {1, 2, 3, 9, None} and sum(r.rejected for r in none) == 5
 
 
+def brute_vector(text):
+    """N-gram counts of one text by loops over its bytes."""
+    folded = []
+    for b in (text or "").encode():
+        b = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+        if b != 32 or not folded or folded[-1] != 32:
+            folded.append(b)
+    out = np.zeros(4096)
+    for size, salt in ((3, 1), (2, 2)):
+        for i in range(len(folded) - size + 1):
+            x = salt
+            for b in folded[i : i + size]:
+                x = (x * 0x01000193 & 0xFFFFFFFF) ^ b
+            out[(x * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    return np.log1p(out)
+
+
+def test_languages_equal_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(160).collect()
+    docs = [(r.doc_id, r.text[:1500], r.lang) for r in rows] + [(9001, None, "en"), (9002, "123 --", "en"), (9003, "日本語", "ja"), (9004, "x" * 9, None)]
+    train = [(k, t, lang) for k, t, lang in docs if t is not None and lang is not None and katz_brute.fold(k, 4) != 2]
+    vectors = {k: brute_vector(t) for k, t, _ in docs}
+    taught = np.array([vectors[k] for k, _, _ in train])
+    idf = np.log((1 + len(train)) / (1 + (taught > 0).sum(axis=0))) + 0.1
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    centroids = []
+    for lang in sorted({x for _, _, x in train}):
+        own = np.unique(np.array([unit(vectors[k] * idf) for k, _, x in train if x == lang]), axis=0)
+        picked = [int(np.argmax(own @ own.mean(axis=0)))]
+        while len(picked) < min(4, len(own)):
+            picked.append(int(np.argmin((own @ own[picked].T).max(axis=1))))
+        c = own[picked]
+        for _ in range(12):
+            near = (own @ c.T).argmax(axis=1)
+            c = np.array([unit(own[near == i].mean(axis=0)) if (near == i).any() else c[i] for i in range(len(c))])
+        centroids += [(lang, x) for x in c]
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    for k, t, _ in docs:
+        best = sorted(((float(x @ unit(vectors[k] * idf)), lang) for lang, x in centroids), reverse=True)
+        letters = any(ch.isalpha() for ch in t or "")
+        assert got[k].held_out == (katz_brute.fold(k, 4) == 2)
+        assert abs(got[k].score - (best[0][0] if letters else 0)) < 1e-4
+        if letters and best[0][0] - next(s for s, x in best if x != best[0][1]) > 1e-4:
+            assert got[k].lang_pred == best[0][1]
+        if not letters:
+            assert got[k].lang_pred == "und"
+
+
+def test_noise_is_rejected(spark, sf_dir):
+    rnd = random.Random(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(docs.withColumnRenamed("doc_id", "key"))
+    letters = "abcdefghijklmnopqrstuvwxyz" * 4 + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = [(i, "".join(rnd.choice(letters) for _ in range(n))) for i, n in enumerate((300, 1_000, 3_000, 10_000, 40_000))]
+    noise += [(10 + i, "".join(rnd.choice(letters[:26] + " " * 6) for _ in range(n))) for i, n in enumerate((300, 1_000, 3_000, 10_000, 40_000))]
+    assert all(r.rejected for r in language_id.predict(spark.createDataFrame(noise, "doc_id long, text string"), model).collect())
+    assert language_id.limits(np.array([0, 32, 64, 256, 512, 1024, 4000]), 0.1).round(3).tolist() == [0, 0.05, 0.1, 0.1, 0.2, 0.3, 0.3]
+
+
 def test_every_language_is_learnt(spark):
     rnd = random.Random(6)
     rows = [(2 * i + j, " ".join("".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 3)) for _ in range(6)), f"l{i}") for i in range(205) for j in range(2)]
@@ -150,6 +209,67 @@ def test_paraphrases_are_found(spark, sf_dir):
     assert sum((k, k - 10**6) in got for k, _ in made) >= 0.95 * len(made)
 
 
+def brute_leaks(docs, items):
+    """(document, item) of every pair that the verification accepts around any window: no weights, no latent space."""
+    squeeze = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    out = set()
+    for i, t in items.items():
+        words, answer = squeeze(t), squeeze(re.split(r"[.!?]+\s+", t.strip())[-1])
+        n = len(words)
+        for d, text in docs.items():
+            w = squeeze(text)
+            for a in range(0, len(w), 12):
+                region = w[max(0, a - n) : a + 24 + n]
+                if sum(x in set(region) for x in words) < 0.5 * n:
+                    continue
+                share = longest(words, region) / n
+                held = answer and longest(answer, region) >= 0.8 * len(answer)
+                if share >= (1 if n < 8 else 0.65) or (n >= 8 and share >= 0.5 and held):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_latent_search_equals_all_pairs(spark, sf_dir):
+    """Recall of the latent search by kind of change; what the verification accepts, the search should find."""
+    rnd = random.Random(7)
+    hosts = [" ".join(r.text.split()[:60]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    rare = lambda n: [f"{rnd.randrange(1 << 60):x}" for _ in range(n)]
+    docs, kind = {}, {}
+    for i, t in items.items():
+        w = t.split()
+        answer = re.split(r"[.!?]+\s+", t.strip())[-1]
+        for share in (1.0, 0.9, 0.75, 0.7):
+            made = {
+                "deleted": [x for x in w if rnd.random() < share],
+                "substituted": [x if rnd.random() < share else rare(1)[0] for x in w],
+                "turned": w[round(len(w) * (1 - share)) :] + w[: round(len(w) * (1 - share))],
+                "answer": [x if rnd.random() < share - 0.15 else rare(1)[0] for x in w] + [answer],
+                "among rare words": [x for x in w if rnd.random() < share],
+            }
+            for name, x in made.items():
+                around = rare(150) if name == "among rare words" else rnd.choice(hosts).split()
+                at = rnd.randrange(len(around))
+                key = len(docs)
+                docs[key], kind[key] = " ".join(around[:at] + x + around[at:]), (name, share)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    want = brute_leaks(docs, items)
+    lost = [kind[d] for d, _ in want - got]
+    print({k: f"{sum(kind[d] == k for d, _ in want & got)} of {sum(kind[d] == k for d, _ in want)}" for k in sorted(set(kind.values()))})
+    assert got <= want and len(want) > 10 * len(items)
+    assert not [k for k in lost if k[1] == 1.0] and len(lost) <= 0.03 * len(want), lost
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again and again."), (2, None), (3, ""), (None, "No key but a text of some words here."), (4, "one")], "item_id long, text string")
     rows = both(spark, lambda d: decontaminate.leaks(d, bench), lambda r: (r.doc_id is None, r.doc_id, r.item_id))
