@@ -8,6 +8,7 @@ import ctypes
 import functools
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,9 +56,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset a session on one machine gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "subsidia-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -22,8 +22,8 @@ K = 2
 GAP = 3
 #: Share of a template's k-grams that must vote, and share of its words that must stand in order in the span.
 VOTES, COVER = 0.5, 0.9
-#: Up to this many texts with spans are broadcast to the verification; more take a shuffle join.
-BROADCAST_ROWS = 300_000
+#: Up to so many bytes of spans are broadcast to the verification; more take a shuffle join.
+BROADCAST_BYTES = 16 << 20
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -120,7 +120,7 @@ def license_scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
     need = F.create_map(*(F.lit(x) for i, (w, _, base) in enumerate(templates) for x in (i, len(w) - K + 1 if base else max(1, int(np.ceil(VOTES * (len(w) - K + 1)))))))
     spans = spans.where(F.col("votes") >= need[F.col("template")]).groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "lo", "hi")).alias("found"))
     spans = materialise(spans, "spans")
-    if spans.count() <= BROADCAST_ROWS:
+    if (spans.agg(F.sum(F.lit(32) + F.size("found") * 48)).first()[0] or 0) <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
 
     @tidy

@@ -301,10 +301,12 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-def _codec(path: str, model: bytes) -> Codec:
-    if path not in _WORKER:
-        _WORKER[path] = Codec(model)
-    return _WORKER[path]
+def _codec(model: bytes) -> Codec:
+    """A worker's codec of a model, told apart by the model's content: files can change under their paths."""
+    name = hashlib.sha256(model).hexdigest()
+    if name not in _WORKER:
+        _WORKER[name] = Codec(model)
+    return _WORKER[name]
 
 
 def _model(docs: DataFrame, path: str):
@@ -323,7 +325,7 @@ def piece_digests(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path, shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             texts, out, lo, held = batch.column(1).fill_null("").to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
@@ -344,7 +346,7 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path, shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -361,7 +363,7 @@ def decode_column(rows: DataFrame, model_path: str, ids: str = "ids", key: str =
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path, shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], [key, "text"])
 

@@ -8,6 +8,7 @@ CACHE_ENTRIES, filled by encoding a batch's distinct misses. Neither tier change
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level splitting pattern, with white space spelled out as Unicode's White_Space.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
+#: A worker's counters by the digest of what they are made of: files can change under their paths.
 _WORKER: dict[str, "Counter"] = {}
 
 
@@ -119,10 +121,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, words, lengths = shared.value
-        worker = _WORKER.get(tokenizer_path)
+        name = hashlib.sha256(spec.encode()).hexdigest()
+        worker = _WORKER.get(name)
         if worker is None:
             frequent = {w: n for w, n in zip(words.split("\x00"), lengths, strict=True) if n < 255} if lengths else {}
-            worker = _WORKER[tokenizer_path] = Counter(spec, frequent)
+            worker = _WORKER[name] = Counter(spec, frequent)
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             sizes = [len(t.encode()) for t in texts]
