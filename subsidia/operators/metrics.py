@@ -10,16 +10,18 @@ from ..functions.guards import finite, ratio
 from .percentiles import percentiles
 
 
-def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool = False, near: float = 1e-6, narrowed: bool = False) -> DataFrame:
+def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool = False, near: float = 1e-6, narrowed: bool = False, single: bool = False) -> DataFrame:
     """One row for each group (or one in all): counts, errors, extremes, percentiles, share at the upper bound.
 
     Non-finite predictions are counted and left out of every sum, but count as pixels. Percentiles are exact and
     interpolated, of doubles, and keep a group's distinct values in one task; for groups of very many values, narrowed
-    finds the same ones in more scans with bounded state, and approx takes percentile_approx.
+    finds the same ones in more scans with bounded state, and approx takes percentile_approx. With single they are those
+    of values in single precision, interpolated in doubles.
     """
     good = finite(*(F.col(c) for c in ("pred_sin", "pred_cos", "res_sin", "res_cos")))
     percentile = (lambda x, p: F.percentile_approx(x, p, 10_000)) if approx else (lambda x, p: F.max(F.lit(None).cast("double"))) if narrowed else F.percentile
     ske, top = F.when(F.col("good"), F.col("ske")), F.when(F.col("good"), F.greatest(F.abs("pred_sin"), F.abs("pred_cos")))
+    held_ske, held_top = (x.cast("float").cast("double") if single else x for x in (ske, top))
     own = lambda x: F.when(F.col("good"), x)
     found = (
         frame.withColumn("good", good)
@@ -31,14 +33,14 @@ def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool
             F.coalesce(F.sum(own(F.col("res_sin") * F.col("res_sin") + F.col("res_cos") * F.col("res_cos"))), F.lit(0.0)).alias("sse"),
             F.coalesce(F.sum(own(F.abs("res_sin") + F.abs("res_cos"))), F.lit(0.0)).alias("sae"),
             F.min(ske).alias("ske_min"),
-            percentile(ske, F.lit(0.5)).alias("ske_p50"),
+            percentile(held_ske, F.lit(0.5)).alias("ske_p50"),
             F.max(ske).alias("ske_max"),
-            percentile(top, F.lit(0.99)).alias("pred_abs_p99"),
+            percentile(held_top, F.lit(0.99)).alias("pred_abs_p99"),
             F.count_if(F.col("good") & (F.lit(high) - F.col("ske") <= near)).alias("upper"),
         )
     )
     if narrowed:
-        exact = percentiles(frame.withColumn("good", good), by, {"ske_p50": (ske, 0.5), "pred_abs_p99": (top, 0.99)})
+        exact = percentiles(frame.withColumn("good", good), by, {"ske_p50": (held_ske, 0.5), "pred_abs_p99": (held_top, 0.99)})
         exact = exact.withColumnsRenamed({b: f"of_{b}" for b in by})
         found = found.drop("ske_p50", "pred_abs_p99").join(F.broadcast(exact), [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by] or F.lit(True), "left")
     return found.select(

@@ -9,7 +9,8 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import basis, geometry, guards, harmonics, storage_model
+from ..functions import basis, geometry, guards, harmonics, projection, storage_model
+from ..functions.geometry import MAJOR
 from ..operators import fit, folds, gates, history, metrics, percentiles, release, storage
 from ..operators.model_frame import fold_model_frame, model_frame, split_filter, usable
 from ..sources.files import with_numbers
@@ -538,3 +539,25 @@ def q58_fit_descends(spark, d):
     low, high = storage_model.LOG_CU
     row = (round(summary["initial_objective"], 8), summary["final_objective"] < summary["initial_objective"], low <= fitted.log_cu <= high)
     return spark.createDataFrame([row], "initial_objective double, descends boolean, bounded boolean")
+
+
+@query(f"WITH {S.PX}, {S.model()} SELECT fold_id, round(quantile_cont(CAST(CAST(ske AS FLOAT) AS DOUBLE), 0.5), 9) AS ske_p50, round(quantile_cont(CAST(CAST(greatest(abs(pred_sin), abs(pred_cos)) AS FLOAT) AS DOUBLE), 0.99), 8) AS pred_abs_p99 FROM mf GROUP BY fold_id")
+def q59_single_percentiles(spark, d):
+    """Percentiles of values in single precision."""
+    found = metrics.metrics(frame(spark, d), MODEL.high, ["fold_id"], single=True)
+    return rounded(found.select("fold_id", "ske_p50", "pred_abs_p99"), ske_p50=9, pred_abs_p99=8)
+
+
+_EASTING, _NORTHING = S.utm("lon", "lat", 50)
+
+
+@query(f"""WITH {S.PX}, g AS (SELECT pixel_id, {S.num(115)} + {S.num(STEP)} * col AS lon, {S.num(TOP)} - {S.num(STEP)} * row AS lat FROM px)
+SELECT pixel_id, round({_EASTING}, 3) AS easting, round({_NORTHING}, 3) AS northing, round({S.num(MAJOR)} * radians(lon), 3) AS x, round({S.num(MAJOR)} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM g""")
+def q60_reproject(spark, d):
+    """Degrees to a UTM zone, from there to web Mercator, and back to degrees."""
+    east, north = projection.reproject(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:32650")
+    rows = order_pixels(spark, d).select("pixel_id", east.alias("easting"), north.alias("northing"))
+    x, y = projection.reproject(F.col("easting"), F.col("northing"), "EPSG:32650", "EPSG:3857")
+    rows = rows.select("*", x.alias("x"), y.alias("y"))
+    lon, lat = projection.reproject(F.col("x"), F.col("y"), "EPSG:3857", "EPSG:4326")
+    return rounded(rows.select("*", lon.alias("lon"), lat.alias("lat")), easting=3, northing=3, x=3, y=3, lon=8, lat=8)

@@ -6,6 +6,7 @@ import math
 
 from ..functions.geometry import FLATTENING, MAJOR
 from ..functions.harmonics import PERIOD
+from ..functions.projection import EAST, FORWARD, SCALE
 from ..sources.pixels import DESIGN, MODEL, STEP, TOP
 
 
@@ -102,3 +103,15 @@ def area(row: str) -> str:
     middle, half = f"radians({num(TOP)} - ({row} + {num(0.5)}) * {num(STEP)})", math.radians(STEP) / 2
     parts = [f"{num(w)} * cos({middle} + {num(half * x)}) / power(1 - {num(e2)} * power(sin({middle} + {num(half * x)}), 2), 2)" for x, w in ((-math.sqrt(0.6), 5 / 9), (0.0, 8 / 9), (math.sqrt(0.6), 5 / 9))]
     return f"abs({num(minor**2 * math.radians(STEP) * half)} * ({' + '.join(parts)}))"
+
+
+def utm(lon: str, lat: str, zone: int) -> tuple[str, str]:
+    """Easting and northing north of the equator, by the atanh form of the projection."""
+    n, e = FLATTENING / (2 - FLATTENING), math.sqrt(FLATTENING * (2 - FLATTENING))
+    size = SCALE * MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    away, s = f"radians({lon} - {num(6 * zone - 183)})", f"sin(radians({lat}))"
+    t = f"sinh(atanh({s}) - {num(e)} * atanh({num(e)} * {s}))"
+    xi, eta = f"atan({t} / cos({away}))", f"atanh(sin({away}) / sqrt(1 + power({t}, 2)))"
+    x = " + ".join(f"{num(c)} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, c in enumerate(FORWARD, 1))
+    y = " + ".join(f"{num(c)} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, c in enumerate(FORWARD, 1))
+    return f"{num(EAST)} + {num(size)} * ({eta} + {x})", f"{num(size)} * ({xi} + {y})"

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from subsidia.functions import basis, geometry, guards, harmonics as H, storage_model as M
+from subsidia.functions import basis, geometry, guards, harmonics as H, projection, storage_model as M
 from subsidia.operators import fit, folds, gates, history, metrics, percentiles, release, storage
 from subsidia.operators.model_frame import model_frame, split_filter, usable
 
@@ -200,6 +200,25 @@ def test_cell_areas_cover_the_ellipsoid(spark):
     assert abs(total / 510_065_621_724_088.5 - 1) < 1e-12
 
 
+def test_projection(spark):
+    rows = spark.createDataFrame([(-79.387139, 43.642567), (-81.0, 0.0), (-81.0, 90.0), (-78.0, 60.0), (None, 1.0)], "lon double, lat double")
+    ahead = rows.select("*", *(c.alias(n) for n, c in zip("xy", projection.reproject(F.col("lon"), F.col("lat"), "EPSG:4326", "epsg:32617"), strict=True)))
+    back = ahead.select("*", *(c.alias(n) for n, c in zip(("lon2", "lat2"), projection.reproject(F.col("x"), F.col("y"), "EPSG:32617", "EPSG:4326"), strict=True)))
+    tower, equator, pole, edge, missing = back.collect()
+    assert abs(tower.x - 630084) < 1 and abs(tower.y - 4833438) < 1.5
+    assert (equator.x, equator.y) == (500000, 0) and abs(pole.y - 9997964.943) < 1e-3 and abs(pole.x - 500000) < 1e-6
+    for r in (tower, equator, edge):
+        assert abs(r.lon - r.lon2) < 1e-10 and abs(r.lat - r.lat2) < 1e-10
+    assert missing.x is None and missing.lon2 is None
+    south = one(spark, **dict(zip("xy", projection.reproject(F.lit(-81.0), F.lit(-45.0), "EPSG:4326", "EPSG:32717"), strict=True)))
+    north = one(spark, **dict(zip("xy", projection.reproject(F.lit(-81.0), F.lit(45.0), "EPSG:4326", "EPSG:32617"), strict=True)))
+    assert abs(south.y + north.y - 1e7) < 1e-6
+    assert one(spark, **dict(zip("xy", projection.reproject(F.lit(180.0), F.lit(0.0), "EPSG:4326", "EPSG:3857"), strict=True))).x == pytest.approx(20037508.342789244)
+    for crs in ("EPSG:32661", "EPSG:2154", "EPSG:32700"):
+        with pytest.raises(ValueError):
+            projection.reproject(F.col("x"), F.col("y"), "EPSG:4326", crs)
+
+
 def test_gates(spark):
     actual = gates.unpivoted(spark.createDataFrame([("a", 1.0, math.nan)], "scope string, x double, y double"), "scope")
     table = gates.gate_table(actual, spark.createDataFrame([("a", "x", 1.0, 0.0), ("a", "y", 0.0, 9.0), ("a", "z", 0.0, 9.0), ("b", "x", 1.0, 1.0)], gates.GATES))
