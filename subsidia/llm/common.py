@@ -74,16 +74,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         atexit.register(drop_tables, spark)
     _TABLES.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete results of materialise() that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
+        _TABLES.remove(table.written_to)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete what materialise() wrote; results that read it must have been used. Runs at exit too."""
     try:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         while _TABLES:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, _TABLES.pop())
     except Exception:  # noqa: BLE001 - the session may be gone by now
         _TABLES.clear()
 

@@ -5,7 +5,8 @@ parameter and keeps its model in tables of the shared folder, dealt by gram. Eac
 its n-grams per run of text before the shuffle. An n-gram's row has its count, its history and its back, the n-gram
 without its first word. The recursion goes by tables: probabilities of order n are the discounted counts of order n, and
 for n-grams that training texts lack the backoff weight of the history times the probability of the back, which the
-table of order n - 1 has. So every distinct n-gram is evaluated once, and texts look up their highest order alone.
+table of order n - 1 has. So every distinct n-gram is evaluated once, and texts look up their highest order alone; a
+table that the next order has taken in is deleted.
 
 Words, grams and histories go by 64-bit hashes. Every join has one row a key on its right side, whose number of tokens
 is known: rows of so many tokens that at most HOT of them can exist are broadcast, the others are joined by key, so no
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, gram_hashes, materialise, text_chunks, tidy
+from .common import bounded_batches, discard, gram_hashes, materialise, text_chunks, tidy
 from .katz import BASE_ADDED, DISCOUNTED, _tokens, good_turing
 from .language_id import held_out
 
@@ -103,7 +104,7 @@ def _words(counts: DataFrame, total: int) -> DataFrame:
 
 
 def _next_order(counts: DataFrame, lower: DataFrame, least: int, n: int) -> DataFrame:
-    """Probabilities of order n by those of order n - 1."""
+    """Probabilities of order n by those of order n - 1, both in tables; those that went before are deleted."""
     mass = _discounted(_discounts(counts))
     backs = lower.select(F.col("gram").alias("back"), "n", F.col("logp").alias("lower"), "word")
     grams = materialise(_joined(counts, backs, "back", least).drop("back"), f"katz-{n}-grams")
@@ -116,8 +117,11 @@ def _next_order(counts: DataFrame, lower: DataFrame, least: int, n: int) -> Data
     scale = F.when(unseen <= _NONE, 1 / held).when(1 - held <= _NONE, total / (total + 1) / held).otherwise(1.0)
     alpha = F.when((total == 0) | (unseen <= _NONE), 1.0).otherwise((1 - held * F.col("scale")) / unseen)
     weights = sums.withColumn("scale", F.when(total > 0, scale)).select("history", "n", F.log10(alpha).alias("alpha"), (F.log10("scale") - F.log10(total)).alias("seen"))
-    found = _joined(grams, materialise(weights, f"katz-{n}-histories"), "history", least)
-    return found.select("gram", "n", F.when(seen, F.log10(mass) + F.col("seen")).otherwise(F.col("alpha") + F.col("lower")).alias("logp"), "word")
+    weights = materialise(weights, f"katz-{n}-histories")
+    found = _joined(grams, weights, "history", least)
+    found = materialise(found.select("gram", "n", F.when(seen, F.log10(mass) + F.col("seen")).otherwise(F.col("alpha") + F.col("lower")).alias("logp"), "word"), f"katz-{n}")
+    discard(counts, lower, grams, weights)
+    return found
 
 
 def ngram_scores(docs: DataFrame, order: int = 3, folds: int = 10, fold: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -139,8 +143,9 @@ def ngram_scores(docs: DataFrame, order: int = 3, folds: int = 10, fold: int = 0
     total, distinct, tokens = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = tokens // HOT + 1
     model = materialise(_words(counts, total), "katz-1")
+    discard(counts)
     for n in range(2, order + 1):
-        model = materialise(_next_order(materialise(ngram_counts(docs, n, order), f"katz-{n}-counts"), model, least, n), f"katz-{n}")
+        model = _next_order(materialise(ngram_counts(docs, n, order), f"katz-{n}-counts"), model, least, n)
 
     @tidy
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
