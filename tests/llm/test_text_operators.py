@@ -40,6 +40,53 @@ def test_license_places_equal_brute_force(spark):
         assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
 
 
+def brute_passages(w):
+    """(label, start, end, cover) of the passages in a list of words: votes by pairs of positions, subsequences by a table."""
+    out = []
+    for passage, label in license_scan.PASSAGES:
+        t = passage.split()
+        pairs = [(i, j) for i in range(len(w) - 1) for j in range(len(t) - 1) if w[i : i + 2] == t[j : j + 2]]
+        runs = []
+        for d in sorted({i - j for i, j in pairs}):
+            if runs and d - runs[-1][-1] <= 3:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            if 2 * len({j for i, j in pairs if i - j in run}) < len(t) - 1:
+                continue
+            lo, hi = max(0, run[0]), min(len(w), run[-1] + len(t))
+            table = [[0] * (hi - lo + 1) for _ in range(len(t) + 1)]
+            for a, x in enumerate(t, 1):
+                for b, y in enumerate(w[lo:hi], 1):
+                    table[a][b] = table[a - 1][b - 1] + 1 if x == y else max(table[a - 1][b], table[a][b - 1])
+            if table[-1][-1] >= 0.9 * len(t):
+                out.append((label, lo, hi, table[-1][-1] / len(t)))
+    return out
+
+
+def test_license_passages_equal_brute_force(spark):
+    rnd = random.Random(7)
+    docs = []
+    for i in range(150):
+        words = []
+        for _ in range(rnd.randint(0, 3)):
+            words += [f"w{rnd.randrange(9)}" for _ in range(rnd.randint(0, 12))]
+            for w in rnd.choice(license_scan.PASSAGES)[0].split():
+                change = rnd.random() / rnd.choice((1, 0.2))
+                words += [] if change < 0.05 else [w, "x"] if change < 0.1 else ["y"] if change < 0.15 else [w]
+        docs.append((i, " ".join(words)))
+    seen = {True: 0, False: 0}
+    for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        w = docs[r.doc_id][1].split()
+        phrases = [(label, i, i + len(q), 1.0) for p, label in license_scan.PHRASES for q in [p.split()] for i in range(len(w)) if w[i : i + len(q)] == q]
+        want = sorted(phrases + brute_passages(w))
+        assert sorted(map(tuple, r.spans)) == want
+        assert (r.labels, r.score) == (",".join(sorted({x[0] for x in want})), max((x[3] for x in want), default=0))
+        seen[any(0.9 <= x[3] < 1 for x in want)] += 1
+    assert min(seen.values()) > 10
+
+
 def test_languages_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
