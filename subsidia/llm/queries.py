@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bit_slices, chat_tree, decontaminate, katz, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
+from . import asof_join, bit_slices, chat_tree, decontaminate, katz, language_id, license_scan, minhash, piece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof_join.click_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op8_katz, op9_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op8_katz, op9_license_scan, op10_token_counts, op12_asof)}
 
 
 def oracle_sql() -> dict[str, str]:
     hard = "".join(f" UNION ALL SELECT -7, {i}, '{role}', '{HARD}'" for i, role in enumerate(("user", "assistant")))
-    return {"op2_bit_slices": bit_slices.top_sql(), "op4_url_filter": url_filter.url_sql(), "op5_chat_tree": chat_tree.chat_sql(hard)}
+    return {"op2_bit_slices": bit_slices.top_sql(), "op4_url_filter": url_filter.url_sql(), "op5_chat_tree": chat_tree.chat_sql(hard), "op12_asof": asof_join.click_sql()}
