@@ -117,7 +117,7 @@ def click_orders(clicks: DataFrame, sales: DataFrame, tolerance: int = TOLERANCE
     Copies of a click count once; were they to differ, the one of least time, then client, counts, nulls last. Null
     click_ids count as one click, without a grid. Of ids whose crc32 is odd the time is floored to the grid. Every row of
     sales is an order, and where its crc32 isn't divisible by 3 a second one with sale_id -1 - sale_id is at the same
-    time. A total that is null, not finite or beyond a long has null cents, which lose. Clicks without a client, a time
+    time. A total that is null, not finite or beyond 9.2e18 cents has null cents, which lose. Clicks without a client, a time
     or a match have n_tied 0 and nulls. Empty tables give what they can; other columns are not looked at.
     """
 
@@ -129,7 +129,7 @@ def click_orders(clicks: DataFrame, sales: DataFrame, tolerance: int = TOLERANCE
     first = F.min(F.struct(F.col("ts_us").isNull(), "ts_us", F.col("client_id").isNull(), "client_id"))
     own = materialise(own.groupBy("click_id").agg(first.alias("c")).select("click_id", "c.client_id", "c.ts_us"), "clicks")
     sale = F.col("sale_id")
-    sold = sales.select(sale, F.col("client_id").alias("client"), timed(F.col("sold_at"), sales.schema["sold_at"].dataType.simpleString(), _drawn(sale)).alias("t"), F.expr("try_cast(floor(100 * total + 0.5) AS BIGINT)").alias("weight"), _drawn(sale).alias("h"))
+    sold = sales.select(sale, F.col("client_id").alias("client"), timed(F.col("sold_at"), sales.schema["sold_at"].dataType.simpleString(), _drawn(sale)).alias("t"), F.expr("CASE WHEN abs(100 * total + 0.5) < 9.2e18 THEN floor(100 * total + 0.5) END").alias("weight"), _drawn(sale).alias("h"))
     twins = F.when(F.col("h") % 3 != 0, F.array(sale, -1 - sale)).otherwise(F.array(sale))
     orders = sold.select("client", "t", "weight", F.explode(twins).alias("id"))
     found = latest(own.select(F.col("client_id").alias("client"), F.col("ts_us").alias("t")), orders, tolerance)
@@ -152,7 +152,7 @@ WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0,
 c0 AS (SELECT click_id, min((ts IS NULL, epoch_us(ts), client_id IS NULL, client_id)) AS m FROM clicks GROUP BY click_id),
 c1 AS (SELECT click_id, m[2] AS us, m[4] AS client_id, {_crc('click_id')} AS h FROM c0, k),
 c AS (SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN us - ((us % {grid}) + {grid}) % {grid} ELSE us END AS ts_us FROM c1),
-o1 AS (SELECT sale_id, client_id, epoch_us(sold_at) AS us, CASE WHEN isfinite(total) THEN CAST(floor(100 * total + 0.5) AS BIGINT) END AS cents, {_crc('sale_id')} AS h FROM sales, k),
+o1 AS (SELECT sale_id, client_id, epoch_us(sold_at) AS us, CASE WHEN abs(100 * total + 0.5) < 9.2e18 THEN CAST(floor(100 * total + 0.5) AS BIGINT) END AS cents, {_crc('sale_id')} AS h FROM sales, k),
 o2 AS (SELECT unnest(CASE WHEN h % 3 <> 0 THEN [sale_id, -1 - sale_id] ELSE [sale_id] END) AS sale_id, client_id, CASE WHEN h % 2 = 1 THEN us - ((us % {grid}) + {grid}) % {grid} ELSE us END AS us, cents FROM o1),
 o AS (SELECT client_id, us, count(*) AS n, list((cents, sale_id) ORDER BY cents DESC NULLS LAST, sale_id DESC NULLS LAST)[1] AS best FROM o2 WHERE client_id IS NOT NULL AND us IS NOT NULL GROUP BY ALL),
 j AS (SELECT c.*, o.us, o.n, o.best, o.us IS NOT NULL AND c.ts_us - o.us <= {TOLERANCE} AS hit FROM c ASOF LEFT JOIN o ON c.client_id = o.client_id AND c.ts_us >= o.us)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import asof_join, bit_slices, chat_tree, decontaminate, katz, language_id, license_scan, minhash, piece_codec, runs, token_counts, url_filter
+from . import asof_join, bit_slices, chat_tree, decontaminate, hnsw, katz, language_id, license_scan, minhash, piece_codec, runs, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join.click_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
@@ -69,7 +73,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op8_katz, op9_license_scan, op10_token_counts, op12_asof, op13_runs)}
+    return {f.__name__: f for f in (op1_minhash, op2_bit_slices, op3_decontaminate, op4_url_filter, op5_chat_tree, op6_piece_codec, op7_language_id, op8_katz, op9_license_scan, op10_token_counts, op11_hnsw, op12_asof, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
