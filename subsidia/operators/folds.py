@@ -35,6 +35,24 @@ def partition_audit(pixels: DataFrame, by_pixel: bool = False) -> DataFrame:
     return stacked.select("fold_id", "training_n", "validation_n", "intersection_n", union.alias("union_n"), ((F.col("intersection_n") == 0) & (union == F.col("common"))).alias("passed"))
 
 
+def partition_bitmaps(pixels: DataFrame) -> DataFrame:
+    """partition_audit(by_pixel=True) by bitmaps: what is shuffled is bitmaps of 4 KB, not pixels.
+
+    A bitmap holds a slice of pixel ids; each task sends at most nine for each slice that it meets: who validates a fold,
+    who trains it, and all. The intersection follows from the sizes of both and of their union. Rows without a pixel_id
+    aren't counted.
+    """
+    bit = F.bitmap_bit_position("pixel_id")
+    own = pixels.where("mask = 1 AND pixel_id IS NOT NULL").select("fold_id", F.bitmap_bucket_number("pixel_id").alias("slice"), bit.alias("bit"))
+    size = lambda x: F.bitmap_count(F.bitmap_construct_agg(x))
+    here = {k: F.coalesce(F.col("fold_id") == k, F.lit(False)) for k in FOLDS}
+    sizes = own.groupBy("slice").agg(size(F.col("bit")).alias("common"), *(size(F.when(c, F.col("bit"))).alias(f"v{k}") for k, c in here.items()), *(size(F.when(~c, F.col("bit"))).alias(f"t{k}") for k, c in here.items()))
+    total = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sizes.columns if c != "slice"))
+    stacked = total.selectExpr(f"stack({len(FOLDS)}, {', '.join(f'{k}L, t{k}, v{k}, common' for k in FOLDS)}) AS (fold_id, training_n, validation_n, union_n)")
+    both = F.col("training_n") + F.col("validation_n") - F.col("union_n")
+    return stacked.select("fold_id", "training_n", "validation_n", both.alias("intersection_n"), "union_n", (both == 0).alias("passed"))
+
+
 def overlap(pixels: DataFrame, fold: int) -> DataFrame:
     """How many validation pixels of a fold are also in its training: a semi-join, 0 in sound data."""
     masked = pixels.where("mask = 1")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.guards import finite
 from ..functions.storage_model import StorageModel
+from ..sources import rasters
 
 #: What is stored of the fit of each fold.
 STORED = "fold_id long, rmse double, mae double, pixel_count long, ske_min double, ske_max double, cu double, lag_c double"
@@ -124,6 +125,13 @@ def raster_audit(required: DataFrame, metadata: DataFrame, summary: DataFrame) -
     return rows.select("product", "sha256", "crs", "transform", "height", "width", "nodata", F.coalesce("finite_count", F.lit(0)).cast("long").alias("finite_count"), "min_value", "max_value", status.alias("status"))
 
 
+def audited_rasters(files: DataFrame) -> DataFrame:
+    """raster_audit() of files(product, path) themselves: each is read once, by one task, a tile at a time."""
+    found = rasters.raster_files(files)
+    status = F.when(F.col("height").isNull(), "missing").when(F.col("finite_count") == 0, "empty").otherwise("passed")
+    return found.drop("path").withColumns({"finite_count": F.coalesce("finite_count", F.lit(0)).cast("long"), "status": status})
+
+
 def same_geometry(metadata: DataFrame) -> DataFrame:
     """(products, same): do all products with metadata share a grid?"""
     grid = F.struct("crs", "transform", "height", "width")

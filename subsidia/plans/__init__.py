@@ -1,0 +1 @@
+from . import queries, stored  # noqa: F401 - both fill the catalogue
