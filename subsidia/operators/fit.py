@@ -23,41 +23,56 @@ class Evaluation:
     gradient: np.ndarray
 
 
+def _sums(pixels: DataFrame, models: Sequence[StorageModel], design: Design) -> DataFrame:
+    """One row of the sums of each model; the bases, which cost most, are computed once for all."""
+    raw = gaussian(F.col("x"), F.col("y"), design)
+    rows, asked, thousand = pixels.withColumns({f"raw{k}": r for k, r in enumerate(raw)}), [F.count("*").alias("n")], F.lit(1000.0)
+    for i, model in enumerate(models):
+        own = "" if len(models) == 1 else f"_{i}"
+        log_cu = min(max(model.log_cu, LOG_CU[0]), LOG_CU[1])
+        cu = math.exp(log_cu)
+        eta, ske, slope, e_sin, e_cos, q = (f"{c}{own}" for c in ("eta", "ske", "slope", "e_sin", "e_cos", "q"))
+        rows = rows.withColumn(eta, predictor([F.col(f"raw{k}") for k in range(len(raw))], model, design))
+        rows = rows.withColumns({ske: bounded(F.col(eta), model.low, model.high), slope: bounded_slope(F.col(eta), model.low, model.high)})
+        confined, unconfined = heads(model)
+        later = delay_slope(F.col("hc_sin"), F.col("hc_cos"), model.lag_c, model.period)
+        rows = rows.withColumns({e: F.col(f"obs_{k}") - thousand * (F.col(ske) * c + F.lit(cu) * u) for e, k, c, u in zip((e_sin, e_cos), ("sin", "cos"), confined, unconfined, strict=True)})
+        dot = lambda v, s=e_sin, c=e_cos: F.col(s) * v[0] + F.col(c) * v[1]
+        rows = rows.withColumn(q, -thousand * F.col(slope) * dot(confined))
+        total = lambda x, name, own=own: F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{name}{own}")
+        asked += [
+            total(F.col(e_sin) * F.col(e_sin) + F.col(e_cos) * F.col(e_cos), "sse"),
+            total(F.col(q), "g_eta0"),
+            *(total(F.col(q) * F.col(f"raw{k}"), f"g_raw{k}") for k in range(len(raw))),
+            total(-thousand * F.lit(cu if log_cu == model.log_cu else 0.0) * dot(unconfined), "g_log_cu"),
+            total(-thousand * F.col(ske) * dot(later), "g_lag_c"),
+        ]
+    return rows.agg(*asked)
+
+
 def objective_sums(pixels: DataFrame, model: StorageModel, design: Design) -> DataFrame:
     """One row of sums: rows, squared residuals, and what the gradient needs (a sum for each centre, not each basis)."""
-    log_cu = min(max(model.log_cu, LOG_CU[0]), LOG_CU[1])
-    cu = math.exp(log_cu)
-    raw = gaussian(F.col("x"), F.col("y"), design)
-    rows = pixels.withColumns({f"raw{k}": r for k, r in enumerate(raw)})
-    rows = rows.withColumn("eta", predictor([F.col(f"raw{k}") for k in range(len(raw))], model, design))
-    rows = rows.withColumns({"ske": bounded(F.col("eta"), model.low, model.high), "slope": bounded_slope(F.col("eta"), model.low, model.high)})
-    confined, unconfined = heads(model)
-    later = delay_slope(F.col("hc_sin"), F.col("hc_cos"), model.lag_c, model.period)
-    thousand = F.lit(1000.0)
-    e = [F.col(f"obs_{k}") - thousand * (F.col("ske") * c + F.lit(cu) * u) for k, c, u in zip(("sin", "cos"), confined, unconfined, strict=True)]
-    rows = rows.withColumns({"e_sin": e[0], "e_cos": e[1]})
-    dot = lambda v: F.col("e_sin") * v[0] + F.col("e_cos") * v[1]
-    rows = rows.withColumn("q", -thousand * F.col("slope") * dot(confined))
-    return rows.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.col("e_sin") * F.col("e_sin") + F.col("e_cos") * F.col("e_cos")), F.lit(0.0)).alias("sse"),
-        F.coalesce(F.sum("q"), F.lit(0.0)).alias("g_eta0"),
-        *(F.coalesce(F.sum(F.col("q") * F.col(f"raw{k}")), F.lit(0.0)).alias(f"g_raw{k}") for k in range(len(raw))),
-        F.coalesce(F.sum(-thousand * F.lit(cu if log_cu == model.log_cu else 0.0) * dot(unconfined)), F.lit(0.0)).alias("g_log_cu"),
-        F.coalesce(F.sum(-thousand * F.col("ske") * dot(later)), F.lit(0.0)).alias("g_lag_c"),
-    )
+    return _sums(pixels, [model], design)
 
 
 def evaluate(pixels: DataFrame, model: StorageModel, design: Design) -> Evaluation:
     """Objective and gradient over usable pixels, both divided by the number of coefficients, the ridge too."""
-    row = objective_sums(pixels, model, design).first().asDict()
-    n, k = 2 * row["n"], len(design.centers)
-    size, s2, gamma = max(n, 1), model.sigma**2, np.array(model.gamma)
-    raw = np.array([row[f"g_raw{i}"] for i in range(k)])
-    basis = raw if design.transform is None else np.array(design.transform).T @ raw
-    g = np.r_[row["g_eta0"] / s2, basis / s2 + model.ridge * gamma, row["g_log_cu"] / s2, row["g_lag_c"] / s2] / size
-    data, prior = 0.5 * row["sse"] / s2 / size, 0.5 * model.ridge * float(gamma @ gamma) / size
-    return Evaluation(n, data + prior, data, prior, g)
+    return evaluate_many(pixels, [model], design)[0]
+
+
+def evaluate_many(pixels: DataFrame, models: Sequence[StorageModel], design: Design) -> list[Evaluation]:
+    """evaluate() of several models in one scan."""
+    row, out = _sums(pixels, models, design).first().asDict(), []
+    for i, model in enumerate(models):
+        own = "" if len(models) == 1 else f"_{i}"
+        n, k = 2 * row["n"], len(design.centers)
+        size, s2, gamma = max(n, 1), model.sigma**2, np.array(model.gamma)
+        raw = np.array([row[f"g_raw{j}{own}"] for j in range(k)])
+        basis = raw if design.transform is None else np.array(design.transform).T @ raw
+        g = np.r_[row[f"g_eta0{own}"] / s2, basis / s2 + model.ridge * gamma, row[f"g_log_cu{own}"] / s2, row[f"g_lag_c{own}"] / s2] / size
+        data, prior = 0.5 * row[f"sse{own}"] / s2 / size, 0.5 * model.ridge * float(gamma @ gamma) / size
+        out.append(Evaluation(n, data + prior, data, prior, g))
+    return out
 
 
 def toy_objective(rows: DataFrame, ridge: float, gamma: Sequence[float], low: float, high: float) -> DataFrame:
@@ -133,11 +148,15 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndar
     return Fit(x * scale, value, g / scale, len(history), status, history)
 
 
-def fit(pixels: DataFrame, model: StorageModel, design: Design, budgets: tuple[int, int, int] = (100, 200, 500)) -> tuple[StorageModel, dict]:
+def fit(pixels: DataFrame, model: StorageModel, design: Design, budgets: tuple[int, int, int] = (100, 200, 500), wolfe: bool = False) -> tuple[StorageModel, dict]:
     """Three stages over persisted usable pixels: eta0, log_cu and lag_c; gamma, begun anew from zero; all.
 
-    Without a positive budget the parameters are evaluated and returned as they are.
+    Without a positive budget the parameters are evaluated and returned as they are. With wolfe the search is that of
+    bounded.py, which evaluates several steps in a scan. The summary counts scans.
     """
+    from .bounded import minimise_bounded
+
+    scans = 0
     k = len(model.gamma)
     low, high = np.r_[np.full(k + 1, -np.inf), LOG_CU[0], 0.0], np.r_[np.full(k + 1, np.inf), LOG_CU[1], model.period]
     scale = np.r_[np.ones(k + 2), 50.0]
@@ -153,13 +172,20 @@ def fit(pixels: DataFrame, model: StorageModel, design: Design, budgets: tuple[i
                 if name == "gamma":
                     theta[1:-2] = 0.0
 
-                def part(y: np.ndarray, theta=theta, free=free) -> tuple[float, np.ndarray]:
-                    whole = theta.copy()
-                    whole[free] = y
-                    e = evaluate(pixels, model.with_theta(whole), design)
-                    return e.total, e.gradient[free]
-
-                last = minimise(part, theta[free], low[free], high[free], most, scale[free])
+                def parts(points: Sequence[np.ndarray], theta=theta, free=free) -> list[tuple[float, np.ndarray]]:
+                    nonlocal scans
+                    scans += 1
+                    models = []
+                    for y in points:
+                        whole = theta.copy()
+                        whole[free] = y
+                        models.append(model.with_theta(whole))
+                    return [(e.total, e.gradient[free]) for e in evaluate_many(pixels, models, design)]
+
+                if wolfe:
+                    last = minimise_bounded(parts, theta[free], low[free], high[free], most, scale[free])
+                else:
+                    last = minimise(lambda y, parts=parts: parts([y])[0], theta[free], low[free], high[free], most, scale[free])
                 theta = theta.copy()
                 theta[free] = last.theta
                 summary["history"] += [{"stage": name, **h} for h in last.history]
@@ -168,7 +194,7 @@ def fit(pixels: DataFrame, model: StorageModel, design: Design, budgets: tuple[i
             summary["status"] = last.status
         fitted = model.with_theta(theta)
         final = evaluate(pixels, fitted, design)
-        summary |= {"final_objective": final.total, "relative_reduction": (first.total - final.total) / max(abs(first.total), 1e-30), "theta": theta.tolist(), "gradient_norm": float(np.linalg.norm(final.gradient))}
+        summary |= {"scans": scans, "final_objective": final.total, "relative_reduction": (first.total - final.total) / max(abs(first.total), 1e-30), "theta": theta.tolist(), "gradient_norm": float(np.linalg.norm(final.gradient))}
         return fitted, summary
     finally:
         pixels.unpersist()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.guards import finite
@@ -149,6 +151,50 @@ def acceptance(spark: SparkSession, report: Mapping[str, object], exact: Mapping
     return spark.createDataFrame(rows, "position int, family string, name string, actual string, expected string, passed boolean")
 
 
+def accepted(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(position, family, document, path, actual, expected, passed): gates of a release, held against nested documents.
+
+    found: sources.files.leaves(); wanted(position, family, document, path, expected, tol). By family: exact is a number
+    equal to expected, near one within tol, true the boolean, passed and configured the text that says so, and absent is
+    for what mustn't be there. What can't be told fails.
+    """
+    rows = wanted.join(found.withColumnRenamed("value", "actual"), ["document", "path"], "left")
+    number, asked = F.expr("try_cast(actual AS DOUBLE)"), F.expr("try_cast(expected AS DOUBLE)")
+    numeric = F.col("kind").isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    says = lambda family: (F.col("family") == family) & (F.col("kind") == "STRING") & (F.col("actual") == family)
+    passed = (
+        ((F.col("family") == "exact") & numeric & (number == asked))
+        | ((F.col("family") == "near") & numeric & (F.abs(number - asked) <= F.col("tol")))
+        | ((F.col("family") == "true") & (F.col("kind") == "BOOLEAN") & (F.col("actual") == "true"))
+        | says("passed") | says("configured") | ((F.col("family") == "absent") & F.col("kind").isNull())
+    )
+    return rows.select("position", "family", "document", "path", "actual", "expected", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Write documents(document, body), each as a file of its own, by tasks; a body is a report, not a table."""
+
+    def store(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(root)
+        for batch in batches:
+            for name, body in zip(batch.column("document").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                held = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(held) as out:
+                    out.write((body or "").encode())
+                fs.move(held, f"{root}/{name}")
+            yield batch.select(["document"])
+
+    documents.select("document", "body").mapInArrow(store, "document string").write.format("noop").mode("overwrite").save()
+
+
+def acceptance_status(gates: DataFrame, *by: str) -> DataFrame:
+    """(by, gates, failed, overall_status, failure_reasons) of accepted(), reasons in their order, by one aggregation."""
+    failing = F.collect_list(F.when(~F.col("passed"), F.struct("position", F.concat_ws(".", "document", "path").alias("name"))))
+    found = gates.groupBy(*by).agg(F.count("*").alias("gates"), F.count_if(~F.col("passed")).alias("failed"), F.transform(F.sort_array(failing), lambda x: x["name"]).alias("failure_reasons"))
+    return found.select(*by, "gates", "failed", F.when(F.col("failed") == 0, "passed").otherwise("failed").alias("overall_status"), "failure_reasons")
+
+
 def reasons(gates: DataFrame, *order: str) -> list[str]:
     """Names of the gates that failed, in their order."""
     name = "name" if "name" in gates.columns else "gate"

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.geometry import Grid
-from ..operators import folds, located, metrics, release, sketches
-from ..sources import blocks, rasters, scratch
-from ..sources.pixels import STEP, TOP, WIDTH, damaged_pixels, masked_pixels, order_pixels, repeated_pixels
+from ..functions import geometry
+from ..functions.geometry import FLATTENING, MAJOR, Grid
+from ..operators import bounded, folds, located, metrics, release, sketches
+from ..sources import blocks, files, rasters, scratch
+from ..sources.pixels import MODEL, STEP, TOP, WIDTH, damaged_pixels, masked_pixels, order_pixels, read_table, undefined_folds
+from ..streaming import histories
 from . import sql as S
-from .queries import query, r, rounded
+from .queries import MF, SQL, event_history, frame, query, r, rounded
 
 _NUMBERS = "pixel_id long, row long, col long, block_id long, fold_id long, mask int, obs_sin double, obs_cos double, hc_sin double, hc_cos double, ske_ref double"
 
@@ -94,8 +99,6 @@ SELECT fold_id, t.n AS training_n, v.n AS validation_n, b.n AS intersection_n, t
 @query(f"WITH {S.PX}, {S.UNDEFINED}, c AS (SELECT pixel_id, fold_id FROM uf WHERE mask = 1 UNION ALL SELECT pixel_id, CASE WHEN fold_id = 4 THEN 2 ELSE fold_id END FROM uf WHERE mask = 1 AND pixel_id % 31 = 0), {_AUDIT}")
 def q66_partition_bitmaps(spark, d):
     """Pixels in two folds, found by bitmaps: some of fold 4 stand in fold 2 as well."""
-    from ..sources.pixels import undefined_folds
-
     own = undefined_folds(masked_pixels(spark, d))
     again = own.where("pixel_id % 31 = 0").withColumn("fold_id", F.when(F.col("fold_id") == 4, 2).otherwise(F.col("fold_id")).cast("long"))
     return folds.partition_bitmaps(own.unionByName(again))
@@ -114,3 +117,111 @@ def q67_merged_sketches(spark, d):
     whole = sketches.merged(spark.read.parquet(path), ["fold_id"])
     columns = F.array(*(F.struct(F.lit(q).alias("q"), sketches.quantile(F.col("sketch"), q).alias("value")) for q in _AT))
     return rounded(whole.select("fold_id", F.inline(columns)), value=8)
+
+
+_READINGS = """b AS (SELECT CAST(year(CAST(o_orderdate AS DATE)) AS INTEGER) AS year, o_orderstatus AS metric, round(o_totalprice / 1000, 3) AS value, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 END AS area FROM orders)"""
+
+
+@query(f"WITH {_READINGS} SELECT metric, year, min(value) AS low, max(value) AS high, CAST(max(area) AS DOUBLE) AS area, count(area) AS n_area FROM b GROUP BY ALL")
+def q42_bulletin_extremes(spark, d):
+    """A bulletin written as CSV, whose blanks are missing numbers, read with its explicit schema."""
+    key, path = F.col("o_orderkey"), scratch.folder(spark, "bulletin")
+    area = F.when(key % 3 == 0, F.format_string(" %d", key % 50)).when(key % 3 == 1, " ").otherwise("")
+    rows = read_table(spark, d, "orders").select(F.year(F.col("o_orderdate").cast("date")).alias("year"), F.col("o_orderstatus").alias("metric"), F.round(F.col("o_totalprice") / 1000, 3).alias("value"), area.alias("funnel_area"))
+    files.write_table(rows, path, files.BULLETIN.names)
+    found = files.read_bulletin(spark, path)
+    return found.groupBy("metric", "year").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max("funnel_area").alias("area"), F.count("funnel_area").alias("n_area"))
+
+
+#: Where the families of acceptance look, and what they ask for; fold 2 is asked for a pixel too many.
+_WANTED = (("exact", "validation.pixel_count", None, None), ("near", "validation.rmse", "5", 1e3), ("near", "validation.mae", "0", 1e-9), ("true", "checks.0.hash_match", "true", None), ("passed", "status", "passed", None), ("configured", "checks.1.ci_status", "configured", None), ("absent", "validation.error", None, None), ("true", "status", "true", None))
+_ACCEPTED = f"""a AS ({S.metrics('fold_id')}), w AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}', '{p}')" for i, (f, p, _, _) in enumerate(_WANTED))}) v(position, family, path)),
+g AS (SELECT fold_id, position, path, CASE path WHEN 'validation.pixel_count' THEN fold_id <> 2 WHEN 'validation.rmse' THEN abs(rmse - 5) <= 1000 WHEN 'validation.mae' THEN abs(mae) <= {S.num(1e-9)} WHEN 'checks.0.hash_match' THEN fold_id <> 3 WHEN 'status' THEN family = 'passed' AND pixel_count % 2 = 0 WHEN 'validation.error' THEN fold_id <> 4 ELSE TRUE END AS passed FROM a, w)"""
+
+
+@query(MF + f", {_ACCEPTED} SELECT fold_id, count(*) AS gates, count_if(NOT passed) AS failed, CASE WHEN bool_and(passed) THEN 'passed' ELSE 'failed' END AS overall_status, coalesce(string_agg(CASE WHEN NOT passed THEN 'fold_' || fold_id || '.json.' || path END, ',' ORDER BY position), '') AS failure_reasons FROM g GROUP BY fold_id")
+def q55_acceptance(spark, d):
+    """Reports of the folds, written as documents by the engine, read back and held against what a release asks for."""
+    path = scratch.folder(spark, "reports")
+    found = metrics.metrics(frame(spark, d), MODEL.high, ["fold_id"]).persist()
+    k = F.col("fold_id")
+    status = F.when(F.col("pixel_count") % 2 == 0, "passed").otherwise("failed")
+    checks = F.array(F.struct((k != 3).alias("hash_match"), F.lit(None).cast("string").alias("ci_status")), F.struct(F.lit(None).cast("boolean").alias("hash_match"), F.lit("configured").alias("ci_status")))
+    body = F.to_json(F.struct(F.struct("pixel_count", "rmse", "mae", F.when(k == 4, "late").alias("error")).alias("validation"), status.alias("status"), checks.alias("checks")))
+    release.write_documents(found.select(F.format_string("fold_%d.json", k).alias("document"), body.alias("body")), path)
+    asked = spark.createDataFrame([(i, *x) for i, x in enumerate(_WANTED)], "position int, family string, path string, expected string, tol double")
+    count = F.when(F.col("path") == "validation.pixel_count", (F.col("pixel_count") + F.when(k == 2, 1).otherwise(0)).cast("string")).otherwise(F.col("expected"))
+    wanted = found.select(k, "pixel_count").join(F.broadcast(asked)).select("position", "family", F.format_string("fold_%d.json", k).alias("document"), "path", count.alias("expected"), "tol")
+    gates = release.accepted(files.leaves(files.nested_documents(spark, path)), wanted)
+    verdict = release.acceptance_status(gates, "document")
+    return verdict.select(F.regexp_extract("document", r"(\d+)", 1).cast("long").alias("fold_id"), "gates", "failed", "overall_status", F.array_join("failure_reasons", ",").alias("failure_reasons"))
+
+
+@query(SQL["q27_convergence_gate"])
+def q68_running_gate(spark, d):
+    """The gate of q27 over iterations that arrive in four parts, some late, some again; the query stops and goes on."""
+    rows = event_history(spark, d)
+    most = rows.agg(F.max("iteration")).first()[0] or 0
+    late = F.col("iteration") + F.pmod(F.xxhash64("iteration"), F.lit(40))
+    parts = rows.withColumn("part", F.least(F.floor(late * 4 / (most + 1)), F.lit(3)))
+    parts = parts.unionByName(parts.where("iteration % 37 = 0 AND part < 3").withColumn("part", F.col("part") + 1))
+    base = scratch.folder(spark, "history")
+    for k in range(4):
+        parts.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+        histories.write_gates(histories.running_gate(stream, 0.5, 0.095, 0.0045), f"{base}/out", f"{base}/state").awaitTermination()
+    return rounded(histories.settled(spark.read.parquet(f"{base}/out/*")), rel_drop=9)
+
+
+#: A grid that is turned and sheared.
+_TURNED = (8e-4, 3e-4, 115.0, 2e-4, -9e-4, 38.0)
+
+
+def _turned_area() -> str:
+    a, b, _, dd, e, f = map(S.num, _TURNED)
+    e2 = S.num(FLATTENING * (2 - FLATTENING))
+    u, w = (0.5 - math.sqrt(0.15), 0.5, 0.5 + math.sqrt(0.15)), (5 / 18, 8 / 18, 5 / 18)
+    at = lambda i, j: f"radians({dd} * (col + {S.num(u[j])}) + {e} * (row + {S.num(u[i])}) + {f})"
+    parts = " + ".join(f"{S.num(w[i] * w[j])} * cos({at(i, j)}) / power(1 - {e2} * power(sin({at(i, j)}), 2), 2)" for i in range(3) for j in range(3))
+    size = abs(_TURNED[0] * _TURNED[4] - _TURNED[1] * _TURNED[3]) * math.radians(1) ** 2 * (MAJOR * (1 - FLATTENING)) ** 2
+    return f"{S.num(size)} * ({parts})"
+
+
+@query(f"WITH {S.PX} SELECT row, count(*) AS n, round(sum({S.area('row')}), 2) AS straight_m2, round(sum({_turned_area()}), 2) AS turned_m2 FROM px GROUP BY row")
+def q69_polygon_area(spark, d):
+    """Areas of each row's cells as polygons: of the fixture's grid, and of one that is turned and sheared."""
+    straight, turned = (geometry.polygon_area(geometry.cell_ring(F.col("row"), F.col("col"), t)) for t in ((STEP, 0.0, 115.0, 0.0, -STEP, TOP), _TURNED))
+    return order_pixels(spark, d).groupBy("row").agg(F.count("*").alias("n"), r(F.sum(straight), 2, "straight_m2"), r(F.sum(turned), 2, "turned_m2"))
+
+
+@query("SELECT c_nationkey, CAST(sum(length(c_name || '|' || c_custkey) + 1) AS BIGINT) AS size_bytes, sha256(string_agg(c_name || '|' || c_custkey || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY c_nationkey")
+def q70_file_digests(spark, d):
+    """Digests of files that tasks have written, computed by tasks."""
+    path = scratch.folder(spark, "listed")
+    lines = read_table(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat_ws("|", "c_name", F.col("c_custkey").cast("string")).alias("line"))
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "line").write.partitionBy("c_nationkey").text(path)
+    listed = spark.read.format("binaryFile").load(path).select(F.col("c_nationkey").cast("long").alias("c_nationkey"), "path")
+    return files.file_digests(listed).drop("path")
+
+
+#: Bounds of the levels that q71 fits.
+_LEVELS = (-0.2, 0.12)
+
+
+@query(f"WITH {S.PX} SELECT fold_id, round(greatest(least(avg(obs_sin), {S.num(_LEVELS[1])}), {S.num(_LEVELS[0])}), 5) AS level FROM px WHERE mask = 1 AND fold_id > 0 GROUP BY fold_id")
+def q71_bounded_levels(spark, d):
+    """The level of each fold that is nearest to its pixels by least squares, within bounds, found by the bounded search."""
+    rows = masked_pixels(spark, d).where("fold_id > 0").select("fold_id", "obs_sin").persist()
+
+    def f(points):
+        level = lambda p: F.element_at(F.array(*map(F.lit, p.tolist())), F.col("fold_id").cast("int"))
+        loss = [F.sum(F.pow(F.col("obs_sin") - level(p), 2)).alias(f"f{j}") for j, p in enumerate(points)]
+        slope = [F.sum(F.when(F.col("fold_id") == k, 2 * (float(p[i]) - F.col("obs_sin"))).otherwise(0.0)).alias(f"g{j}_{k}") for j, p in enumerate(points) for i, k in enumerate(folds.FOLDS)]
+        row = rows.agg(F.count("*").alias("n"), *loss, *slope).first()
+        n = max(row["n"], 1)
+        return [((row[f"f{j}"] or 0.0) / n, np.array([row[f"g{j}_{k}"] or 0.0 for k in folds.FOLDS]) / n) for j in range(len(points))]
+
+    size = len(folds.FOLDS)
+    found = bounded.minimise_bounded(f, np.full(size, 0.1), np.full(size, _LEVELS[0]), np.full(size, _LEVELS[1]), 100, g_tol=1e-7, f_tol=0.0)
+    rows.unpersist()
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in zip(folds.FOLDS, found.theta, strict=True)], "fold_id long, level double"), level=5)

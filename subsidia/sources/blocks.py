@@ -74,7 +74,9 @@ class BlockReader(DataSourceReader):
         index = pyarrow.parquet.read_table(f"{root}/{INDEX}", filesystem=fs, columns=list(wanted)).to_pylist()
         return [Block(b["folder"], b["rows"]) for b in index if all(may_hold(b[f"lo {f.attribute[0]}"], b[f"hi {f.attribute[0]}"], f) for f in able)]
 
-    def read(self, block: Block) -> Iterator[pa.RecordBatch]:
+    def read(self, block: Block | None) -> Iterator[pa.RecordBatch]:
+        if block is None:  # no block is left
+            return
         fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
 
         def column(name: str) -> tuple[np.ndarray, np.ndarray | None]:

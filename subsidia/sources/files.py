@@ -9,6 +9,8 @@ from collections.abc import Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Columns of a bulletin of published readings; blank fields of the last two numbers are null.
@@ -86,6 +88,55 @@ def small_file_digests(spark: SparkSession, path: str, pattern: str = "*") -> Da
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def file_digests(files: DataFrame, path: str = "path") -> DataFrame:
+    """files(path, ...) with size_bytes and sha256 of each, read by tasks a piece at a time: files of any size; null where there is none."""
+    out = T.StructType([*files.schema.fields, T.StructField("size_bytes", T.LongType()), T.StructField("sha256", T.StringType())])
+
+    def look(batches):
+        for batch in batches:
+            found = []
+            for where in batch.column(path).to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(where) if where else (None, None)
+                if not where or fs.get_file_info(at).type != pyarrow.fs.FileType.File:
+                    found.append((None, None))
+                    continue
+                own, size = hashlib.sha256(), 0
+                with fs.open_input_stream(at) as f:
+                    while piece := f.read(8 << 20):
+                        own.update(piece)
+                        size += len(piece)
+                found.append((size, own.hexdigest()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], out.names)
+
+    return files.mapInArrow(look, out)
+
+
+def nested_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document, body variant) of the JSON files below a path, one document a file; document is the file's name.
+
+    A file that isn't JSON has a null body.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("document"), F.try_parse_json("value").alias("body"))
+
+
+def leaves(documents: DataFrame, depth: int = 4) -> DataFrame:
+    """(document, path, kind, value) of what lies at the ends of nested bodies, parts joined by dots; elements by number.
+
+    kind is the type's name as Spark gives it to variants, value the text. What lies deeper than depth stays as JSON.
+    """
+    rows, out = documents.select("document", F.lit("").alias("path"), F.col("body").alias("v")), None
+    for level in range(depth + 1):
+        rows = rows.withColumn("kind", F.schema_of_variant("v"))
+        nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        ends = rows if level == depth else rows.where(~nested)
+        ends = ends.where("path <> ''").select("document", "path", F.when(nested, "JSON").otherwise(F.regexp_replace("kind", r"\(.*", "")).alias("kind"), F.when(nested, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
+        out = ends if out is None else out.unionByName(ends)
+        inner = documents.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "inside")
+        rows = rows.where(nested).lateralJoin(inner).select("document", F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.col("inside").alias("v"))
+    return out
+
+
 def read_bulletin(spark: SparkSession, path: str) -> DataFrame:
     """The bulletin with an explicit schema; numbers are trimmed before the cast, so that a blank is null."""
     rows = spark.read.schema(BULLETIN).csv(path, header=True)

@@ -205,7 +205,9 @@ class RasterReader(DataSourceReader):
         files = pyarrow.dataset.dataset(f"{root}/_index", filesystem=fs, format="parquet", exclude_invalid_files=True).to_table().to_pylist()
         return [Part(f"{root}/{x['file']}", x["top"], x["left"]) for x in files if self.window.meets(x["top"], x["top"] + x["height"], x["left"], x["left"] + x["width"])]
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file is left
+            return
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.path)
         with fs.open_input_file(part.path) as f:
             head = read_header(f)
