@@ -71,7 +71,15 @@ def storage_summary(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
 
 
 def products(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
-    return _present(spark, c.products, "products")
+    """Digest, grid and extremes of each configured raster, and whether all share a grid."""
+    if not c.products:
+        return {"products": {}, "products_status": "passed"}
+    files_of = spark.createDataFrame(list(c.products.items()), "product string, path string")
+    found = {r["product"]: r.asDict() for r in release.audited_rasters(files_of).collect()}
+    states = [r["status"] for r in found.values()]
+    grids = {tuple(r[k] for k in ("crs", "transform", "height", "width")) for r in found.values() if r["height"] is not None}
+    status = "missing" if "missing" in states else "passed" if set(states) <= {"passed", "empty"} else "failed"
+    return {"products": found, "products_status": status, "products_same_geometry": len(grids) <= 1}
 
 
 def figures(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
@@ -92,11 +100,30 @@ def audit(spark: SparkSession, c: configs.Config) -> dict[str, Any]:
         flat = {k: v for part in parts.values() for k, v in part.items()} | dict(c.acceptance.get("report", {}))
         families = release.acceptance(spark, flat, c.acceptance.get("exact", {}), *(c.acceptance.get(k, ()) for k in ("true", "passed", "configured")))
         reasons += release.reasons(families, "position")
+    if c.acceptance.get("gates"):
+        reasons += _accepted(spark, c, parts)
     report = {**parts, "failure_reasons": reasons, "overall_status": "failed" if reasons else "passed"}
     files.write_report(json.loads(json.dumps(report, default=str)), f"{c.output}/audit.json")
     return report
 
 
+def _accepted(spark: SparkSession, c: configs.Config, parts: dict[str, Any]) -> list[str]:
+    """What the configured gates (family, document, path, expected, tol) find wrong in the engine's own reports.
+
+    The reports are written as documents and read back, with those stored by others in the folder that acceptance names.
+    """
+    sound = [parts[p].get(f"{k}_status") for p, k in (("cv", "partition"), ("cv", "validation_recalculation"), ("invert", "final_recalculation"), ("storage_summary", "storage_recalculation"))]
+    derived = {"scientific_metrics_unchanged": all(x in (None, "passed") for x in sound), "delayed_positive_shift_status": "passed" if parts["storage_summary"]["summary"]["direction"] == "positive_delay" else "failed"}
+    for name, part in (parts | {"derived": derived}).items():
+        files.write_report(json.loads(json.dumps(part, default=str)), f"{c.output}/reports/{name}.json")
+    found = files.leaves(files.nested_documents(spark, f"{c.output}/reports"))
+    if stored := c.acceptance.get("documents"):
+        found = found.unionByName(files.leaves(files.nested_documents(spark, stored)))
+    wanted = [(i, g[0], g[1], g[2], None if len(g) < 4 or g[3] is None else str(g[3]), float(g[4]) if len(g) > 4 else 0.0) for i, g in enumerate(c.acceptance["gates"])]
+    rows = release.accepted(found, spark.createDataFrame(wanted, "position int, family string, document string, path string, expected string, tol double"))
+    return release.acceptance_status(rows).first()["failure_reasons"]
+
+
 def _present(spark: SparkSession, paths: dict[str, str], name: str) -> dict[str, Any]:
     if not paths:
         return {name: {}, f"{name}_status": "passed"}

@@ -73,7 +73,7 @@ def config_from(raw: Mapping[str, Any], base: Path = Path(".")) -> Config:
         if any(len(x.gamma) != design.size for x in rest["fold_models"].values()):
             raise ValueError(f"{design.size} weights are needed in every fold")
     rest |= {"fold_fits": {int(k): place(v) for k, v in raw.get("fold_fits", {}).items()}, "fold_rmse": {int(k): float(v) for k, v in raw.get("fold_rmse", {}).items()}}
-    rest |= {"final": {k: (float(v), float(t)) for k, (v, t) in raw.get("final", {}).items()}, "acceptance": raw.get("acceptance", {})}
+    rest |= {"final": {k: (float(v), float(t)) for k, (v, t) in raw.get("final", {}).items()}, "acceptance": raw.get("acceptance", {}) | ({"documents": place(raw["acceptance"]["documents"])} if raw.get("acceptance", {}).get("documents") else {})}
     rest |= {k: place(raw[k]) for k in ("envelope", "published") if raw.get(k)}
     if raw.get("storage"):
         rest["storage"] = StorageRelease(**raw["storage"])

@@ -128,9 +128,12 @@ def raster_audit(required: DataFrame, metadata: DataFrame, summary: DataFrame) -
 
 
 def audited_rasters(files: DataFrame) -> DataFrame:
-    """raster_audit() of files(product, path) themselves: each is read once, by one task, a tile at a time."""
+    """raster_audit() of files(product, path) themselves: each is read by one task, a tile at a time.
+
+    What isn't a raster that can be read has status "failed: no raster".
+    """
     found = rasters.raster_files(files)
-    status = F.when(F.col("height").isNull(), "missing").when(F.col("finite_count") == 0, "empty").otherwise("passed")
+    status = F.when(F.col("sha256").isNull(), "missing").when(F.col("height").isNull(), "failed: no raster").when(F.col("finite_count") == 0, "empty").otherwise("passed")
     return found.drop("path").withColumns({"finite_count": F.coalesce("finite_count", F.lit(0)).cast("long"), "status": status})
 
 

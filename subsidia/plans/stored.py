@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry
 from ..functions.geometry import FLATTENING, MAJOR, Grid
-from ..operators import bounded, folds, located, metrics, release, sketches
+from ..operators import bounded, folds, located, metrics, release, sketches, storage
 from ..sources import blocks, files, rasters, scratch
-from ..sources.pixels import MODEL, STEP, TOP, WIDTH, damaged_pixels, masked_pixels, order_pixels, read_table, undefined_folds
+from ..sources.pixels import DESIGN, MODEL, STEP, TOP, WIDTH, damaged_pixels, masked_pixels, order_pixels, read_table, undefined_folds
 from ..streaming import histories
 from . import sql as S
 from .queries import MF, SQL, event_history, frame, query, r, rounded
@@ -225,3 +225,23 @@ def q71_bounded_levels(spark, d):
     found = bounded.minimise_bounded(f, np.full(size, 0.1), np.full(size, _LEVELS[0]), np.full(size, _LEVELS[1]), 100, g_tol=1e-7, f_tol=0.0)
     rows.unpersist()
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in zip(folds.FOLDS, found.theta, strict=True)], "fold_id long, level double"), level=5)
+
+
+_LOST = "lost AS (SELECT * REPLACE (CASE WHEN pixel_id % 23 = 0 THEN CAST('nan' AS DOUBLE) ELSE x END AS x, CASE WHEN pixel_id % 29 = 0 THEN CAST('nan' AS DOUBLE) WHEN pixel_id % 31 = 0 THEN NULL ELSE ske_ref END AS ske_ref) FROM bad)"
+_OWN = S.area("row")
+
+
+@query(f"""WITH {S.PX}, {S.BAD}, {_LOST}, {S.model('lost', 'mask = 1 AND coalesce(isfinite(hc_sin) AND isfinite(hc_cos), FALSE)')}, v AS (SELECT CASE WHEN isfinite(ske) THEN ske * hc_sin * {_OWN} END AS vs, CASE WHEN isfinite(ske) THEN ske * hc_cos * {_OWN} END AS vc, CASE WHEN isfinite(ske) AND isfinite(ske_ref) THEN ske - ske_ref END AS d FROM mf)
+SELECT count(*) AS valid_pixel_count, count(vs) AS with_volume, round(sum(vs), 2) AS real_m3, round(sum(vc), 2) AS imag_m3, round(sum(sqrt(vs * vs + vc * vc)), 2) AS local_sum_m3, count(d) AS compared, round(max(abs(d)), 9) AS max_abs_diff, round(sqrt(sum(d * d) / count(d)), 9) AS rms_diff FROM v""")
+def q72_damaged_storage(spark, d):
+    """Storage and its comparison over heads, places and published coefficients of which some are damaged."""
+    key, nan = F.col("pixel_id"), F.lit(math.nan)
+    rows = damaged_pixels(spark, d).withColumns({"x": F.when(key % 23 == 0, nan).otherwise(F.col("x")), "ske_ref": F.when(key % 29 == 0, nan).when(key % 31 == 0, F.lit(None).cast("double")).otherwise(F.col("ske_ref"))})
+    area = geometry.cell_area(F.col("row"), TOP, STEP, STEP)
+    found = storage.storage_components(rows, MODEL, DESIGN, area).persist()
+    summary = storage.storage_summary(found, MODEL).select("valid_pixel_count", "real_m3", "imag_m3", "local_sum_m3")
+    compared = metrics.difference(found, F.col("ske"), F.col("ske_ref")).withColumnRenamed("n", "compared")
+    volumes = found.agg(F.count("vol_sin").alias("with_volume"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    wide = one(summary).join(one(compared), "one").join(one(volumes), "one").drop("one")
+    return rounded(wide, real_m3=2, imag_m3=2, local_sum_m3=2, max_abs_diff=9, rms_diff=9)

@@ -283,14 +283,17 @@ FOUND = T.StructType([T.StructField(n, t) for n, t in (("sha256", T.StringType()
 
 
 def _looked_at(where: str | None) -> tuple:
-    """FOUND of one file, of which a tile or a piece of bytes is held at a time; nulls where there is none."""
+    """FOUND of one file, of which a tile or a piece of bytes is held at a time; nulls where there is none, or no raster."""
     fs, at = pyarrow.fs.FileSystem.from_uri(where) if where else (None, None)
     if not where or fs.get_file_info(at).type != pyarrow.fs.FileType.File:
         return (None,) * len(FOUND)
     digest, count, low, high = hashlib.sha256(), 0, np.inf, -np.inf
     with fs.open_input_file(at) as f:
-        h = read_header(f)
-        for tile, (offset, size) in enumerate(zip(h.offsets, h.sizes, strict=True)):
+        try:
+            h = read_header(f)
+        except (ValueError, KeyError, struct.error):  # not a raster that is read here
+            h = None
+        for tile, (offset, size) in enumerate(zip(h.offsets, h.sizes, strict=True) if h else ()):
             if size:
                 top, bottom, left, right = h.box(tile)
                 f.seek(offset)
@@ -301,6 +304,8 @@ def _looked_at(where: str | None) -> tuple:
         f.seek(0)
         while piece := f.read(1 << 22):
             digest.update(piece)
+    if h is None:
+        return digest.hexdigest(), *(None,) * (len(FOUND) - 1)
     transform = ",".join(f"{x:.15g}" for x in h.transform)
     return digest.hexdigest(), h.crs, transform, h.height, h.width, h.nodata, count, low if count else None, high if count else None
 

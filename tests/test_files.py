@@ -1,11 +1,13 @@
 import hashlib
 import json
 import math
+from dataclasses import replace
 
 import pytest
 
 from subsidia import cli, config
-from subsidia.sources import files
+from subsidia.functions.geometry import Grid
+from subsidia.sources import files, rasters
 from tests.test_functions import DESIGN, KIND, MODEL, pixels
 
 
@@ -131,3 +133,34 @@ def test_maxiter_replaces_the_last_budget(spark, tmp_path, monkeypatch, capsys):
         cli.main(["invert", "--config", str(path), "--optimize", "--maxiter", n])
     cli.main(["invert", "--config", str(path), "--optimize"])
     assert seen == [(100, 200, 5), (0, 0, 0), (100, 200, 700), (100, 200, 300)]
+
+
+def test_products_are_read_and_audit_judges_its_own_reports(spark, tmp_path, capsys):
+    pixels(spark, 60).selectExpr("*", "pixel_id AS row", "0L AS col").write.parquet(str(tmp_path / "pixels"))
+    grid = Grid(4, 3, (30.0, 0.0, 0.0, 0.0, -30.0, 0.0), "EPSG:32650")
+    for name, own in (("a", grid), ("b", grid), ("c", replace(grid, crs="EPSG:4326"))):
+        rasters.write_raster(spark.range(12).selectExpr("id div 4 AS row", "id % 4 AS col", "id / 2.0 AS value"), f"file://{tmp_path}/{name}", own, 4, 1)
+    (tmp_path / "text.tif").write_text("no raster")
+    tif = lambda x: str(tmp_path / x / "tiles-0-0.tif")
+    path = tmp_path / "c.json"
+
+    def run(command, **more):
+        path.write_text(json.dumps(raw("pixels", output="out", **more)))
+        return report(capsys, command, "--config", str(path))
+
+    code, found = run("products", products={"a": tif("a"), "b": tif("b")})
+    assert (code, found["products_status"], found["products_same_geometry"]) == (0, "passed", True)
+    a = found["products"]["a"]
+    assert (a["sha256"], a["crs"], a["height"], a["finite_count"], a["max_value"]) == (files.file_digest(tif("a")), "EPSG:32650", 3, 12, 5.5)
+    code, found = run("products", products={"a": tif("a"), "c": tif("c")})
+    assert (code, found["products_same_geometry"]) == (0, False)
+    assert run("products", products={"a": tif("a"), "t": str(tmp_path / "text.tif")})[1]["products_status"] == "failed"
+    assert run("products", products={"n": str(tmp_path / "none.tif")})[1]["products_status"] == "missing"
+    (tmp_path / "stored").mkdir()
+    (tmp_path / "stored" / "review.json").write_text(json.dumps({"review": {"status": "passed"}}))
+    count = run("invert")[1]["metrics"]["pixel_count"]
+    gates = [["exact", "invert.json", "metrics.pixel_count", count], ["exact", "invert.json", "metrics.pixel_count", count + 1], ["near", "invert.json", "metrics.rmse", 0, 1e9], ["passed", "products.json", "products_status"], ["passed", "review.json", "review.status"], ["true", "derived.json", "scientific_metrics_unchanged"], ["passed", "cv.json", "partition_status"], ["absent", "cv.json", "error"], ["passed", "nowhere.json", "status"]]
+    code, found = run("audit", products={"a": tif("a")}, acceptance={"gates": gates, "documents": "stored"})
+    assert (code, found["failure_reasons"]) == (1, ["invert.json.metrics.pixel_count", "nowhere.json.status"])
+    code, found = run("audit", products={"a": tif("a")}, acceptance={"gates": [g for i, g in enumerate(gates) if i not in (1, 8)], "documents": "stored"})
+    assert (code, found["overall_status"]) == (0, "passed")
