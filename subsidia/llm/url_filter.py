@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bounded_batches
+
 #: Terms that block alone.
 STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "spam", "malware", "phishing", "warez", "escort", "gambling", "poker", "jackpot", "hentai", "torrent")
 #: Terms that block together.
@@ -78,6 +80,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     allowed, and the vocabulary reads any other url whole. A null key stays null, repeated rows stay repeated, an empty
     table gives an empty table, and other columns are not looked at.
     """
+    bounded_batches(pages.sparkSession)
     strict, soft = tuple(dict.fromkeys(strict)), tuple(x for x in dict.fromkeys(soft) if x not in set(strict))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
