@@ -1,7 +1,7 @@
 import pytest
 
 from subsidia.operators import fit
-from subsidia.plans import queries as plans
+from subsidia.plans import queries as plans, sql as S
 from subsidia.plans.queries import QUERIES, SQL
 from tests.compare import connection, same
 
@@ -28,6 +28,15 @@ def test_registered_fit_runs_to_its_end(spark, sf_dir):
     assert fit.fit(pixels, model, plans.DESIGN, (0, 0, 0))[1]["gradient_norm"] < 1e-4
 
 
+def test_fitted_objective_in_sql(spark, sf_dir, con):
+    """The objective at the parameters that q41 finds, computed anew by the other engine."""
+    found = {r["name"]: r["value"] for r in QUERIES["q41_fit_small"](spark, sf_dir).collect()}
+    model = plans.MODEL.with_theta([found[f"theta{i}"] for i in range(len(plans.MODEL.theta))])
+    prior = 0.5 * model.ridge * model.gamma_norm**2
+    sql = f"WITH {S.PX}, {S.model(m=model)} SELECT (sum(res_sin * res_sin + res_cos * res_cos) * {0.5 / model.sigma**2} + {prior}) / (2 * count(*)) FROM mf"
+    assert con.execute(sql).fetchone()[0] == pytest.approx(found["final_objective"], rel=1e-9)
+
+
 def test_fold_filter_reaches_the_scan(spark, sf_dir):
     plan = QUERIES["q01_fold_metrics"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,P))]" in plan
