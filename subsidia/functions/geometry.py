@@ -58,6 +58,27 @@ def cell_area(row: Column, top: float, dlat: float, dlon: float) -> Column:
     return F.abs(F.lit(minor**2 * math.radians(dlon)) * half * (parts[0] + parts[1] + parts[2]))
 
 
+_NODES = ((-math.sqrt(0.6), 5 / 9), (0.0, 8 / 9), (math.sqrt(0.6), 5 / 9))
+
+
+def _strip(p: Column) -> Column:
+    """Square metres for a unit of longitude and latitude (radians), less the square of the minor axis."""
+    d = F.lit(1.0) - F.lit(FLATTENING * (2 - FLATTENING)) * F.sin(p) * F.sin(p)
+    return F.cos(p) / (d * d)
+
+
+def affine_cell_area(row: Column, col: Column, transform: tuple[float, float, float, float, float, float]) -> Column:
+    """Square metres of a cell of an affine grid in degrees, which may be turned and sheared, by 3 x 3 points of quadrature."""
+    a, b, _, d, e, f = transform
+    total = None
+    for u, w in _NODES:
+        for v, x in _NODES:
+            p = F.radians(F.lit(d) * (col + F.lit(0.5 + u / 2)) + F.lit(e) * (row + F.lit(0.5 + v / 2)) + F.lit(f))
+            part = _strip(p) * F.lit(w * x / 4)
+            total = part if total is None else total + part
+    return F.abs(total) * F.lit(abs(a * e - b * d) * math.radians(1) ** 2 * (MAJOR * (1 - FLATTENING)) ** 2)
+
+
 def polygon_area(ring: Sequence[tuple[Column, Column]]) -> Column:
     """Square metres on the ellipsoid inside a ring of (longitude, latitude) corners in degrees, either way round.
 
@@ -65,26 +86,18 @@ def polygon_area(ring: Sequence[tuple[Column, Column]]) -> Column:
     edge the area between it and the first corner's parallel is summed by three-point Gauss-Legendre quadrature, over
     latitudes that are themselves integrated so, from that parallel on: nothing large cancels.
     """
-    e2 = FLATTENING * (2 - FLATTENING)
-    nodes = ((-math.sqrt(0.6), 5 / 9), (0.0, 8 / 9), (math.sqrt(0.6), 5 / 9))
-    points = [(F.radians(x), F.radians(y)) for x, y in ring]
-    base = points[0][1]
+    zero, base = F.lit(0.0), F.radians(ring[0][1])
+    nodes = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in _NODES))
+    edges = F.array(*(F.struct(F.radians(x0).alias("x0"), F.radians(y0).alias("y0"), F.radians(x1).alias("x1"), F.radians(y1).alias("y1")) for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True)))
 
     def above(p: Column) -> Column:
-        middle, half = (p + base) / 2, (p - base) / 2
-        parts = []
-        for x, w in nodes:
-            q = middle + half * F.lit(x)
-            d = F.lit(1.0) - F.lit(e2) * F.sin(q) * F.sin(q)
-            parts.append(F.cos(q) / (d * d) * F.lit(w))
-        return half * (parts[0] + parts[1] + parts[2])
+        return (p - base) / 2 * F.aggregate(nodes, zero, lambda s, n: s + n["w"] * _strip((p + base) / 2 + (p - base) / 2 * n["x"]))
 
-    total = None
-    for (x0, y0), (x1, y1) in zip(points, [*points[1:], points[0]], strict=True):
-        parts = [above((y0 + y1) / 2 + (y1 - y0) / 2 * F.lit(x)) * F.lit(w) for x, w in nodes]
-        edge = (x1 - x0) / 2 * (parts[0] + parts[1] + parts[2])
-        total = edge if total is None else total + edge
-    return F.abs(total) * F.lit((MAJOR * (1 - FLATTENING)) ** 2)
+    def beside(e: Column) -> Column:
+        level = lambda n: (e["y0"] + e["y1"]) / 2 + (e["y1"] - e["y0"]) / 2 * n["x"]
+        return (e["x1"] - e["x0"]) / 2 * F.aggregate(nodes, zero, lambda s, n: s + n["w"] * above(level(n)))
+
+    return F.abs(F.aggregate(edges, zero, lambda s, e: s + beside(e))) * F.lit((MAJOR * (1 - FLATTENING)) ** 2)
 
 
 def cell_ring(row: Column, col: Column, transform: tuple[float, float, float, float, float, float]) -> list[tuple[Column, Column]]:

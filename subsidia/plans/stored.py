@@ -187,11 +187,12 @@ def _turned_area() -> str:
     return f"{S.num(size)} * ({parts})"
 
 
-@query(f"WITH {S.PX} SELECT row, count(*) AS n, round(sum({S.area('row')}), 2) AS straight_m2, round(sum({_turned_area()}), 2) AS turned_m2 FROM px GROUP BY row")
+@query(f"WITH {S.PX} SELECT row, count(*) AS n, round(sum({S.area('row')}), 2) AS straight_m2, round(sum({_turned_area()}), 2) AS turned_m2, round(sum({_turned_area()}), 2) AS cells_m2 FROM px GROUP BY row")
 def q69_polygon_area(spark, d):
-    """Areas of each row's cells as polygons: of the fixture's grid, and of one that is turned and sheared."""
+    """Areas of each row's cells as polygons, of the fixture's grid and of one that is turned and sheared; and as its cells."""
     straight, turned = (geometry.polygon_area(geometry.cell_ring(F.col("row"), F.col("col"), t)) for t in ((STEP, 0.0, 115.0, 0.0, -STEP, TOP), _TURNED))
-    return order_pixels(spark, d).groupBy("row").agg(F.count("*").alias("n"), r(F.sum(straight), 2, "straight_m2"), r(F.sum(turned), 2, "turned_m2"))
+    cells = geometry.affine_cell_area(F.col("row"), F.col("col"), _TURNED)
+    return order_pixels(spark, d).groupBy("row").agg(F.count("*").alias("n"), r(F.sum(straight), 2, "straight_m2"), r(F.sum(turned), 2, "turned_m2"), r(F.sum(cells), 2, "cells_m2"))
 
 
 @query("SELECT c_nationkey, CAST(sum(length(c_name || '|' || c_custkey) + 1) AS BIGINT) AS size_bytes, sha256(string_agg(c_name || '|' || c_custkey || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY c_nationkey")

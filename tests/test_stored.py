@@ -228,6 +228,8 @@ def test_polygon_areas(spark):
     straight = one.select(geometry.cell_area(F.lit(0), 38.0, 0.001, 0.001)).first()[0]
     ring = [(115.0, 38.0), (115.001, 38.0), (115.001, 37.999), (115.0, 37.999)]
     assert area(ring) == pytest.approx(straight, rel=1e-9) and area(ring[::-1]) == pytest.approx(straight, rel=1e-9)
+    cell = one.select(geometry.affine_cell_area(F.lit(0), F.lit(0), (0.001, 0.0, 115.0, 0.0, -0.001, 38.0))).first()[0]
+    assert cell == pytest.approx(straight, rel=1e-9)
     half = area(ring[:3]) + area([ring[0], ring[2], ring[3]])
     assert half == pytest.approx(straight, rel=1e-9)
     # a quarter of the earth's zone between the equator and 1 degree: b^2 / 2 (sin p / (1 - e2 sin2 p) + atanh(e sin p) / e) pi / 2
