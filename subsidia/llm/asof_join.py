@@ -38,7 +38,7 @@ def collapsed(orders: DataFrame) -> DataFrame:
 
 
 def _chunks(events: DataFrame, orders: DataFrame, rows: int) -> DataFrame:
-    """(shard, knots, pieces, first): a row for each shard of clients: SHARDS rows of KNOTS values, whatever the input.
+    """(shard, knots, pieces): a row for each shard of clients: SHARDS rows of KNOTS values, whatever the input.
 
     Between two knots lie equal shares of a shard's rows; each share is cut into as many even pieces as its rows ask for.
     """
