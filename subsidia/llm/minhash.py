@@ -6,11 +6,12 @@ several components are left in it, to one picked by a hash: both rounds give as
 pair's signatures are compared a batch of hashes at a time, and the pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls under MISS. What survives is verified on full sets.
 
-The last round loses no link of a bucket. A set takes no part in it if too many of its shingles are in no other set of
-the round: a set of n shingles, f of them shared, meets no set in more than f. In a bucket the members outside its
-largest component ask all members, in blocks of a bounded number of shingles. A block emits links, never pairs. Up to
-BLOCK_SHINGLES a bucket is one block and its rows are read once; beyond, rows are read once for each block of the other
-side, and comparisons of signatures are as many as members times members outside the largest component.
+The last round loses no link of a bucket. Sets that can't have one are peeled off first, again and again, since each that
+goes leaves others with less in common: two sets of a and b shingles need PERCENT / (100 + PERCENT) of a + b in common,
+and a set meets no other in more than those of its shingles that another set of the round holds too. b is at least the
+least size that a set of another component has in the set's buckets within the threshold's reach. Then the members of a
+bucket outside its largest component ask all members, in blocks of a bounded number of shingles. A block emits links,
+never pairs; rows are read once for each block of the other side.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import SPACE_BYTES, bounded_batches, gram_hashes, hash_words, materialise, text_chunks, tidy, word_table
 from .components import BROADCAST_IDS, components
@@ -35,7 +36,9 @@ BANDS, ROWS = 40, 5
 #: Hashes compared at a time, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 40, 1e-8
 #: Shingles that a block of the last round holds, on average, on each side.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 100_000
+#: Sizes of sets are told apart in steps of this factor; sets are peeled off as long as a share of 1 / PEEL of them goes.
+SIZE_STEP, PEEL = 1.02, 8
 _SPACES = word_table(SPACE_BYTES)
 
 
@@ -187,6 +190,29 @@ def _shared(full: DataFrame) -> DataFrame:
     return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
 
 
+def _able(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(node, n) of the sets of rest(bucket, node, root) that can still have a link to another root of a bucket.
+
+    full: their shingles. Each round is linear in what is left, and leaves at most 1 - 1 / PEEL of it to the next.
+    """
+    reach = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
+    near = Window.partitionBy("bucket").orderBy("c").rangeBetween(-reach, reach)
+    alive, before = full.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), None
+    while True:
+        alive = materialise(alive, "alive")
+        left = alive.count()
+        if left == 0 or (before is not None and PEEL * (before - left) < before):
+            return alive
+        before = left
+        rows = rest.join(alive, "node").withColumn("c", F.floor(F.log("n") / math.log(SIZE_STEP)))
+        # a row for each size of a bucket, so the window has a bounded number of rows however many sets the bucket has
+        classes = rows.groupBy("bucket", "c").agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        classes = classes.select("bucket", "c", *(f(x).over(near).alias(x) for x, f in (("least", F.min), ("lo", F.min), ("hi", F.max)))).where("lo <> hi")
+        partners = rows.join(classes.select("bucket", "c", "least"), ["bucket", "c"]).groupBy("node").agg(F.min("least").alias("least"))
+        shared = _shared(full.join(alive.select("node"), "node", "left_semi"))
+        alive = shared.join(partners, "node").where(F.expr(f"{100 + percent} * f >= {percent} * (n + least) AND 100 * f >= {percent} * n")).select("node", "n")
+
+
 def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold. full: those of all nodes of the pairs."""
 
@@ -293,9 +319,9 @@ def _linked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, mi
         rest = split(rest, roots)
     if not rest.isEmpty():
         full = _sets(rest.select("node"), nodes, docs, words)
-        shared = materialise(_shared(full).where(F.expr(f"100 * f >= {percent} * n")).select("node", "n"), "shared")
-        payload = materialise(full.join(shared.join(nodes.select("node", "sig"), "node").select("node", "sig"), "node"), "payload")
-        roots = grown(roots, _across(rest.join(shared, "node"), payload, percent, miss, batch))
+        able = _able(rest, full, percent)
+        payload = materialise(full.join(able.join(nodes.select("node", "sig"), "node").select("node", "sig"), "node"), "payload")
+        roots = grown(roots, _across(rest.join(able, "node"), payload, percent, miss, batch))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     own = materialise(roots.join(nodes.select("node", "digest", "rep"), "node").select("digest", "root", "rep"), "linked")
     first = own.groupBy("root").agg(F.min("rep").alias("rep"))

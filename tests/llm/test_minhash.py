@@ -67,6 +67,26 @@ def test_loose_copies_equal_brute_force(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_peeling_keeps_every_set_with_a_link(spark):
+    """What is peeled off has no link to another root; a group that is too loose goes, though its sets share three quarters."""
+    rnd = random.Random(4)
+    sets, root = {}, {}
+    for g in range(6):
+        base = rnd.sample(range(1000 * g, 1000 * g + 900), 120)
+        for i in range(40):
+            lost = rnd.randint(1, 40)
+            sets[100 * g + i] = set(rnd.sample(base, 120 - lost)) | {10**6 + rnd.randrange(10**9) for _ in range(rnd.randint(0, lost))}
+    for i in range(600, 640):  # 20 % of each set is its own: in no other set, and more than a seventh
+        sets[i] = set(range(-100, 0)) | {10**12 * i + j for j in range(25)}
+    root = {i: i if i % 5 else i - i % 100 for i in sets}
+    rest = spark.createDataFrame([(i // 100, i, root[i]) for i in sets], "bucket long, node long, root long")
+    full = spark.createDataFrame([(i, np.array(sorted(x), dtype=np.int64).tobytes()) for i, x in sets.items()], "node long, shingles binary")
+    kept = {r.node: r.n for r in minhash._able(rest, full, 75).collect()}
+    need = {i for i in sets for j in sets if i // 100 == j // 100 and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert need and need <= set(kept) and all(kept[i] == len(sets[i]) for i in kept)
+    assert not any(i >= 600 for i in kept) and len(kept) < len(sets) - 40
+
+
 def test_one_of_each_row(spark):
     got = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(documents(spark, True)).collect()), key=str)
     want = dict.fromkeys(ROWS)
