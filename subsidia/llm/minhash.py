@@ -37,7 +37,8 @@ BANDS, ROWS = 40, 5
 BATCH, MISS = 40, 1e-8
 #: Shingles that a block of the last round holds, on average, on each side.
 BLOCK_SHINGLES = 100_000
-#: Sizes of sets are told apart in steps of this factor; sets are peeled off as long as a share of 1 / PEEL of them goes.
+#: Sizes of sets are told apart in steps of this factor; while a bucket needs several blocks, sets are peeled off as long
+#: as a share of 1 / PEEL of them goes.
 SIZE_STEP, PEEL = 1.02, 8
 _SPACES = word_table(SPACE_BYTES)
 
@@ -198,10 +199,14 @@ def _able(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     reach = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
     near = Window.partitionBy("bucket").orderBy("c").rangeBetween(-reach, reach)
     alive, before = full.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), None
+
+    def several() -> bool:
+        return not rest.join(alive, "node").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_SHINGLES).isEmpty()
+
     while True:
         alive = materialise(alive, "alive")
         left = alive.count()
-        if left == 0 or (before is not None and PEEL * (before - left) < before):
+        if left == 0 or (before is not None and (PEEL * (before - left) < before or not several())):
             return alive
         before = left
         rows = rest.join(alive, "node").withColumn("c", F.floor(F.log("n") / math.log(SIZE_STEP)))

@@ -67,7 +67,7 @@ def test_loose_copies_equal_brute_force(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == want
 
 
-def test_peeling_keeps_every_set_with_a_link(spark):
+def test_peeling_keeps_every_set_with_a_link(spark, monkeypatch):
     """What is peeled off has no link to another root; a group that is too loose goes, though its sets share three quarters."""
     rnd = random.Random(4)
     sets, root = {}, {}
@@ -81,6 +81,7 @@ def test_peeling_keeps_every_set_with_a_link(spark):
     root = {i: i if i % 5 else i - i % 100 for i in sets}
     rest = spark.createDataFrame([(i // 100, i, root[i]) for i in sets], "bucket long, node long, root long")
     full = spark.createDataFrame([(i, np.array(sorted(x), dtype=np.int64).tobytes()) for i, x in sets.items()], "node long, shingles binary")
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1_000)
     kept = {r.node: r.n for r in minhash._able(rest, full, 75).collect()}
     need = {i for i in sets for j in sets if i // 100 == j // 100 and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert need and need <= set(kept) and all(kept[i] == len(sets[i]) for i in kept)
