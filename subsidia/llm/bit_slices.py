@@ -13,6 +13,7 @@ score there is below what they have. Only a task's best rows are shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,16 +178,16 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
             block = Block(np.concatenate(ids), np.concatenate(values))
-            name = TaskContext.get().partitionId() << 32 | made
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([block.pack()], pa.binary())], ["block", "rows"])
+            wave = min(TaskContext.get().partitionId() % waves, 1)
+            return pa.RecordBatch.from_arrays([pa.array([wave], pa.int32()), pa.array([block.pack()], pa.binary())], ["wave", "rows"])
 
-        ids, values, held, made = [], [], 0, 0
+        ids, values, held = [], [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, min(BLOCK, batch.num_rows - lo))
                 if held + part.num_rows > BLOCK:
                     yield packed()
-                    ids, values, held, made = [], [], 0, made + 1
+                    ids, values, held = [], [], 0
                 ids.append(part.column("id").to_numpy(zero_copy_only=False))
                 values.append(_matrix(part.column("q"), width))
                 held += part.num_rows
@@ -204,22 +205,36 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw.astype(np.int64).tobytes()], pa.binary())], ["asked", "queries"])
 
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-n // BLOCK)))
-    blocks = materialise(rows.mapInArrow(index, "block long, rows binary"), "index")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // BLOCK))
+    rows, waves = rows.coalesce(tasks), math.isqrt(tasks)
+    # a file holds blocks of one wave, so the scan of a wave leaves out the others' row groups
+    blocks = materialise(rows.mapInArrow(index, "wave int, rows binary"), "index")
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "q"]).mapInArrow(asked, "asked long, queries binary")
     queries = materialise(queries.select(F.xxhash64("asked").alias("h"), F.octet_length("queries").alias("size"), "queries"), "queries")
     runs = -(-(queries.agg(F.sum("size")).first()[0] or 0) // RUN_BYTES) or 1
 
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
     def found(run: int) -> DataFrame:
         own = queries.where(F.pmod("h", F.lit(runs)) == run).select("queries").collect()
         raw = np.concatenate([np.empty((0, width + 1), dtype=np.int64), *(np.frombuffer(r[0], dtype=np.int64).reshape(-1, width + 1) for r in own)])
-        shared = spark.sparkContext.broadcast(raw[np.argsort(raw[:, 0], kind="stable")])
+        asks = raw[np.argsort(raw[:, 0], kind="stable")]
+        floor = np.full(len(asks), np.iinfo(np.int64).min)
+        first = searched(0, asks, floor)
+        # a number for each query of the run
+        for query, score in first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("query_id", "score").collect():
+            floor[slice(*np.searchsorted(asks[:, 0], [query, query + 1]))] = score
+        return first.unionByName(searched(1, asks, floor))
+
+    def searched(wave: int, asks: np.ndarray, floor: np.ndarray) -> DataFrame:
+        """The best rows of each task of a wave for each query, without those below the query's floor."""
+        shared = spark.sparkContext.broadcast((asks, floor))
 
         @tidy
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asks = shared.value
+            asks, floor = shared.value
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64),) * 2] * len(asks)
-            least = np.full(len(asks), np.iinfo(np.int64).min)
+            least = floor.copy()
             for batch in batches:
                 for packed in batch.column("rows"):
                     block = Block.unpack(packed.as_py())
@@ -228,17 +243,18 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
                         these = able[lo : lo + BATCH]
                         for i, (ids, scores) in zip(these.tolist(), block.search(asks[these, 1:], asks[these, 0], top), strict=True):
                             ids, scores = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], scores])
-                            order = np.lexsort((ids, -scores))[:top]
-                            best[i] = ids[order], scores[order]
-                            if len(order) == top > 0:
-                                least[i] = scores[order[-1]]
+                            by_score = np.lexsort((ids, -scores))[:top]
+                            by_score = by_score[scores[by_score] >= floor[i]]
+                            best[i] = ids[by_score], scores[by_score]
+                            if len(by_score) == top > 0:
+                                least[i] = scores[by_score[-1]]
             size = [len(x) for x, _ in best]
             for lo in range(0, len(asks), 1024):
                 part = best[lo : lo + 1024]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[lo : lo + 1024, 0], size[lo : lo + 1024])), pa.array(np.concatenate([x for x, _ in part])), pa.array(np.concatenate([x for _, x in part]))], ["query_id", "vec_id", "score"])
 
         try:
-            return materialise(blocks.select("rows").mapInArrow(search, "query_id long, vec_id long, score long"), "best")
+            return materialise(blocks.where(F.col("wave") == wave).select("rows").mapInArrow(search, "query_id long, vec_id long, score long"), "best")
         finally:
             shared.unpersist()
 
@@ -254,7 +270,6 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, s
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 

@@ -34,6 +34,23 @@ def test_equals_brute_force(spark, monkeypatch):
         assert got == brute(short)
 
 
+def test_later_tasks_send_what_reaches_the_floor(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist(), 0) for i in range(2400)]
+    sent, plain = [], bit_slices.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        sent.extend([out.count()] if name == "best" else [])
+        return out
+
+    monkeypatch.setattr(bit_slices, "materialise", counted)
+    monkeypatch.setattr(bit_slices, "BLOCK", 100)
+    got = sorted(tuple(r) for r in bit_slices.top_inner_products(frame(spark, rows).repartition(24)).select("query_id", "rank", "vec_id", "score").collect())
+    # 24 tasks: each fourth one searches first, the other 18 would send 20 rows a query
+    assert got == brute(rows) and sent[0] == 6 * 20 * 120 and sent[1] < 4 * 20 * 120
+
+
 def test_few_rows_nulls_and_none(spark):
     rows = [(0, [1.0, -2.0], 0), (1, [1.0, 1.0], 0), (2, [None, 1.0], 0)]
     df = frame(spark, rows).selectExpr("*", "1 AS id", "2 AS q", "3 AS score", "4 AS rank")
