@@ -1 +1 @@
-from . import queries, stored  # noqa: F401 - both fill the catalogue
+from . import queries, stored, commands  # noqa: F401 - all fill the catalogue
