@@ -108,14 +108,16 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> t
     found = {r["bucket"]: r["n"] for r in train.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     df = np.array([found.get(i, 0) for i in range(BUCKETS)], dtype=np.float64)
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    counted = train.groupBy("lang").count()
+    # rows by the hash of key and text together: a key of many texts, or a text of many keys, has as many hashes
+    hashed = train.select("lang", F.xxhash64("key", "text").alias("h"), F.xxhash64("text").alias("k"))
+    counted = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("count"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "k")
-    # the sample's hashes are the least ones: rows that lie far above them needn't meet in a task
+    # the sample's hashes are the least ones: rows that lie far above them needn't meet in a task, nor do repeated rows
     near = F.pmod("h", F.lit(1 << 30)).cast("double") * F.col("count") <= float(4 * sample << 30)
-    rows_of = train.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(F.broadcast(counted), "lang").where(near)
+    rows_of = hashed.join(F.broadcast(counted), "lang").where(near).select("lang", "h", "k").distinct()
     chosen = rows_of.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
     chosen = F.broadcast(chosen.select("lang", "h", "k"))
-    texts = train.select("lang", "text", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("k")).join(chosen, ["lang", "h", "k"], "left_semi")
+    texts = train.select("lang", "text", F.xxhash64("key", "text").alias("h"), F.xxhash64("text").alias("k")).join(chosen, ["lang", "h", "k"], "left_semi")
     texts = texts.dropDuplicates(["lang", "h", "k"]).select("lang", "text")
 
     @tidy

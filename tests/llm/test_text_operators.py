@@ -165,6 +165,16 @@ def test_noise_is_rejected(spark, sf_dir):
     assert language_id.limits(np.array([0, 32, 64, 256, 512, 1024, 4000]), 0.1).round(3).tolist() == [0, 0.05, 0.1, 0.1, 0.2, 0.3, 0.3]
 
 
+def test_languages_of_few_keys_are_learnt(spark):
+    """Many rows under one key or with one text: no such language may fall out of the sample, whatever its hash."""
+    texts = ["words of " + f"{i * 7919:b}".replace("0", "na ").replace("1", "tu") for i in range(3000)]
+    for keys in (range(6), (None,)):
+        rows = [(k, t, f"one key {k}") for k in keys for t in texts] + [(k, "the same text again", f"repeated {k}") for k in keys for _ in range(3000)]
+        _, names, matrix = language_id.fit(spark.createDataFrame(rows, "key long, text string, lang string"), sample=20)
+        assert set(names) == {lang for _, _, lang in rows} and len(matrix) == len(names)
+        assert all(names.count(x) == (4 if x.startswith("one") else 1) for x in set(names))
+
+
 def test_every_language_is_learnt(spark):
     rnd = random.Random(6)
     rows = [(2 * i + j, " ".join("".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 3)) for _ in range(6)), f"l{i}") for i in range(205) for j in range(2)]
