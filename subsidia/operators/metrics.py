@@ -7,42 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.guards import finite, ratio
-from .percentiles import percentiles
+from .percentiles import HELD, percentiles
 
 
-def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool = False, near: float = 1e-6, narrowed: bool = False, single: bool = False) -> DataFrame:
+def metrics(frame: DataFrame, high: float, by: Sequence[str] = (), approx: bool = False, near: float = 1e-6, narrowed: bool | None = None, single: bool = False, held: int = HELD) -> DataFrame:
     """One row for each group (or one in all): counts, errors, extremes, percentiles, share at the upper bound.
 
     Non-finite predictions are counted and left out of every sum, but count as pixels. Percentiles are exact and
-    interpolated, of doubles, and keep a group's distinct values in one task; for groups of very many values, narrowed
-    finds the same ones in more scans with bounded state, and approx takes percentile_approx. With single they are those
-    of values in single precision, interpolated in doubles.
+    interpolated, of doubles. One task sorts a group's values where the group has at most held rows, which a scan of the
+    group's columns counts first; those of larger groups are found with bounded state in more scans. narrowed=True goes
+    that way for all groups, False for none, and neither counts; approx takes percentile_approx. With single they are
+    those of values in single precision, interpolated in doubles. Null keys are a group of their own.
     """
     good = finite(*(F.col(c) for c in ("pred_sin", "pred_cos", "res_sin", "res_cos")))
-    percentile = (lambda x, p: F.percentile_approx(x, p, 10_000)) if approx else (lambda x, p: F.max(F.lit(None).cast("double"))) if narrowed else F.percentile
+    rows, keys = frame.withColumn("good", good), [f"of_{b}" for b in by]
+    same = [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys, strict=True)] or F.lit(True)
+    large, few = None, F.lit(not narrowed)
+    if not approx and narrowed is None:
+        # at most a row for each held rows of the frame
+        sizes = frame.groupBy(*by).agg(F.count("*").alias("rows")).where(F.col("rows") > held).drop("rows").withColumnsRenamed(dict(zip(by, keys, strict=True)))
+        found_large = sizes.collect()
+        if found_large and by:
+            large = F.broadcast(frame.sparkSession.createDataFrame(found_large, sizes.schema).withColumn("large", F.lit(True)))
+            rows, few = rows.join(large, same, "left").drop(*keys), F.col("large").isNull()
+        narrowed, few = bool(found_large), few if by else F.lit(not found_large)
+    percentile = (lambda x, p: F.percentile_approx(x, p, 10_000)) if approx else (lambda x, p: F.percentile(F.when(few, x), p)) if narrowed else F.percentile
     ske, top = F.when(F.col("good"), F.col("ske")), F.when(F.col("good"), F.greatest(F.abs("pred_sin"), F.abs("pred_cos")))
     held_ske, held_top = (x.cast("float").cast("double") if single else x for x in (ske, top))
     own = lambda x: F.when(F.col("good"), x)
-    found = (
-        frame.withColumn("good", good)
-        .groupBy(*by)
-        .agg(
-            F.count("*").alias("pixel_count"),
-            (F.lit(2) * F.count_if("good")).alias("observation_count"),
-            F.count_if(~F.col("good")).alias("nonfinite_count"),
-            F.coalesce(F.sum(own(F.col("res_sin") * F.col("res_sin") + F.col("res_cos") * F.col("res_cos"))), F.lit(0.0)).alias("sse"),
-            F.coalesce(F.sum(own(F.abs("res_sin") + F.abs("res_cos"))), F.lit(0.0)).alias("sae"),
-            F.min(ske).alias("ske_min"),
-            percentile(held_ske, F.lit(0.5)).alias("ske_p50"),
-            F.max(ske).alias("ske_max"),
-            percentile(held_top, F.lit(0.99)).alias("pred_abs_p99"),
-            F.count_if(F.col("good") & (F.lit(high) - F.col("ske") <= near)).alias("upper"),
-        )
+    found = rows.groupBy(*by).agg(
+        F.count("*").alias("pixel_count"),
+        (F.lit(2) * F.count_if("good")).alias("observation_count"),
+        F.count_if(~F.col("good")).alias("nonfinite_count"),
+        F.coalesce(F.sum(own(F.col("res_sin") * F.col("res_sin") + F.col("res_cos") * F.col("res_cos"))), F.lit(0.0)).alias("sse"),
+        F.coalesce(F.sum(own(F.abs("res_sin") + F.abs("res_cos"))), F.lit(0.0)).alias("sae"),
+        F.min(ske).alias("ske_min"),
+        percentile(held_ske, F.lit(0.5)).alias("ske_p50"),
+        F.max(ske).alias("ske_max"),
+        percentile(held_top, F.lit(0.99)).alias("pred_abs_p99"),
+        F.count_if(F.col("good") & (F.lit(high) - F.col("ske") <= near)).alias("upper"),
     )
-    if narrowed:
-        exact = percentiles(frame.withColumn("good", good), by, {"ske_p50": (held_ske, 0.5), "pred_abs_p99": (held_top, 0.99)})
-        exact = exact.withColumnsRenamed({b: f"of_{b}" for b in by})
-        found = found.drop("ske_p50", "pred_abs_p99").join(F.broadcast(exact), [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by] or F.lit(True), "left")
+    if narrowed and not approx:
+        exact = percentiles(rows.where(~few) if large is not None else rows, by, {"large_p50": (held_ske, 0.5), "large_p99": (held_top, 0.99)}, held)
+        found = found.join(F.broadcast(exact.withColumnsRenamed(dict(zip(by, keys, strict=True)))), same, "left")
+        found = found.withColumns({c: F.coalesce(c, x) for c, x in (("ske_p50", "large_p50"), ("pred_abs_p99", "large_p99"))})
     return found.select(
         *by, "pixel_count", "observation_count", "nonfinite_count",
         F.sqrt(ratio(F.col("sse"), F.col("observation_count"))).alias("rmse"), ratio(F.col("sae"), F.col("observation_count")).alias("mae"),

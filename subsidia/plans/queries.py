@@ -506,6 +506,16 @@ def q57_narrowed_percentiles(spark, d):
     return rounded(found, p50=9, p99=9, q25=9)
 
 
+_BANDS = "CASE WHEN pixel_id % 16 < 9 THEN 0 WHEN pixel_id % 16 = 14 THEN 100 + pixel_id % 1024 WHEN pixel_id % 16 <> 15 THEN pixel_id % 16 END"
+
+
+@query(MF + S.metrics("band", f"(SELECT *, CAST({_BANDS} AS BIGINT) AS band FROM mf)"))
+def q74_skewed_metrics(spark, d):
+    """Groups of most rows, of few and of a null key; held is so small that the large ones leave the single task."""
+    rows = frame(spark, d).withColumn("band", F.expr(_BANDS).cast("long"))
+    return rounded(metrics.metrics(rows, MODEL.high, ["band"], held=100))
+
+
 _START = replace(MODEL, eta0=-3.0, log_cu=math.log(1e-3), lag_c=40.0)
 _SSE_START = f"sum(res_sin * res_sin + res_cos * res_cos) * {S.num(0.5 / MODEL.sigma**2)}"
 

@@ -146,8 +146,36 @@ def test_percentiles_are_numpys(spark):
     for by in ([], ["fold_id"]):
         a, b = (sorted(metrics.metrics(rows, MODEL.high, by, narrowed=n).collect()) for n in (False, True))
         assert np.allclose(a, b, rtol=1e-12)
-    empty = metrics.metrics(rows.limit(0), MODEL.high, narrowed=True).first()
-    assert (empty.pixel_count, empty.ske_p50) == (0, None)
+    for n in (None, True):
+        empty = metrics.metrics(rows.limit(0), MODEL.high, narrowed=n).first()
+        assert (empty.pixel_count, empty.ske_p50) == (0, None)
+
+
+def test_large_groups_leave_the_single_task(spark, monkeypatch):
+    """Groups of more rows than a task may hold are narrowed, the others not; a null key is a group as others are."""
+    rnd = np.random.default_rng(8)
+    sizes = {None: 90, 0: 400, 1: 50, 2: 51, 3: 1}
+    data = [(k, *map(float, rnd.normal(size=5))) for k, n in sizes.items() for _ in range(n)] + [(4, math.nan, 0.0, 0.0, 0.0, 1.0)] * 60
+    rows = spark.createDataFrame(data, "fold_id long, pred_sin double, pred_cos double, res_sin double, res_cos double, ske double")
+    narrowed, plain = [], metrics.percentiles
+
+    def seen(frame, by, asked, held):
+        narrowed.append(frame.count())
+        return plain(frame, by, asked, held)
+
+    monkeypatch.setattr(metrics, "percentiles", seen)
+    for by in ([], ["fold_id"]):
+        order = lambda r: str(r[0])
+        wanted = sorted(metrics.metrics(rows, MODEL.high, by, narrowed=False).collect(), key=order)
+        assert narrowed == []
+        for held, parts in ((10**6, []), (50, [90 + 400 + 51 + 60] if by else [len(data)])):
+            found = sorted(metrics.metrics(rows, MODEL.high, by, held=held).collect(), key=order)
+            assert narrowed == parts and [r[:1] for r in found] == [r[:1] for r in wanted] and found[0].asDict().keys() == wanted[0].asDict().keys()
+            for a, b in zip(found, wanted, strict=True):
+                assert all(x == y if x is None or y is None else math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a, b, strict=True))
+        narrowed.clear()
+        approx = metrics.metrics(rows, MODEL.high, by, approx=True, held=1).collect()
+        assert len(approx) == len(wanted) and narrowed == []
 
 
 def test_training_errors_sum_all_other_folds(spark):
