@@ -192,24 +192,23 @@ def _shared(full: DataFrame) -> DataFrame:
 
 
 def _able(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(node, n) of the sets of rest(bucket, node, root) that can still have a link to another root of a bucket.
+    """(bucket, node, root, n) of the rows of rest(bucket, node, root) whose sets can still have a link to another root of a bucket.
 
-    full: their shingles. Each round is linear in what is left, and leaves at most 1 - 1 / PEEL of it to the next.
+    full: their shingles. Each round is linear in what is left, and leaves at most 1 - 1 / PEEL of it to the next. The rows
+    of the buckets get their sizes once; after that a round takes from them what has gone, and reads only what is left.
     """
     reach = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
     near = Window.partitionBy("bucket").orderBy("c").rangeBetween(-reach, reach)
     alive, before = full.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), None
-
-    def several() -> bool:
-        return not rest.join(alive, "node").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_SHINGLES).isEmpty()
-
+    rows = rest.join(alive, "node").withColumn("c", F.floor(F.log("n") / math.log(SIZE_STEP)))
     while True:
         alive = materialise(alive, "alive")
         left = alive.count()
-        if left == 0 or (before is not None and (PEEL * (before - left) < before or not several())):
-            return alive
+        rows = materialise(rows if before is None else rows.join(alive.select("node"), "node", "left_semi"), "able")
+        several = rows.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_SHINGLES)
+        if left == 0 or (before is not None and (PEEL * (before - left) < before or several.isEmpty())):
+            return rows.select("bucket", "node", "root", "n")
         before = left
-        rows = rest.join(alive, "node").withColumn("c", F.floor(F.log("n") / math.log(SIZE_STEP)))
         # a row for each size of a bucket, so the window has a bounded number of rows however many sets the bucket has
         classes = rows.groupBy("bucket", "c").agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         classes = classes.select("bucket", "c", *(f(x).over(near).alias(x) for x, f in (("least", F.min), ("lo", F.min), ("hi", F.max)))).where("lo <> hi")
@@ -325,8 +324,9 @@ def _linked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, mi
     if not rest.isEmpty():
         full = _sets(rest.select("node"), nodes, docs, words)
         able = _able(rest, full, percent)
-        payload = materialise(full.join(able.join(nodes.select("node", "sig"), "node").select("node", "sig"), "node"), "payload")
-        roots = grown(roots, _across(rest.join(able, "node"), payload, percent, miss, batch))
+        wanted = nodes.select("node", "sig").join(able.select("node").distinct(), "node", "left_semi")
+        payload = materialise(full.join(wanted, "node"), "payload")
+        roots = grown(roots, _across(able, payload, percent, miss, batch))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     own = materialise(roots.join(nodes.select("node", "digest", "rep"), "node").select("digest", "root", "rep"), "linked")
     first = own.groupBy("root").agg(F.min("rep").alias("rep"))

@@ -88,6 +88,27 @@ def test_peeling_keeps_every_set_with_a_link(spark, monkeypatch):
     assert not any(i >= 600 for i in kept) and len(kept) < len(sets) - 40
 
 
+def test_peeling_reads_the_buckets_once(spark, monkeypatch):
+    """However many rounds there are, the rows of the buckets are read and joined to sizes once; rounds read what is left."""
+    seen, written = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    # chains: the end of each shares too little, and once it has gone the next one is the end
+    sets = {100 * g + i: set(range(1000 * g + 10 * i, 1000 * g + 10 * i + 20)) for g in range(4) for i in range(12)}
+    rows = [(b, i, i) for i in sets for b in (i // 100, 50 + i // 100)]
+    rest = spark.createDataFrame(rows, "bucket long, node long, root long").mapInArrow(counted, "bucket long, node long, root long")
+    full = spark.createDataFrame([(i, np.array(sorted(x), dtype=np.int64).tobytes()) for i, x in sets.items()], "node long, shingles binary")
+    own = minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: written.append(name) or own(df, name))
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 10)
+    assert minhash._able(rest, full, 75).count() == 0
+    assert written.count("alive") >= 3 and seen.value == len(rows)
+
+
 def test_one_of_each_row(spark):
     got = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(documents(spark, True)).collect()), key=str)
     want = dict.fromkeys(ROWS)
