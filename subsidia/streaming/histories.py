@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,35 +24,40 @@ def running_gate(history: DataFrame, drop: float, step: float, gradient: float,
     before all that is kept, once something has been let go, is left out. A repeated iteration counts once, as it
     arrived first. The sink gets updates: of several rows of an iteration the last one holds (settled()).
     """
-    held = rows - 1 + late
-
-    def gates(x: pd.DataFrame, least: int, whole: bool) -> pd.DataFrame:
-        first = x["objective"].shift(rows - 1)
-        first = first.where(first.notna() | (x.index >= rows - 1), x["objective"].iloc[0])
-        drops = (first - x["objective"]).abs() / first.abs().clip(lower=1e-30)
-        most = x["relative_step"].rolling(rows - 1, min_periods=1).max()
-        full = pd.Series(x.index >= rows - 1, index=x.index)
-        settled = full & (drops <= drop) & (most <= step) & (x["gradient_rms"] <= gradient)
-        out = pd.DataFrame({"iteration": x["iteration"], "rel_drop": drops, "max_step": most, "grad_rms": x["gradient_rms"], "converged": settled})
-        return out[(x["iteration"] >= least) & (full | whole)]
-
+    names, kinds = ("iteration", "objective", "relative_step", "gradient_rms"), ("int64", "float64", "float64", "float64")
+    inner, held = rows - 1, rows - 1 + late
+
+    def gates(iteration: np.ndarray, objective: np.ndarray, steps: np.ndarray, gradients: np.ndarray, only: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(only)
+        first = objective[np.maximum(at - inner, 0)]
+        with np.errstate(all="ignore"):
+            drops = np.abs(first - objective[at]) / np.maximum(np.abs(first), 1e-30)
+            padded = np.concatenate([np.full(inner - 1, np.nan), steps])
+            most = np.fmax.reduce(sliding_window_view(padded, inner)[at], axis=1)
+            settled = (at >= inner) & (drops <= drop) & (most <= step) & (gradients[at] <= gradient)
+        return {"iteration": iteration[at], "rel_drop": drops, "max_step": most, "grad_rms": gradients[at], "converged": settled}
+
+    # a run has few rows in a batch, so a call must cost little: arrays, and one frame for what it gives
     def step_of(key: tuple, arrived: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["iteration", "objective", "relative_step", "gradient_rms"]
         *columns, whole = state.get if state.exists else ([], [], [], [], True)
-        kept = pd.DataFrame(dict(zip(names, columns, strict=True))).astype({"iteration": "int64", "objective": "float64", "relative_step": "float64", "gradient_rms": "float64"})
-        new = pd.concat([x[names] for x in arrived]).drop_duplicates("iteration")
-        new = new[~new["iteration"].isin(kept["iteration"])]
+        kept = [np.array(c, dtype=k) for c, k in zip(columns, kinds, strict=True)]
+        parts = [[x[n].to_numpy(k) for n, k in zip(names, kinds, strict=True)] for x in arrived]
+        new = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        take = np.unique(new[0], return_index=True)[1]
+        take = take[~np.isin(new[0][take], kept[0])]
         if not whole:
-            new = new[new["iteration"] > kept["iteration"].min()]
-        if len(new):
-            every = pd.concat([kept, new]).sort_values("iteration", ignore_index=True)
-            out = gates(every, new["iteration"].min(), whole)
+            take = take[new[0][take] > kept[0][0]]
+        if len(take):
+            every = [np.concatenate([old, c[take]]) for old, c in zip(kept, new, strict=True)]
+            order = np.argsort(every[0])
+            every = [c[order] for c in every]
             # of a change at an iteration only the rows - 1 that follow can tell
-            reach = {j for i in every.index[every["iteration"].isin(new["iteration"])] for j in range(i, i + rows)}
-            out = out[out.index.isin(reach)]
-            whole, every = whole and len(every) <= held, every.iloc[-held:]
-            state.update((*(every[n].tolist() for n in names), whole))
-            yield out.assign(run=key[0])[["run", *out.columns]]
+            changed = np.cumsum(order >= len(kept[0]))
+            reach = changed > np.concatenate([np.zeros(min(rows, len(order)), dtype=changed.dtype), changed[:-rows]])
+            out = gates(*every, reach if whole else reach & (np.arange(len(order)) >= inner))
+            whole = whole and len(order) <= held
+            state.update((*(c[-held:].tolist() for c in every), whole))
+            yield pd.DataFrame({"run": [key[0]] * len(out["iteration"]), **out})
 
     kind = history.schema[run].dataType.simpleString()
     rows_of = history.select(F.col(run).alias("run"), F.col("iteration").cast("long"), *(F.col(c).cast("double") for c in ("objective", "relative_step", "gradient_rms")))

@@ -216,6 +216,39 @@ def test_running_gate_takes_late_and_repeated_iterations(spark):
     assert any(w["converged"] for w in want)
 
 
+def test_running_gate_costs_little_for_a_run(spark, monkeypatch):
+    """A run has few rows in a batch: what a call does besides must stay small, with rows as a window over the whole gives them."""
+    import cProfile
+    import pstats
+
+    import pandas as pd
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    from subsidia.operators import history
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    taken = []
+    own = PandasGroupedOpsMixin.applyInPandasWithState
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandasWithState", lambda self, f, *more: taken.append(f) or own(self, f, *more))
+    names = ["iteration", "objective", "relative_step", "gradient_rms"]
+    rows = [(i, 1.0 + (i * 7 % 11) / 10, i % 10 / 100, i % 7 / 1000) for i in range(64)]
+    history_rows = spark.createDataFrame([(1, *r) for r in rows], "run long, iteration long, objective double, relative_step double, gradient_rms double")
+    histories.running_gate(history_rows, 0.5, 0.09, 0.004)
+    state, got, profile = State(), {}, cProfile.Profile()
+    for k in range(4):
+        part = pd.DataFrame([r for r in rows if r[0] * 5 % 4 == k or r[0] % 16 == k], columns=names)
+        found = profile.runcall(lambda part=part: list(taken[0]((1,), iter([part]), state)))
+        got |= {r.iteration: (round(r.rel_drop, 9), r.max_step, r.grad_rms, r.converged) for x in found for r in x.itertuples()}
+    want = history.convergence_gate(history_rows, 0.5, 0.09, 0.004).collect()
+    assert got == {r.iteration: (round(r.rel_drop, 9), r.max_step, r.grad_rms, r.converged) for r in want} and any(r.converged for r in want)
+    assert pstats.Stats(profile).total_calls < 4 * 2500
+
+
 def test_running_gate_lets_go_of_what_is_too_late(spark):
     rows = [(1, i, 1.0 + i, 0.01, 0.001) for i in range(1, 60)]
     got = gate_rows(spark, [rows, [(1, 0, 5.0, 0.0, 0.0)], [(1, 60, 61.0, 0.01, 0.001)]], late=5)
